@@ -104,12 +104,15 @@ def trend_total_insights(mart: DataFrame, static_wording: bool = False) -> DataF
 
 # -- I2 ---------------------------------------------------------------------
 
-def trend_compare_insights(mart: DataFrame) -> DataFrame:
+def trend_compare_insights(mart: DataFrame, null_name_label: str | None = None) -> DataFrame:
     """Top three contributing statuses and the leader's gap.
 
     NULL names are left out of the ranking (they still make the input
-    non-empty).
+    non-empty); with ``null_name_label`` they rank under that text, as on the
+    static page.
     """
+    if null_name_label is not None:
+        mart = mart.withColumn(N, F.coalesce(F.col(N), F.lit(null_name_label)))
     summary = status_totals(mart)
     top = summary.orderBy(F.col(N).isNull(), F.desc(C), F.asc(N)).limit(3)
     s = top.agg(F.sort_array(F.collect_list(F.struct(
@@ -132,9 +135,10 @@ def trend_compare_insights(mart: DataFrame) -> DataFrame:
     return _emit(s, items)
 
 
-def trend_insights(mart: DataFrame, mode: str = "total", static_wording: bool = False) -> DataFrame:
+def trend_insights(mart: DataFrame, mode: str = "total", static_wording: bool = False,
+                   null_name_label: str | None = None) -> DataFrame:
     if mode == "compare":
-        return trend_compare_insights(mart)
+        return trend_compare_insights(mart, null_name_label)
     return trend_total_insights(mart, static_wording=static_wording)
 
 

@@ -31,14 +31,20 @@ def names_totals(mart: DataFrame) -> DataFrame:
 # -- A3-A5 ------------------------------------------------------------------
 
 def kpi_sums(mart: DataFrame, closed_prefix: str = CLOSED_PREFIX,
-             escalated_name: str = ESCALATED_NAME) -> DataFrame:
-    """Total, closed, open and escalated sums in one pass (NULL name: total only)."""
-    closed = F.col(N).startswith(closed_prefix)
+             escalated_name: str = ESCALATED_NAME,
+             null_name_label: str | None = None) -> DataFrame:
+    """Total, closed, open and escalated sums in one pass.
+
+    A NULL name counts in the total only; with ``null_name_label`` (the static
+    page prints it as 'None') it is that text instead, hence open.
+    """
+    name = F.col(N) if null_name_label is None else F.coalesce(F.col(N), F.lit(null_name_label))
+    closed = name.startswith(closed_prefix)
     return mart.agg(
         F.coalesce(F.sum(C), F.lit(0)).cast("bigint").alias("total_alerts"),
         F.coalesce(F.sum(F.when(closed, F.col(C))), F.lit(0)).cast("bigint").alias("closed_alerts"),
         F.coalesce(F.sum(F.when(~closed, F.col(C))), F.lit(0)).cast("bigint").alias("open_alerts"),
-        F.coalesce(F.sum(F.when(F.col(N) == F.lit(escalated_name), F.col(C))), F.lit(0))
+        F.coalesce(F.sum(F.when(name == F.lit(escalated_name), F.col(C))), F.lit(0))
         .cast("bigint").alias("escalated_alerts"),
     )
 
@@ -50,9 +56,9 @@ def _rate(part: str, total: str) -> Column:
 
 
 def kpis(mart: DataFrame, closed_prefix: str = CLOSED_PREFIX,
-         escalated_name: str = ESCALATED_NAME) -> DataFrame:
-    """One row: totals plus closure and escalation rates (A3-A5)."""
-    sums = kpi_sums(mart, closed_prefix, escalated_name)
+         escalated_name: str = ESCALATED_NAME, null_name_label: str | None = None) -> DataFrame:
+    """One row: totals plus closure and escalation rates."""
+    sums = kpi_sums(mart, closed_prefix, escalated_name, null_name_label)
     return sums.select(
         "total_alerts", "open_alerts", "closed_alerts", "escalated_alerts",
         _rate("closed_alerts", "total_alerts").alias("closure_rate"),

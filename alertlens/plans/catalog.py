@@ -121,6 +121,20 @@ def q_daily_mart_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_mart(spark, sf_dir, years=FILTER_YEARS)
 
 
+def hot_status_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixture A alerts with one status id (1) holding every third alert."""
+    return fx.clean_fact(spark, sf_dir).withColumn(
+        "WW_STATUS_ID",
+        F.when(F.col("alert_id") % 3 == 0, F.lit(1).cast("bigint")).otherwise(F.col("WW_STATUS_ID")),
+    )
+
+
+def q_mart_hot_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skewed status ids through the large-dimension path (pre-aggregated join)."""
+    return build_mart(hot_status_fact(spark, sf_dir), fx.clean_dim(spark, sf_dir),
+                      excluded_domain=fx.CLEAN_EXCLUDED_DOMAIN, broadcast_max_rows=0)
+
+
 def q_stream_daily_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_daily_mart(spark, sf_dir, fx.stream_events_schema(), "event_type", "ts",
                              glob="events.parquet")
@@ -228,6 +242,7 @@ QUERIES: dict[str, Query] = {
     "daily_mart_shuffle": q_daily_mart_shuffle,
     "daily_mart_years": q_daily_mart_years,
     "mart_fanout": q_mart_fanout,
+    "mart_hot_status": q_mart_hot_status,
     "stream_daily_mart": q_stream_daily_mart,
     # filters
     "filter_names": q_filter_names,
@@ -242,6 +257,7 @@ QUERIES: dict[str, Query] = {
     "kpis_dirty": _on_dirty(metrics.kpis),
     "kpis_filtered": q_kpis_filtered,
     "kpis_empty": q_kpis_empty,
+    "kpis_static": _on_dirty(lambda m: metrics.kpis(m, null_name_label="None")),
     "status_distribution": _on_clean(metrics.status_distribution),
     "status_distribution_dirty": _on_dirty(metrics.status_distribution),
     "trend_total": _on_clean(metrics.trend_total),
@@ -270,6 +286,8 @@ QUERIES: dict[str, Query] = {
     "insight_trend_total": _on_clean(insights.trend_total_insights),
     "insight_trend_total_filtered": q_insight_trend_total_filtered,
     "insight_trend_compare": _on_dirty(insights.trend_compare_insights),
+    "insight_trend_compare_static": _on_dirty(
+        lambda m: insights.trend_compare_insights(m, null_name_label="None")),
     "insight_status": _on_dirty(insights.status_insights),
     "insight_status_clean": _on_clean(insights.status_insights),
     "insight_status_empty": q_insight_status_empty,

@@ -79,8 +79,11 @@ def _fmt(x: str) -> str:
 
 # -- metrics ------------------------------------------------------------------------
 
-def _kpis(kind: str, where: str | None = None) -> str:
+def _kpis(kind: str, where: str | None = None, null_label: str | None = None) -> str:
     pre, rel = _src(kind, where)
+    if null_label is not None:
+        rel = (f"(SELECT year_creation, mth_creation, dt_creation, "
+               f"coalesce(NAME, '{null_label}') AS NAME, \"Count\" FROM {rel})")
     return pre + f"""
 SELECT total_alerts, open_alerts, closed_alerts, escalated_alerts,
        CASE WHEN total_alerts = 0 THEN 0.0
@@ -199,8 +202,11 @@ items AS (
     return _insight_select(items, pre)
 
 
-def _trend_compare_insights(kind: str) -> str:
+def _trend_compare_insights(kind: str, null_label: str | None = None) -> str:
     pre, rel = _src(kind)
+    if null_label is not None:
+        rel = (f"(SELECT year_creation, mth_creation, dt_creation, "
+               f"coalesce(NAME, '{null_label}') AS NAME, \"Count\" FROM {rel})")
     items = f"""
 s AS (SELECT NAME, CAST(sum("Count") AS BIGINT) AS c FROM {rel} GROUP BY NAME),
 r AS (SELECT NAME, c, row_number() OVER (ORDER BY c DESC, NAME ASC) AS rk
@@ -325,6 +331,18 @@ FROM (
 ) t
 GROUP BY ALL"""
 
+_HOT = """
+SELECT CAST(year(d) AS INTEGER) AS year_creation, CAST(month(d) AS INTEGER) AS mth_creation,
+       d AS dt_creation, NAME, CAST(count(*) AS BIGINT) AS "Count"
+FROM (
+  SELECT CAST(o.o_orderdate AS DATE) AS d, trim(c.c_mktsegment) AS NAME
+  FROM orders o
+  LEFT JOIN customer c
+    ON (CASE WHEN o.o_orderkey % 3 = 0 THEN 1 ELSE o.o_custkey END) = c.c_custkey
+  WHERE trim(o.o_orderpriority) <> '5-LOW' AND o.o_orderdate IS NOT NULL
+) t
+GROUP BY ALL"""
+
 _STREAM = """
 SELECT CAST(year(d) AS INTEGER) AS year_creation, CAST(month(d) AS INTEGER) AS mth_creation,
        d AS dt_creation, NAME, CAST(count(*) AS BIGINT) AS "Count"
@@ -357,6 +375,7 @@ GROUP BY c_nationkey HAVING count(*) > 1""",
     "daily_mart_shuffle": _mart("clean"),
     "daily_mart_years": _mart("clean", "year_creation IN (1996, 1997)"),
     "mart_fanout": _FANOUT,
+    "mart_hot_status": _HOT,
     "stream_daily_mart": _STREAM,
     "filter_names": _mart("dirty", "NAME IN ('New', 'Escalated')"),
     "filter_years": _mart("clean", "year_creation IN (1996, 1997)"),
@@ -374,6 +393,7 @@ SELECT NAME, CAST(sum("Count") AS BIGINT) AS total_count FROM dirty_mart GROUP B
     "kpis_dirty": _kpis("dirty"),
     "kpis_filtered": _kpis("dirty", "year_creation IN (1996, 1997)"),
     "kpis_empty": _kpis("clean", "false"),
+    "kpis_static": _kpis("dirty", null_label="None"),
     "status_distribution": _status_distribution("clean"),
     "status_distribution_dirty": _status_distribution("dirty"),
     "trend_total": _trend_total("clean"),
@@ -442,6 +462,7 @@ WHERE false""",
     "insight_trend_total_filtered": _trend_total_insights(
         "dirty", "NAME = 'Closed' AND year_creation IN (1999, 2000)"),
     "insight_trend_compare": _trend_compare_insights("dirty"),
+    "insight_trend_compare_static": _trend_compare_insights("dirty", "None"),
     "insight_status": _status_insights("dirty"),
     "insight_status_clean": _status_insights("clean"),
     "insight_status_empty": _status_insights("dirty", "NAME = 'no such status'"),
