@@ -33,6 +33,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 FILTER_NAMES = ["Escalated", "BUILDING"]
 FILTER_YEARS = [1996, 1997]
 FILTER_MONTHS = [1, 2]
+STREAM_WATERMARK = "2 days"
 
 
 def clean_mart(spark: SparkSession, sf_dir: str, **kwargs) -> DataFrame:
@@ -140,6 +141,13 @@ def q_stream_daily_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
                              glob="events.parquet")
 
 
+def q_stream_daily_mart_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Watermarked stream: only days the watermark has closed are written."""
+    return stream_daily_mart(spark, sf_dir, fx.stream_events_schema(), "event_type", "ts",
+                             glob="events.parquet", output_mode="append",
+                             watermark=STREAM_WATERMARK)
+
+
 # -- filters ----------------------------------------------------------------------
 
 def q_filter_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,6 +252,7 @@ QUERIES: dict[str, Query] = {
     "mart_fanout": q_mart_fanout,
     "mart_hot_status": q_mart_hot_status,
     "stream_daily_mart": q_stream_daily_mart,
+    "stream_daily_mart_append": q_stream_daily_mart_append,
     # filters
     "filter_names": q_filter_names,
     "filter_years": q_filter_years,

@@ -349,6 +349,11 @@ SELECT CAST(year(d) AS INTEGER) AS year_creation, CAST(month(d) AS INTEGER) AS m
 FROM (SELECT CAST(ts AS DATE) AS d, trim(event_type) AS NAME FROM events WHERE ts IS NOT NULL) t
 GROUP BY ALL"""
 
+# A day is final once max(event time) - 2 days has passed its end.
+_STREAM_APPEND = _STREAM.replace(
+    "GROUP BY ALL",
+    "WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY\nGROUP BY ALL")
+
 _D = _with(_DIRTY)
 _C = _with(_CLEAN)
 
@@ -377,6 +382,7 @@ GROUP BY c_nationkey HAVING count(*) > 1""",
     "mart_fanout": _FANOUT,
     "mart_hot_status": _HOT,
     "stream_daily_mart": _STREAM,
+    "stream_daily_mart_append": _STREAM_APPEND,
     "filter_names": _mart("dirty", "NAME IN ('New', 'Escalated')"),
     "filter_years": _mart("clean", "year_creation IN (1996, 1997)"),
     "filter_months": _mart("clean", "mth_creation IN (1, 2)"),

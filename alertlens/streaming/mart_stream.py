@@ -5,12 +5,18 @@ New alert files landing in a folder update the mart incrementally:
     readStream (file source) -> [domain filter] -> [stream-static left join
     with the status table] -> groupBy(day, NAME).count() -> foreachBatch
 
-The running aggregate keeps one state row per (day, status), so state is
-bounded by days x statuses, never by alert volume. The sink runs in
-``complete`` mode: every micro-batch rewrites the whole (small) mart, which
-makes the write idempotent when a batch is retried after an executor loss,
-and alerts arriving late - even after days - are still counted, so the
-streamed mart always equals the batch mart over the same files.
+Two output modes:
+
+* ``complete`` (default): one state row per (day, status) - bounded by days x
+  statuses, never by alert volume - and every micro-batch rewrites the whole
+  (small) mart. The write is idempotent when a batch is retried after an
+  executor loss, and alerts arriving late, even days late, are still counted,
+  so the streamed mart always equals the batch mart over the same files.
+* ``append`` with a watermark: the count runs per event-time day window;
+  a day is written once, to a Parquet file sink (exactly-once through the
+  sink's commit log), when the watermark passes its end, and its state is
+  dropped. State then stays bounded by the watermark delay. Alerts later
+  than the watermark are not counted - the usual trade for bounded state.
 """
 
 from __future__ import annotations
@@ -28,26 +34,37 @@ from alertlens.session import scratch_path
 def daily_counts(alerts: DataFrame, name_col: str, ts_col: str,
                  dim: DataFrame | None = None, status_col: str | None = None,
                  domain_col: str | None = None, excluded_domain: str | None = None,
-                 broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                 broadcast_max_rows: int = BROADCAST_MAX_ROWS,
+                 watermark: str | None = None) -> DataFrame:
     """Streaming or batch: count alerts per (day, status name).
 
     Without ``dim`` the name is read from ``name_col``; with it, ``status_col``
-    is joined to the dimension's ``ID`` (left join, static side).
+    is joined to the dimension's ``ID`` (left join, static side). With
+    ``watermark`` (e.g. ``"2 days"``) the day is an event-time window, as
+    append mode requires.
     """
     df = alerts
+    if watermark is not None:
+        # Watermarks need TIMESTAMP (with zone); NTZ wall clocks are read in
+        # the session zone (UTC in our sessions), so days do not move.
+        df = df.withColumn("_event_ts", F.col(ts_col).cast("timestamp")) \
+            .withWatermark("_event_ts", watermark)
+        ts_col = "_event_ts"
     if domain_col is not None and excluded_domain is not None:
         df = df.filter(domain_kept(excluded_domain, domain_col))
     df = df.filter(F.col(ts_col).isNotNull())
+    day = F.window(F.col(ts_col), "1 day") if watermark is not None else F.to_date(F.col(ts_col))
     if dim is None:
-        named = df.select(F.to_date(F.col(ts_col)).alias("_d"),
-                          as_clean_string(F.col(name_col)).alias("NAME"))
+        named = df.select(day.alias("_d"), as_clean_string(F.col(name_col)).alias("NAME"))
     else:
         right = status_names(dim).withColumnRenamed("ID", "_status_id")
         if has_at_most(right, broadcast_max_rows):
             right = F.broadcast(right)
         named = df.join(right, F.col(status_col) == F.col("_status_id"), "left") \
-            .select(F.to_date(F.col(ts_col)).alias("_d"), F.col("NAME"))
+            .select(day.alias("_d"), F.col("NAME"))
     counted = named.groupBy("_d", "NAME").agg(F.count(F.lit(1)).alias("Count"))
+    if watermark is not None:
+        counted = counted.withColumn("_d", F.to_date(F.col("_d.start")))
     return counted.select(
         F.year("_d").alias("year_creation"),
         F.month("_d").alias("mth_creation"),
@@ -69,16 +86,26 @@ def read_alert_stream(spark: SparkSession, source_dir: str, schema: StructType,
 
 
 def start_mart_stream(counts: DataFrame, sink_path: str, checkpoint_path: str,
-                      available_now: bool = True, processing_time: str | None = None):
-    """Start the streaming mart; each batch overwrites ``sink_path``."""
+                      available_now: bool = True, processing_time: str | None = None,
+                      output_mode: str = "complete"):
+    """Start the streaming mart.
 
-    def write_batch(batch: DataFrame, _batch_id: int) -> None:
-        (batch.repartition("year_creation").write.mode("overwrite")
-              .partitionBy("year_creation").parquet(sink_path))
+    ``complete``: each batch overwrites ``sink_path`` with the whole mart.
+    ``append``: finalised days are appended to a Parquet sink.
+    """
+    if output_mode == "append":
+        writer = (counts.writeStream.outputMode("append").format("parquet")
+                  .partitionBy("year_creation")
+                  .option("checkpointLocation", checkpoint_path)
+                  .option("path", sink_path))
+    else:
+        def write_batch(batch: DataFrame, _batch_id: int) -> None:
+            (batch.repartition("year_creation").write.mode("overwrite")
+                  .partitionBy("year_creation").parquet(sink_path))
 
-    writer = (counts.writeStream.outputMode("complete")
-              .option("checkpointLocation", checkpoint_path)
-              .foreachBatch(write_batch))
+        writer = (counts.writeStream.outputMode("complete")
+                  .option("checkpointLocation", checkpoint_path)
+                  .foreachBatch(write_batch))
     if available_now:
         writer = writer.trigger(availableNow=True)
     elif processing_time:
@@ -89,14 +116,18 @@ def start_mart_stream(counts: DataFrame, sink_path: str, checkpoint_path: str,
 def stream_daily_mart(spark: SparkSession, source_dir: str, schema: StructType,
                       name_col: str, ts_col: str, glob: str | None = None,
                       sink_path: str | None = None, checkpoint_path: str | None = None,
+                      output_mode: str = "complete", watermark: str | None = None,
+                      max_files_per_trigger: int | None = None,
                       **count_kwargs) -> DataFrame:
     """Run the stream over everything currently in ``source_dir`` and return
     the stored mart (batch read of the sink)."""
+    if output_mode == "append" and watermark is None:
+        raise ValueError("append mode needs a watermark")
     sink = sink_path or scratch_path(spark, "stream-mart")
     ckpt = checkpoint_path or scratch_path(spark, "stream-checkpoint")
-    alerts = read_alert_stream(spark, source_dir, schema, glob)
-    counts = daily_counts(alerts, name_col, ts_col, **count_kwargs)
-    query = start_mart_stream(counts, sink, ckpt, available_now=True)
+    alerts = read_alert_stream(spark, source_dir, schema, glob, max_files_per_trigger)
+    counts = daily_counts(alerts, name_col, ts_col, watermark=watermark, **count_kwargs)
+    query = start_mart_stream(counts, sink, ckpt, available_now=True, output_mode=output_mode)
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()

@@ -60,6 +60,18 @@ def test_stream_equals_batch(spark):
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
 
 
+def test_append_stream_writes_closed_days_only(spark):
+    events = spark.read.parquet(f"{SF001}/events.parquet")
+    streamed = stream_daily_mart(spark, SF001, fx.stream_events_schema(), "event_type", "ts",
+                                 glob="events.parquet", output_mode="append", watermark="2 days")
+    last = events.agg(F.max("ts")).first()[0]
+    batch = daily_counts(events, "event_type", "ts")
+    closed = batch.filter(F.date_add("dt_creation", 1).cast("timestamp_ntz")
+                          <= F.lit(last) - F.expr("INTERVAL 2 DAYS"))
+    assert streamed.count() == closed.count() > 0
+    assert streamed.exceptAll(closed).count() == 0
+
+
 def test_stream_with_dimension_join(spark, tmp_path):
     src = tmp_path / "alerts"
     fx.dirty_fact(spark, SF001).withColumn(
