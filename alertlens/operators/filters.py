@@ -64,12 +64,22 @@ def apply_filters(mart: DataFrame, names: Any = None, years: Any = None,
     return df
 
 
+def _absent(value: Any) -> bool:
+    """An explorer argument that was not given: None, "" or an empty list.
+
+    "ALL" counts as given; it then means "no filter on that level".
+    """
+    if isinstance(value, (list, tuple, set, frozenset)):
+        return len(value) == 0
+    return value is None or value == ""
+
+
 def lookup(mart: DataFrame, names: Any, years: Any = None, months: Any = None,
            need_year: bool = False, need_month: bool = False) -> DataFrame:
     """Explorer lookup (P16): every needed argument must be given, else empty."""
-    missing = not normalize_selection(names)
-    missing |= need_year and not normalize_selection(years)
-    missing |= need_month and not normalize_selection(months)
+    missing = _absent(names)
+    missing |= need_year and _absent(years)
+    missing |= need_month and _absent(months)
     if missing:
         return mart.limit(0)
     return apply_filters(mart, names, years if need_year else None,

@@ -202,6 +202,11 @@ def q_explorer_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explorer.explorer_years(clean_mart(spark, sf_dir), "BUILDING")
 
 
+def q_explorer_years_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """'ALL' is a given name meaning every status (NULL names included)."""
+    return explorer.explorer_years(dirty_mart(spark, sf_dir), "ALL")
+
+
 def q_explorer_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explorer.explorer_months(dirty_mart(spark, sf_dir), "Escalated", "1996")
 
@@ -286,6 +291,7 @@ QUERIES: dict[str, Query] = {
     "peak_year": _on_clean(windows.peak_year),
     # explorer
     "explorer_years": q_explorer_years,
+    "explorer_years_all": q_explorer_years_all,
     "explorer_months": q_explorer_months,
     "explorer_dates": q_explorer_dates,
     "explorer_missing_arg": q_explorer_missing_arg,

@@ -450,6 +450,9 @@ GROUP BY year_creation ORDER BY "Count" DESC, year_creation ASC LIMIT 1""",
     "explorer_years": _C + """
 SELECT CAST(year_creation AS BIGINT) AS year, CAST(sum("Count") AS BIGINT) AS total_count
 FROM clean_mart WHERE NAME = 'BUILDING' GROUP BY 1""",
+    "explorer_years_all": _D + """
+SELECT CAST(year_creation AS BIGINT) AS year, CAST(sum("Count") AS BIGINT) AS total_count
+FROM dirty_mart GROUP BY 1""",
     "explorer_months": _D + f"""
 SELECT {_FULL_MONTH} AS month, mth_creation AS month_number,
        CAST(sum("Count") AS BIGINT) AS total_count

@@ -52,10 +52,17 @@ def test_year_as_text_equals_year_as_int(dirty_mart_001):
 
 def test_lookup_missing_argument_is_empty(dirty_mart_001):
     assert lookup(dirty_mart_001, None).count() == 0
+    assert lookup(dirty_mart_001, "", None).count() == 0
     assert lookup(dirty_mart_001, "New", None, need_year=True).count() == 0
     assert lookup(dirty_mart_001, "New", 1997, "", need_year=True, need_month=True).count() == 0
 
 
+def test_lookup_all_means_every_value_of_that_level(dirty_mart_001):
+    assert lookup(dirty_mart_001, "ALL").count() == dirty_mart_001.count()
+    only_new = apply_filters(dirty_mart_001, "New").count()
+    assert lookup(dirty_mart_001, "New", "ALL", need_year=True).count() == only_new
+
+
 @pytest.mark.parametrize("fixture,expected", [
     ("clean_mart_001", (11, 11)), ("clean_mart_01", (69, 105)),
     ("dirty_mart_001", (3, 3)), ("dirty_mart_01", (52, 61)),
