@@ -32,7 +32,7 @@ from pyspark.sql.types import (
 )
 
 from alertlens.config import BROADCAST_MAX_ROWS, EXCLUDED_DOMAIN
-from alertlens.functions.text import as_clean_string
+from alertlens.functions.text import as_clean_string, strip_ws
 from alertlens.functions.timestamps import creation_timestamp, is_typed_time
 from alertlens.session import scratch_path
 from alertlens.sources.readers import check_join_keys, prepare_dim, prepare_fact
@@ -52,9 +52,13 @@ MART_SCHEMA = StructType([
 def domain_kept(excluded: str = EXCLUDED_DOMAIN, column: str = "WW_DOMAIN_CODE") -> Column:
     """Predicate keeping rows whose stripped domain differs from ``excluded``.
 
-    NULL domains compare to NULL and are dropped, as in SQL.
+    NULL domains compare to NULL and are dropped, as in SQL. Only text that
+    contains the excluded value can strip down to it, so every other non-null
+    row is kept without paying for the strip (a cheap byte search instead).
     """
-    return as_clean_string(F.col(column)) != F.lit(excluded)
+    text = F.col(column).cast("string")
+    return F.when(text.contains(F.lit(excluded)), strip_ws(text) != F.lit(excluded)) \
+        .otherwise(text.isNotNull())
 
 
 def exclude_domain(fact: DataFrame, excluded: str = EXCLUDED_DOMAIN) -> DataFrame:

@@ -183,6 +183,28 @@ def test_timestamp_variants(spark):
     assert out[6:] == [None, None]
 
 
+TRICKY_TIMESTAMPS = [
+    "2024-03-05", "2024-03-05 10:11:12", "2024-03-05T10:11:12", " 2024-03-05 10:11:12 ",
+    "\t2024-03-05 10:11:12\n", "\u00a02024-03-05\u3000", "2024-02-30", "2024-02-30 10:11:12",
+    "2024-13-01 00:00:00", "2024-03-05 24:00:00", "2024-03-05 10:11:12.5", "2024-03-05T10:11:12Z",
+    "2024-03-05T10:11:12+02:00", "2024-03-05 10:11", "2024/03/05", "2024/03/05 10:11:12",
+    "05/03/2024", "05-03-2024 10:11:12", "20240305", "12345678", "2024", "2024-3-5",
+    "2024-03-05 1:02:03", "2024-03-0x", "abcd-ef-gh", "not a date", "", " ", None,
+    "2024-03-05 10:11:12.123456", "0001-01-01", "9999-12-31 23:59:59",
+]
+
+
+def test_fast_iso_path_equals_layout_chain(spark):
+    from alertlens.functions.timestamps import parse_timestamp_text
+
+    df = spark.createDataFrame([(v,) for v in TRICKY_TIMESTAMPS], "t string")
+    out = df.select(parse_timestamp_text(F.col("t")).alias("fast"),
+                    parse_timestamp_text(F.col("t"), fast_iso=False).alias("chain")).collect()
+    assert [r.fast for r in out] == [r.chain for r in out]
+    assert out[0].fast == dt.datetime(2024, 3, 5)
+    assert out[12].fast == dt.datetime(2024, 3, 5, 8, 11, 12)  # offset converted to UTC
+
+
 def test_typed_timestamp_columns(spark):
     date_schema = StructType([StructField("WW_STATUS_ID", IntegerType()),
                               StructField("WW_CREATION_TIMESTAMP", DateType()),
