@@ -110,16 +110,18 @@ def monthly_trend(mart: DataFrame, mode: str = "total", dense: bool = False) ->
 def _dense_grid(sparse: DataFrame, keys: list[str]) -> DataFrame:
     """Every status present x every key tuple present; absent cells -> 0.
 
-    The status set is one scalar-subquery value (bounded by the status
-    dimension), expanded per key tuple: no cartesian join, and the sparse
-    counts come back through a null-safe equi-join.
+    The key tuples (months or years present) are bounded by the calendar - at
+    most twelve per year - so their set travels as one scalar-subquery value
+    and is expanded per distinct status, distributed over the statuses; no
+    cartesian join, and nothing that grows with the status table is
+    collected. The sparse counts come back through a null-safe equi-join.
     """
-    statuses = sparse.agg(F.collect_set(F.struct(F.col(N).alias("_name")))).scalar()
+    periods = sparse.agg(F.collect_set(F.struct(*keys))).scalar()
     grid = (
-        sparse.select(*keys).distinct()
-        .withColumn("_names", statuses)
-        .select(*keys, F.explode("_names").alias("_s"))
-        .select(*keys, F.col("_s._name").alias(N))
+        sparse.select(N).distinct()
+        .withColumn("_periods", periods)
+        .select(N, F.explode("_periods").alias("_p"))
+        .select(*[F.col(f"_p.{k}").alias(k) for k in keys], N)
     )
     right = sparse.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
                           F.col(N).alias("_r_name"), F.col(C).alias("_r_count"))
