@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from alertlens.config import BROADCAST_MAX_ROWS, CLOSED_PREFIX, ESCALATED_NAME, EXCLUDED_DOMAIN
@@ -33,11 +34,19 @@ class AlertDashboard:
     def from_tables(cls, spark: SparkSession, fact: DataFrame, dim: DataFrame,
                     excluded_domain: str = EXCLUDED_DOMAIN, materialize: bool = True,
                     path: str | None = None, broadcast_max_rows: int = BROADCAST_MAX_ROWS,
-                    **kwargs) -> "AlertDashboard":
+                    cache: bool = True, **kwargs) -> "AlertDashboard":
+        """Build the mart once; store it (``materialize``) and keep it in memory.
+
+        The in-memory copy (days x statuses rows) plays the role of the
+        original's in-process cache; its lineage is only the stored files, so
+        a lost block is re-read from them, never recomputed from raw alerts.
+        """
         mart = build_mart(fact, dim, excluded_domain=excluded_domain,
                           broadcast_max_rows=broadcast_max_rows)
         if materialize:
             mart = materialize_mart(spark, mart, path)
+            if cache:
+                mart = mart.persist(StorageLevel.MEMORY_AND_DISK)
         return cls(mart, **kwargs)
 
     @classmethod

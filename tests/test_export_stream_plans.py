@@ -104,6 +104,17 @@ def test_dashboard_facade(spark):
     assert dash.available_years("New").count() == 7
 
 
+def test_dashboard_from_paths_reads_files(spark, tmp_path):
+    fact_path, dim_path = str(tmp_path / "alert_header"), str(tmp_path / "statuses")
+    fx.dirty_fact(spark, SF001, padded_headers=True).write.parquet(fact_path)
+    fx.dirty_dim(spark).toDF(" ID", "NAME ").write.parquet(dim_path)
+    dash = AlertDashboard.from_paths(spark, fact_path, dim_path,
+                                     excluded_domain=fx.DIRTY_EXCLUDED_DOMAIN)
+    k = dash.kpis().first()
+    assert (k.total_alerts, k.open_alerts, k.closure_rate, k.escalation_rate) == (904, 448, 39.5, 12.1)
+    assert dash.sorted_mart().count() == 883
+
+
 # -- plans ---------------------------------------------------------------------------
 
 def test_mart_plan_is_broadcast_one_shuffle_pruned(spark, capsys):
