@@ -110,24 +110,25 @@ def monthly_trend(mart: DataFrame, mode: str = "total", dense: bool = False) ->
 def _dense_grid(sparse: DataFrame, keys: list[str]) -> DataFrame:
     """Every status present x every key tuple present; absent cells -> 0.
 
-    The key tuples (months or years present) are bounded by the calendar - at
-    most twelve per year - so their set travels as one scalar-subquery value
-    and is expanded per distinct status, distributed over the statuses; no
-    cartesian join, and nothing that grows with the status table is
-    collected. The sparse counts come back through a null-safe equi-join.
+    Per status, the counts become a map keyed by the period (month or year):
+    one entry per period, so each group is bounded by the calendar - at most
+    twelve entries per year. The set of periods present (calendar-bounded
+    too) is read from those map keys as one scalar-subquery value and
+    expanded per status; each cell is a map lookup. There is no cartesian
+    join and no join back to the counts, nothing that grows with the status
+    table is collected, and the subquery shares the per-status aggregate, so
+    the input is scanned once.
     """
-    periods = sparse.agg(F.collect_set(F.struct(*keys))).scalar()
-    grid = (
-        sparse.select(N).distinct()
-        .withColumn("_periods", periods)
-        .select(N, F.explode("_periods").alias("_p"))
-        .select(*[F.col(f"_p.{k}").alias(k) for k in keys], N)
-    )
-    right = sparse.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
-                          F.col(N).alias("_r_name"), F.col(C).alias("_r_count"))
-    cond = [grid[k] == right[f"_r_{k}"] for k in keys] + [grid[N].eqNullSafe(right["_r_name"])]
-    return grid.join(right, cond, "left").select(
-        *keys, N, F.coalesce(F.col("_r_count"), F.lit(0)).cast("bigint").alias(C)
+    period = F.struct(*[F.col(k) for k in keys])
+    per_status = sparse.groupBy(N).agg(
+        F.map_from_entries(F.collect_list(F.struct(period.alias("k"), F.col(C).alias("v"))))
+        .alias("_m"))
+    periods = per_status.select(F.explode(F.map_keys("_m")).alias("_p")) \
+        .agg(F.collect_set("_p")).scalar()
+    cells = per_status.select(N, "_m", F.explode_outer(periods).alias("_p"))
+    return cells.select(
+        *[F.col(f"_p.{k}").alias(k) for k in keys], N,
+        F.coalesce(F.element_at("_m", F.col("_p")), F.lit(0)).cast("bigint").alias(C),
     )
 
 

@@ -19,7 +19,8 @@ _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def local_session(master: str = "local[*]", app_name: str = "alertlens",
-                  shuffle_partitions: int | None = None) -> SparkSession:
+                  shuffle_partitions: int | None = None,
+                  extra_conf: dict[str, str] | None = None) -> SparkSession:
     """A session for tests and the bench. Cluster jobs bring their own."""
     cpus = os.cpu_count() or 8
     builder = (
@@ -33,6 +34,8 @@ def local_session(master: str = "local[*]", app_name: str = "alertlens",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", "8g")
     )
+    for key, value in (extra_conf or {}).items():
+        builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
