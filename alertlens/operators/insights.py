@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from alertlens.config import (
     CLOSED_PREFIX,
+    NONE_TEXT,
     TEXT_AVERAGE,
     TEXT_BACKLOG,
     TEXT_BIGGEST_JUMP,
@@ -151,7 +152,7 @@ def status_insights(mart: DataFrame, closed_prefix: str = CLOSED_PREFIX) -> Data
     start with the closed prefix).
     """
     totals = status_totals(mart)
-    closed = F.coalesce(F.col(N), F.lit("None")).startswith(closed_prefix)
+    closed = F.coalesce(F.col(N), F.lit(NONE_TEXT)).startswith(closed_prefix)
     stats = totals.agg(F.struct(
         F.sum(C).alias("total"),
         F.coalesce(F.sum(F.when(closed, F.col(C))), F.lit(0)).alias("closed"),

@@ -170,3 +170,23 @@ def test_name_filter_over_unmaterialised_mart_reaches_dimension(spark, capsys):
                    excluded_domain=fx.CLEAN_EXCLUDED_DOMAIN)
     text = _formatted(apply_filters(m, names="BUILDING"), capsys)
     assert "c_mktsegment" in text
+
+
+# -- command line jobs ---------------------------------------------------------------
+
+def test_cli_mart_export_report(spark, tmp_path, capsys):
+    from alertlens.__main__ import main
+
+    fact_path, dim_path = str(tmp_path / "alert_header"), str(tmp_path / "statuses")
+    fx.dirty_fact(spark, SF001, padded_headers=True).write.parquet(fact_path)
+    fx.dirty_dim(spark).write.parquet(dim_path)
+    mart_path, out = str(tmp_path / "mart"), str(tmp_path / "payload")
+    assert main(["mart", "--alert-header", fact_path, "--statuses", dim_path,
+                 "--out", mart_path]) == 0
+    assert "883 rows, 7 statuses, 7 years" in capsys.readouterr().out
+    assert main(["export", "--mart", mart_path, "--out", out, "--null-name-label", "None"]) == 0
+    assert "7 statuses | 7 years | 883 rows" in capsys.readouterr().out
+    assert spark.read.json(f"{out}/rows").filter(F.col("n") == "None").count() > 0
+    assert main(["report", "--mart", mart_path, "--years", "1996,1997"]) == 0
+    text = capsys.readouterr().out
+    assert text.startswith("total ") and "- Highest year:" in text
