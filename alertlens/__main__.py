@@ -1,4 +1,4 @@
-"""Batch jobs: ``spark-submit -m alertlens <command> ...`` or ``python -m alertlens``.
+"""Batch jobs: ``python -m alertlens <command> ...`` (or ``spark-submit`` this file).
 
     mart    build the daily mart from the two inputs and store it (Parquet,
             partitioned by year)
