@@ -25,7 +25,7 @@ from alertlens.operators.mart import (
 from alertlens.sources import export
 from alertlens.sources import fixtures as fx
 from alertlens.sources.readers import normalize_headers
-from alertlens.streaming.mart_stream import stream_daily_mart
+from alertlens.streaming.mart_stream import daily_counts, stream_daily_mart
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -141,6 +141,11 @@ def q_stream_daily_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
                              glob="events.parquet")
 
 
+def q_events_daily_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch twin of the streamed mart over ``events`` (fixture C)."""
+    return daily_counts(fx.table(spark, sf_dir, "events"), "event_type", "ts")
+
+
 def q_stream_daily_mart_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Watermarked stream: only days the watermark has closed are written."""
     return stream_daily_mart(spark, sf_dir, fx.stream_events_schema(), "event_type", "ts",
@@ -256,6 +261,7 @@ QUERIES: dict[str, Query] = {
     "daily_mart_years": q_daily_mart_years,
     "mart_fanout": q_mart_fanout,
     "mart_hot_status": q_mart_hot_status,
+    "events_daily_mart": q_events_daily_mart,
     "stream_daily_mart": q_stream_daily_mart,
     "stream_daily_mart_append": q_stream_daily_mart_append,
     # filters

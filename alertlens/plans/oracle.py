@@ -381,6 +381,7 @@ GROUP BY c_nationkey HAVING count(*) > 1""",
     "daily_mart_years": _mart("clean", "year_creation IN (1996, 1997)"),
     "mart_fanout": _FANOUT,
     "mart_hot_status": _HOT,
+    "events_daily_mart": _STREAM,
     "stream_daily_mart": _STREAM,
     "stream_daily_mart_append": _STREAM_APPEND,
     "filter_names": _mart("dirty", "NAME IN ('New', 'Escalated')"),
