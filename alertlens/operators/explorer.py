@@ -27,12 +27,17 @@ def explorer_years(mart: DataFrame, name: Any) -> DataFrame:
     )
 
 
-def explorer_months(mart: DataFrame, name: Any, year: Any) -> DataFrame:
-    """Months of one status and year (A11). Missing argument -> empty."""
+def explorer_months(mart: DataFrame, name: Any, year: Any,
+                    month_labels: str = "full") -> DataFrame:
+    """Months of one status and year (A11). Missing argument -> empty.
+
+    ``month_labels='abbr'`` gives 'Jan' instead of 'January' (D7).
+    """
     df = lookup(mart, name, years=year, need_year=True)
+    label_fn = month_abbr if month_labels == "abbr" else month_full
     return (
         df.groupBy(M).agg(F.sum(C).cast("bigint").alias("total_count"))
-        .select(month_full(F.col(M)).alias("month"), F.col(M).alias("month_number"),
+        .select(label_fn(F.col(M)).alias("month"), F.col(M).alias("month_number"),
                 "total_count")
         .orderBy("month_number")
     )

@@ -184,6 +184,18 @@ def test_average_rounds_half_to_even(spark):
     assert avg.value == 2 and avg.text.endswith("is 2 alerts.")
 
 
+def test_static_wording_and_rounding(spark):
+    m = mart_frame(spark, [(2024, 1, 1, "a", 2), (2024, 2, 1, "a", 3)])
+    texts = _texts(insights.trend_total_insights(m, static_wording=True))
+    assert texts[1] == "Trend direction: alert volume increased by 1 from Jan 2024 to Feb 2024."
+    assert texts[2] == "Average monthly workload across the selected period is 3 alerts."
+
+
+def test_explorer_month_abbreviations(dirty_mart_001):
+    rows = explorer.explorer_months(dirty_mart_001, "New", 1997, month_labels="abbr").collect()
+    assert rows and all(len(r.month) == 3 for r in rows)
+
+
 def test_thousands_separator(spark):
     m = mart_frame(spark, [(2024, 1, 1, "a", 1234567)])
     assert "1,234,567" in _texts(insights.trend_total_insights(m))[0]
