@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DoubleType,
-    IntegerType,
     LongType,
     StringType,
     StructField,
@@ -86,12 +85,15 @@ def dirty_fact(spark: SparkSession, sf_dir: str, padded_headers: bool = False) -
 
 
 def dirty_dim(spark: SparkSession) -> DataFrame:
-    """Fixture B statuses: a literal seven-row table (id 7 stays unmatched)."""
-    schema = StructType([
-        StructField("ID", IntegerType(), False),
-        StructField("NAME", StringType(), True),
-    ])
-    return spark.createDataFrame(list(DIRTY_STATUSES), schema)
+    """Fixture B statuses: a literal seven-row table (id 7 stays unmatched).
+
+    Built as an SQL ``VALUES`` relation: a local relation the optimizer can
+    size and count without scheduling tasks.
+    """
+    rows = ", ".join("({}, '{}')".format(i, name.replace("'", "''"))
+                     for i, name in DIRTY_STATUSES)
+    return spark.sql(
+        f"SELECT CAST(ID AS INT) AS ID, CAST(NAME AS STRING) AS NAME FROM VALUES {rows} AS t(ID, NAME)")
 
 
 def stream_events_schema() -> StructType:
