@@ -171,14 +171,21 @@ def build_mart(fact: DataFrame, dim: DataFrame, excluded_domain: str = EXCLUDED_
             .agg(F.count(F.lit(1)).alias("Count"))
         )
     else:
+        # Both sides are collapsed before the shuffle join: the fact to one row
+        # per (status id, day), the dimension to distinct (id, name) pairs with
+        # their multiplicity, so neither a hot status id nor a heavily
+        # duplicated dimension id concentrates rows in one join task. The
+        # fan-out of duplicate ids is kept exactly: count x multiplicity.
         per_status_day = (
             alerts.groupBy("_sid", F.to_date("_ts").alias("_d"))
             .agg(F.count(F.lit(1)).alias("_n"))
         )
+        pairs = names.groupBy("ID", "NAME").agg(F.count(F.lit(1)).alias("_mult")) \
+            .withColumnRenamed("ID", "_status_id")
         counted = (
-            per_status_day.join(right, on, "left")
+            per_status_day.join(pairs, on, "left")
             .groupBy("_d", "NAME")
-            .agg(F.sum("_n").alias("Count"))
+            .agg(F.sum(F.col("_n") * F.coalesce(F.col("_mult"), F.lit(1))).alias("Count"))
         )
     return counted.select(
         F.year("_d").alias("year_creation"),

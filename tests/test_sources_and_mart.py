@@ -58,6 +58,21 @@ def test_shuffle_path_equals_broadcast_path(spark, kind):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+def test_fanout_dimension_same_on_both_paths(spark):
+    from alertlens.plans.catalog import q_mart_fanout
+
+    a = q_mart_fanout(spark, SF001)
+    dim = spark.read.parquet(f"{SF001}/nation.parquet").select(
+        F.col("n_regionkey").cast("bigint").alias("ID"), F.col("n_name").alias("NAME"))
+    fact = spark.read.parquet(f"{SF001}/orders.parquet").select(
+        (F.col("o_custkey") % 7).alias("WW_STATUS_ID"),
+        F.col("o_orderdate").alias("WW_CREATION_TIMESTAMP"),
+        F.col("o_orderpriority").alias("WW_DOMAIN_CODE"))
+    b = build_mart(fact, dim, excluded_domain=fx.CLEAN_EXCLUDED_DOMAIN, broadcast_max_rows=0)
+    assert a.count() > 0
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
 def test_years_option_equals_filter(spark):
     full = clean_mart(spark, SF01).filter(F.col("year_creation").isin(1996, 1997))
     pushed = clean_mart(spark, SF01, years=[1996, "1997"])
