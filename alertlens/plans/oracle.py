@@ -131,9 +131,11 @@ def _trend_compare_dense(kind: str) -> str:
     pre, rel = _src(kind)
     return pre.rstrip("\n") + f""",
 s AS (SELECT NAME, year_creation, mth_creation, sum("Count") AS c FROM {rel} GROUP BY ALL),
-names AS (SELECT DISTINCT NAME FROM s),
-periods AS (SELECT DISTINCT year_creation, mth_creation FROM s),
-grid AS (SELECT n.NAME, p.year_creation, p.mth_creation FROM names n CROSS JOIN periods p)
+per_name AS (SELECT NAME,
+                    unnest((SELECT list(DISTINCT year_creation * 100 + mth_creation) FROM s)) AS ym
+             FROM (SELECT DISTINCT NAME FROM s) n),
+grid AS (SELECT NAME, CAST(ym // 100 AS INTEGER) AS year_creation,
+                CAST(ym % 100 AS INTEGER) AS mth_creation FROM per_name)
 SELECT g.NAME, g.year_creation, g.mth_creation, CAST(coalesce(s.c, 0) AS BIGINT) AS "Count",
        strftime(make_date(g.year_creation, g.mth_creation, 1), '%b') || ' '
          || CAST(g.year_creation AS VARCHAR) AS period_label,
@@ -153,11 +155,12 @@ def _yearly_dense(kind: str) -> str:
     pre, rel = _src(kind)
     return pre.rstrip("\n") + f""",
 s AS (SELECT NAME, year_creation, sum("Count") AS c FROM {rel} GROUP BY ALL),
-names AS (SELECT DISTINCT NAME FROM s),
-yrs AS (SELECT DISTINCT year_creation FROM s)
-SELECT n.NAME, y.year_creation, CAST(coalesce(s.c, 0) AS BIGINT) AS "Count"
-FROM names n CROSS JOIN yrs y
-LEFT JOIN s ON s.NAME IS NOT DISTINCT FROM n.NAME AND s.year_creation = y.year_creation"""
+grid AS (SELECT NAME, unnest((SELECT list(DISTINCT year_creation) FROM s)) AS year_creation
+         FROM (SELECT DISTINCT NAME FROM s) n)
+SELECT g.NAME, CAST(g.year_creation AS INTEGER) AS year_creation,
+       CAST(coalesce(s.c, 0) AS BIGINT) AS "Count"
+FROM grid g
+LEFT JOIN s ON s.NAME IS NOT DISTINCT FROM g.NAME AND s.year_creation = g.year_creation"""
 
 
 # -- insights -----------------------------------------------------------------------
