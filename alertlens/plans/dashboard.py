@@ -8,6 +8,7 @@ is pushed into the Parquet scan. Each method returns a lazy DataFrame.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark import StorageLevel
@@ -130,6 +131,36 @@ class AlertDashboard:
                         positive_only: bool = False) -> DataFrame:
         return insights.yearly_insights(self.filtered(names, years, months), positive_only)
 
+    # -- one filter change ------------------------------------------------------------
+
+    def panels(self, names: Any = None, years: Any = None, months: Any = None,
+               trend_mode: str = "total", dense: bool = False) -> dict[str, DataFrame]:
+        """Every panel of one dashboard refresh, as lazy DataFrames."""
+        sel = {"names": names, "years": years, "months": months}
+        return {
+            "kpis": self.kpis(**sel),
+            "status_distribution": self.status_distribution(**sel),
+            "monthly_trend": self.monthly_trend(**sel, mode=trend_mode, dense=dense),
+            "yearly_breakdown": self.yearly_breakdown(**sel, dense=dense),
+            "trend_insights": self.trend_insights(**sel, mode=trend_mode),
+            "status_insights": self.status_insights(**sel),
+            "yearly_insights": self.yearly_insights(**sel),
+        }
+
+    def refresh(self, names: Any = None, years: Any = None, months: Any = None,
+                trend_mode: str = "total", dense: bool = False,
+                max_workers: int = 4) -> dict[str, list]:
+        """Run every panel concurrently and return their rows.
+
+        Panels are independent Spark jobs over the (small) mart, submitted
+        from a few driver threads so the scheduler overlaps them; each result
+        is bounded by statuses x periods, which is what a dashboard displays.
+        """
+        frames = self.panels(names, years, months, trend_mode, dense)
+        with ThreadPoolExecutor(max_workers=max_workers) as pool:
+            futures = {name: pool.submit(df.collect) for name, df in frames.items()}
+            return {name: fut.result() for name, fut in futures.items()}
+
     # -- export -----------------------------------------------------------------
 
     def export(self, path: str, null_name_label: str | None = None) -> dict[str, str]:

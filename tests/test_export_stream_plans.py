@@ -104,6 +104,18 @@ def test_dashboard_facade(spark):
     assert dash.available_years("New").count() == 7
 
 
+def test_dashboard_refresh_runs_every_panel(spark):
+    dash = AlertDashboard.from_tables(spark, fx.dirty_fact(spark, SF001), fx.dirty_dim(spark),
+                                      excluded_domain=fx.DIRTY_EXCLUDED_DOMAIN)
+    out = dash.refresh(names=["New", "Closed"], years=[1997, 1998], trend_mode="compare",
+                       dense=True)
+    assert set(out) == {"kpis", "status_distribution", "monthly_trend", "yearly_breakdown",
+                        "trend_insights", "status_insights", "yearly_insights"}
+    assert out["kpis"][0].total_alerts == sum(r.Count for r in out["status_distribution"])
+    assert len(out["monthly_trend"]) == 2 * len({(r.year_creation, r.mth_creation)
+                                                  for r in out["monthly_trend"]})
+
+
 def test_dashboard_from_paths_reads_files(spark, tmp_path):
     fact_path, dim_path = str(tmp_path / "alert_header"), str(tmp_path / "statuses")
     fx.dirty_fact(spark, SF001, padded_headers=True).write.parquet(fact_path)
