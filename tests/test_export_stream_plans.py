@@ -202,3 +202,18 @@ def test_cli_mart_export_report(spark, tmp_path, capsys):
     assert main(["report", "--mart", mart_path, "--years", "1996,1997"]) == 0
     text = capsys.readouterr().out
     assert text.startswith("total ") and "- Highest year:" in text
+
+
+def test_checkpoint_dir_setting_is_respected(spark, tmp_path):
+    from alertlens.session import ensure_checkpoint_dir, scratch_path
+
+    sc = spark.sparkContext
+    before = sc.getCheckpointDir()
+    target = str(tmp_path / "shared")
+    sc.setCheckpointDir(target)
+    try:
+        assert ensure_checkpoint_dir(spark).endswith("shared") or "shared" in sc.getCheckpointDir()
+        assert "shared" in scratch_path(spark, "mart")
+    finally:
+        if before:
+            sc.setCheckpointDir(before)
