@@ -28,7 +28,7 @@ DIM_LABEL = "workflow_statuses.parquet"
 # Selection values that mean "no filter".
 NO_FILTER_VALUES = (None, "", "ALL")
 
-# Insight texts. `{}` marks are filled by Spark's format_string (%s / %,d).
+# Insight texts; the %d / %s marks are filled by Spark's format_string.
 TEXT_NO_TREND = "No trend insight available."
 TEXT_NO_STATUS = "No status insight available."
 TEXT_NO_YEARLY = "No yearly insight available."
@@ -39,14 +39,8 @@ TEXT_TREND_DIRECTION = "Trend direction: selected alert volume %s by %s from %s
 TEXT_STATIC_TREND_DIRECTION = "Trend direction: alert volume %s by %s from %s to %s."
 TEXT_AVERAGE = "Average monthly workload across the selected period is %s alerts."
 TEXT_TOP_STATUS = "Top %d status: %s contributes %s alerts (%s%% of selected workload)."
-TEXT_BACKLOG = (
-    "Operational signal: open-stage alerts exceed closed-stage alerts, "
-    "which may indicate backlog pressure."
-)
-TEXT_THROUGHPUT = (
-    "Operational signal: closed-stage alerts remain higher than open-stage alerts, "
-    "suggesting stronger completion throughput."
-)
+TEXT_BACKLOG = "Operational signal: open-stage alerts exceed closed-stage alerts, which may indicate backlog pressure."  # noqa: E501
+TEXT_THROUGHPUT = "Operational signal: closed-stage alerts remain higher than open-stage alerts, suggesting stronger completion throughput."  # noqa: E501
 TEXT_HIGHEST_YEAR = "Highest year: %d recorded the largest total with %s alerts."
 TEXT_LONG_TERM = "Long-term direction: yearly workload %s by %s from %d to %d."
 TEXT_BIGGEST_JUMP = "Biggest year-on-year jump: %d rose by %s versus the previous year."
