@@ -6,6 +6,8 @@
             directories, from the inputs or from a stored mart
     report  show KPIs, the status distribution and the insights for a
             selection, from a stored mart
+    stream  keep a stored mart up to date from a folder of alert files
+            (Structured Streaming; complete, or watermarked append)
 
 The session comes from the environment (``spark-submit`` / cluster
 defaults); ``--local`` starts a local one for trying things out.
@@ -79,6 +81,25 @@ def cmd_report(spark: SparkSession, args: argparse.Namespace) -> None:
             print(f"- {row.text}")
 
 
+def cmd_stream(spark: SparkSession, args: argparse.Namespace) -> None:
+    from alertlens.streaming.mart_stream import daily_counts, read_alert_stream, start_mart_stream
+
+    schema = spark.read.parquet(args.source).schema  # one listing, to fix the schema
+    alerts = read_alert_stream(spark, args.source, schema, args.glob, args.max_files_per_trigger)
+    dim = read_workflow_statuses(spark, args.statuses) if args.statuses else None
+    counts = daily_counts(alerts, args.name_col, args.ts_col, dim=dim, status_col=args.status_col,
+                          domain_col=args.domain_col, excluded_domain=args.excluded_domain,
+                          watermark=args.watermark)
+    query = start_mart_stream(counts, args.out, args.checkpoint,
+                              available_now=args.available_now,
+                              processing_time=None if args.available_now else args.trigger,
+                              output_mode=args.mode)
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+    print(f"stream stopped; mart at {args.out}")
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="alertlens", description=__doc__.split("\n\n")[0])
     p.add_argument("--local", action="store_true", help="start a local session")
@@ -107,6 +128,24 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--months", help="comma-separated months")
     r.add_argument("--trend-mode", default="total", choices=["total", "compare"])
     r.add_argument("--top", type=int, default=10)
+
+    st = sub.add_parser("stream", help="keep a stored mart up to date from a folder of files")
+    st.add_argument("--source", required=True, help="folder the alert files land in")
+    st.add_argument("--glob", help="file name filter, e.g. '*.parquet'")
+    st.add_argument("--ts-col", default="WW_CREATION_TIMESTAMP")
+    st.add_argument("--name-col", default="NAME", help="status name column (no --statuses)")
+    st.add_argument("--statuses", help="status table to join (then --status-col is the key)")
+    st.add_argument("--status-col", default="WW_STATUS_ID")
+    st.add_argument("--domain-col", default="WW_DOMAIN_CODE")
+    st.add_argument("--excluded-domain", default=EXCLUDED_DOMAIN)
+    st.add_argument("--mode", default="complete", choices=["complete", "append"])
+    st.add_argument("--watermark", help="event-time delay, e.g. '2 days' (append mode)")
+    st.add_argument("--max-files-per-trigger", type=int)
+    st.add_argument("--trigger", default="1 minute", help="processing-time trigger")
+    st.add_argument("--available-now", action="store_true",
+                    help="process what is there, then stop")
+    st.add_argument("--out", required=True)
+    st.add_argument("--checkpoint", required=True, help="streaming checkpoint (shared storage)")
     return p
 
 
@@ -114,8 +153,11 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     if args.command == "export" and args.alert_header and not args.statuses:
         parser().error("--statuses is required with --alert-header")
+    if args.command == "stream" and args.mode == "append" and not args.watermark:
+        parser().error("--watermark is required with --mode append")
     spark = _session(args.local)
-    {"mart": cmd_mart, "export": cmd_export, "report": cmd_report}[args.command](spark, args)
+    commands = {"mart": cmd_mart, "export": cmd_export, "report": cmd_report, "stream": cmd_stream}
+    commands[args.command](spark, args)
     return 0
 
 
