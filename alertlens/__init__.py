@@ -8,12 +8,19 @@ Typical use::
 """
 
 from alertlens.operators.filters import apply_filters, normalize_selection
-from alertlens.operators.mart import build_mart, daily_mart, load_mart, materialize_mart, write_mart
+from alertlens.operators.mart import (
+    build_mart,
+    daily_mart,
+    load_mart,
+    materialize_mart,
+    refresh_mart,
+    write_mart,
+)
 from alertlens.plans.dashboard import AlertDashboard
 from alertlens.sources.readers import SchemaError, read_alert_header, read_workflow_statuses
 
 __all__ = [
     "AlertDashboard", "SchemaError", "apply_filters", "build_mart", "daily_mart", "load_mart",
     "materialize_mart", "normalize_selection", "read_alert_header", "read_workflow_statuses",
-    "write_mart",
+    "refresh_mart", "write_mart",
 ]

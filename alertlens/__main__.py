@@ -21,7 +21,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from alertlens.config import EXCLUDED_DOMAIN
-from alertlens.operators.mart import build_mart, load_mart, write_mart
+from alertlens.operators.mart import build_mart, load_mart, refresh_mart, write_mart
 from alertlens.plans.dashboard import AlertDashboard
 from alertlens.sources.export import export_summary, write_export
 from alertlens.sources.readers import read_alert_header, read_workflow_statuses
@@ -50,10 +50,14 @@ def _mart_from_args(spark: SparkSession, args: argparse.Namespace):
 
 
 def cmd_mart(spark: SparkSession, args: argparse.Namespace) -> None:
-    mart = build_mart(read_alert_header(spark, args.alert_header),
-                      read_workflow_statuses(spark, args.statuses),
-                      excluded_domain=args.excluded_domain)
-    write_mart(mart, args.out)
+    fact = read_alert_header(spark, args.alert_header)
+    dim = read_workflow_statuses(spark, args.statuses)
+    years = _csv(args.years)
+    if years:
+        refresh_mart(fact, dim, args.out, [int(y) for y in years],
+                     excluded_domain=args.excluded_domain)
+    else:
+        write_mart(build_mart(fact, dim, excluded_domain=args.excluded_domain), args.out)
     s = export_summary(load_mart(spark, args.out)).first()
     print(f"mart written to {args.out}: {s.n_rows:,} rows, {s.n_names} statuses, "
           f"{s.n_years} years")
@@ -109,6 +113,7 @@ def parser() -> argparse.ArgumentParser:
     m.add_argument("--alert-header", required=True)
     m.add_argument("--statuses", required=True)
     m.add_argument("--excluded-domain", default=EXCLUDED_DOMAIN)
+    m.add_argument("--years", help="comma-separated years: rebuild and replace only these")
     m.add_argument("--out", required=True)
 
     e = sub.add_parser("export", help="write the JSON payload")

@@ -20,8 +20,12 @@ from alertlens.operators.mart import (
     build_mart,
     daily_mart,
     exclude_domain,
+    load_mart,
+    refresh_mart,
     with_creation_ts,
+    write_mart,
 )
+from alertlens.session import scratch_path
 from alertlens.sources import export
 from alertlens.sources import fixtures as fx
 from alertlens.sources.readers import normalize_headers
@@ -122,6 +126,15 @@ def q_daily_mart_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_mart(spark, sf_dir, years=FILTER_YEARS)
 
 
+def q_daily_mart_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored mart, then two years rebuilt in place (dynamic partition overwrite)."""
+    path = scratch_path(spark, "refreshed-mart")
+    write_mart(clean_mart(spark, sf_dir), path)
+    refresh_mart(fx.clean_fact(spark, sf_dir), fx.clean_dim(spark, sf_dir), path, FILTER_YEARS,
+                 excluded_domain=fx.CLEAN_EXCLUDED_DOMAIN)
+    return load_mart(spark, path)
+
+
 def hot_status_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixture A alerts with one status id (1) holding every third alert."""
     return fx.clean_fact(spark, sf_dir).withColumn(
@@ -259,6 +272,7 @@ QUERIES: dict[str, Query] = {
     "daily_mart_dirty": q_daily_mart_dirty,
     "daily_mart_shuffle": q_daily_mart_shuffle,
     "daily_mart_years": q_daily_mart_years,
+    "daily_mart_refreshed": q_daily_mart_refreshed,
     "mart_fanout": q_mart_fanout,
     "mart_hot_status": q_mart_hot_status,
     "events_daily_mart": q_events_daily_mart,

@@ -382,6 +382,7 @@ GROUP BY c_nationkey HAVING count(*) > 1""",
     "daily_mart_dirty": _mart("dirty"),
     "daily_mart_shuffle": _mart("clean"),
     "daily_mart_years": _mart("clean", "year_creation IN (1996, 1997)"),
+    "daily_mart_refreshed": _mart("clean"),
     "mart_fanout": _FANOUT,
     "mart_hot_status": _HOT,
     "events_daily_mart": _STREAM,

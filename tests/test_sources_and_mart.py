@@ -96,6 +96,20 @@ def test_daily_mart_schema_and_order(spark):
     assert keys == sorted(keys)
 
 
+def test_refresh_mart_rewrites_only_given_years(spark, tmp_path):
+    from alertlens.operators.mart import refresh_mart, write_mart
+
+    path = str(tmp_path / "mart")
+    full = clean_mart(spark, SF001)
+    stale = full.withColumn("Count", F.when(F.col("year_creation") == 1996, F.lit(0))
+                            .otherwise(F.col("Count")).cast("bigint"))
+    write_mart(stale, path)
+    refresh_mart(fx.clean_fact(spark, SF001), fx.clean_dim(spark, SF001), path, [1996],
+                 excluded_domain=fx.CLEAN_EXCLUDED_DOMAIN)
+    stored = load_mart(spark, path)
+    assert stored.exceptAll(full).count() == 0 and full.exceptAll(stored).count() == 0
+
+
 def test_materialized_mart_round_trip(spark):
     m = clean_mart(spark, SF001)
     stored = materialize_mart(spark, m)
