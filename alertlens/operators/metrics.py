@@ -98,6 +98,12 @@ def trend_compare(mart: DataFrame) -> DataFrame:
         .orderBy(Y, M, F.asc_nulls_first(N))
 
 
+def trend_periods(mart: DataFrame) -> DataFrame:
+    """The chart's period axis: distinct months present, in time order."""
+    periods = mart.select(Y, M).dropna().distinct()
+    return _with_period(periods).select("period_label", "period_order").orderBy("period_order")
+
+
 def monthly_trend(mart: DataFrame, mode: str = "total", dense: bool = False) -> DataFrame:
     """``mode='compare'`` splits by status; any other mode is the total."""
     if mode == "compare":

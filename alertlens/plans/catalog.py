@@ -297,6 +297,7 @@ QUERIES: dict[str, Query] = {
     "trend_total": _on_clean(metrics.trend_total),
     "trend_compare": _on_dirty(metrics.trend_compare),
     "trend_compare_dense": _on_dirty(metrics.trend_compare_dense),
+    "trend_periods": _on_dirty(metrics.trend_periods),
     "yearly_breakdown": _on_dirty(metrics.yearly_breakdown),
     "yearly_dense": _on_dirty(metrics.yearly_dense),
     "year_totals": _on_clean(metrics.year_totals),

@@ -410,6 +410,10 @@ SELECT NAME, CAST(sum("Count") AS BIGINT) AS total_count FROM dirty_mart GROUP B
     "trend_total": _trend_total("clean"),
     "trend_compare": _trend_compare("dirty"),
     "trend_compare_dense": _trend_compare_dense("dirty"),
+    "trend_periods": _D + f"""
+SELECT DISTINCT {_LABEL} AS period_label,
+       CAST(year_creation * 100 + mth_creation AS INTEGER) AS period_order
+FROM dirty_mart""",
     "yearly_breakdown": _yearly_breakdown("dirty"),
     "yearly_dense": _yearly_dense("dirty"),
     "year_totals": _C + """
