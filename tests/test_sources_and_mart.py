@@ -288,3 +288,29 @@ def test_load_mart_restores_order(spark, tmp_path):
     write_mart(clean_mart(spark, SF001), path)
     assert load_mart(spark, path).columns == ["year_creation", "mth_creation", "dt_creation",
                                               "NAME", "Count"]
+
+
+@pytest.mark.parametrize("kind", [DateType(), TimestampNTZType(), "timestamp"])
+def test_years_option_on_typed_columns(spark, kind):
+    from pyspark.sql.types import TimestampType
+
+    dtype = TimestampType() if kind == "timestamp" else kind
+    schema = StructType([StructField("WW_STATUS_ID", IntegerType()),
+                         StructField("WW_CREATION_TIMESTAMP", dtype),
+                         StructField("WW_DOMAIN_CODE", StringType())])
+    values = [dt.datetime(2019, 12, 31, 23, 59), dt.datetime(2020, 1, 1), dt.datetime(2020, 12, 31, 12),
+              dt.datetime(2021, 1, 1)]
+    if isinstance(dtype, DateType):
+        values = [v.date() for v in values]
+    fact = spark.createDataFrame([(1, v, "A") for v in values], schema)
+    dim = _dim(spark, [(1, "x")])
+    got = build_mart(fact, dim, years=[2020]).agg(F.sum("Count")).first()[0]
+    assert got == 2
+    assert build_mart(fact, dim, years=[2019, 2021]).agg(F.sum("Count")).first()[0] == 2
+
+
+def test_row_level_join_paths_agree(spark):
+    a = attach_status_name(fx.dirty_fact(spark, SF001), fx.dirty_dim(spark))
+    b = attach_status_name(fx.dirty_fact(spark, SF001), fx.dirty_dim(spark), broadcast_max_rows=0)
+    assert a.count() == 1500
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
