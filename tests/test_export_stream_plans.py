@@ -177,6 +177,17 @@ def test_no_python_udfs_anywhere(spark):
         assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan, name
 
 
+def test_no_cartesian_or_nested_loop_joins(spark):
+    from alertlens.plans.catalog import QUERIES
+
+    skip = {"stream_daily_mart", "stream_daily_mart_append", "daily_mart_refreshed"}
+    for name, fn in QUERIES.items():
+        if name in skip:
+            continue
+        plan = _plan(fn(spark, SF001))
+        assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
+
+
 def test_name_filter_over_unmaterialised_mart_reaches_dimension(spark, capsys):
     m = build_mart(fx.clean_fact(spark, SF01), fx.clean_dim(spark, SF01),
                    excluded_domain=fx.CLEAN_EXCLUDED_DOMAIN)
