@@ -314,3 +314,14 @@ def test_row_level_join_paths_agree(spark):
     b = attach_status_name(fx.dirty_fact(spark, SF001), fx.dirty_dim(spark), broadcast_max_rows=0)
     assert a.count() == 1500
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["clean", "dirty"])
+def test_mart_total_equals_surviving_alerts(spark, kind):
+    if kind == "clean":
+        fact, excluded, build = fx.clean_fact(spark, SF01), fx.CLEAN_EXCLUDED_DOMAIN, clean_mart
+    else:
+        fact, excluded, build = fx.dirty_fact(spark, SF01), fx.DIRTY_EXCLUDED_DOMAIN, dirty_mart
+    surviving = with_creation_ts(exclude_domain(fact, excluded)) \
+        .filter(F.col("creation_ts").isNotNull()).count()
+    assert build(spark, SF01).agg(F.sum("Count")).first()[0] == surviving
