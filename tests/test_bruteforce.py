@@ -184,3 +184,73 @@ def test_operators_match_model(spark, data, sel):
     assert _texts(insights.trend_compare_insights(filtered)) == model_compare_texts(expect)
     assert _texts(insights.status_insights(filtered)) == model_status_texts(expect)
     assert _texts(insights.yearly_insights(filtered)) == model_yearly_texts(expect)
+
+
+# -- the mart itself: raw alerts + statuses against a Python model -------------------
+
+DOMAINS = [None, "OTHER", " SUSPICIOUS ACTIVITY ", "\tSUSPICIOUS ACTIVITY\n",
+           "suspicious activity", "SUSPICIOUS ACTIVITY", " SUSPICIOUS ACTIVITY", "X SUSPICIOUS ACTIVITY"]
+TS_FORMS = ["{y:04d}-{m:02d}-{d:02d} {h:02d}:30:00", " {y:04d}-{m:02d}-{d:02d}T{h:02d}:30:00 ",
+            "{y:04d}-{m:02d}-{d:02d}", "{y:04d}/{m:02d}/{d:02d}", "{d:02d}/{m:02d}/{y:04d}",
+            "\t{y:04d}-{m:02d}-{d:02d} {h:02d}:30:00.25\n"]
+JUNK = [None, "not a date", "", "2021-02-30", "31/31/2021"]
+PAD_NAMES = ["New", " New ", "\tClosed\n", "Escalated", "Under Review ", "　Closed - Accepted"]
+
+raw_alert = st.tuples(
+    st.one_of(st.none(), st.integers(0, 6)),
+    st.one_of(
+        st.tuples(st.integers(2020, 2022), st.integers(1, 12), st.integers(1, 28),
+                  st.integers(0, 23), st.integers(0, len(TS_FORMS) - 1)),
+        st.sampled_from(JUNK)),
+    st.sampled_from(DOMAINS),
+)
+dimension = st.lists(st.tuples(st.integers(0, 5), st.sampled_from(PAD_NAMES)), max_size=8)
+
+
+def _ts_text(spec):
+    if spec is None or isinstance(spec, str):
+        return spec
+    y, m, d, h, form = spec
+    return TS_FORMS[form].format(y=y, m=m, d=d, h=h)
+
+
+def _ts_date(spec):
+    if spec is None or isinstance(spec, str):
+        return None  # junk never parses
+    y, m, d, _h, _form = spec
+    return dt.date(y, m, d)
+
+
+def _strip(s):
+    return None if s is None else s.strip(" \t\n\r\x0b\x0c 　\u0085")
+
+
+def model_mart(alerts, dim, excluded="SUSPICIOUS ACTIVITY"):
+    counts = defaultdict(int)
+    for sid, spec, dom in alerts:
+        if dom is None or _strip(dom) == excluded:
+            continue
+        day = _ts_date(spec)
+        if day is None:
+            continue
+        names = [_strip(n) for i, n in dim if sid is not None and i == sid] or [None]
+        for n in names:
+            counts[(day, n)] += 1
+    return sorted((d.year, d.month, d, n or "", c) for (d, n), c in counts.items())
+
+
+@settings(max_examples=10, deadline=None,
+          suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
+@given(alerts=st.lists(raw_alert, max_size=40), dim=dimension)
+def test_build_mart_matches_model(spark, alerts, dim):
+    from alertlens.operators.mart import build_mart
+
+    fact = spark.createDataFrame(
+        [(sid, _ts_text(spec), dom) for sid, spec, dom in alerts],
+        "WW_STATUS_ID int, WW_CREATION_TIMESTAMP string, WW_DOMAIN_CODE string")
+    statuses = spark.createDataFrame(dim, "ID int, NAME string")
+    expect = model_mart(alerts, dim)
+    for bound in (1000, 0):
+        got = sorted((r.year_creation, r.mth_creation, r.dt_creation, r.NAME or "", r.Count)
+                     for r in build_mart(fact, statuses, broadcast_max_rows=bound).collect())
+        assert got == expect, bound
