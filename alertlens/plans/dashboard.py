@@ -161,6 +161,18 @@ class AlertDashboard:
             futures = {name: pool.submit(df.collect) for name, df in frames.items()}
             return {name: fut.result() for name, fut in futures.items()}
 
+    # -- lifecycle ----------------------------------------------------------------
+
+    def close(self) -> None:
+        """Release the in-memory copy of the mart (the stored files stay)."""
+        self.mart.unpersist()
+
+    def __enter__(self) -> "AlertDashboard":
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.close()
+
     # -- export -----------------------------------------------------------------
 
     def export(self, path: str, null_name_label: str | None = None) -> dict[str, str]:

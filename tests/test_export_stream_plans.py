@@ -116,6 +116,13 @@ def test_dashboard_refresh_runs_every_panel(spark):
                                                   for r in out["monthly_trend"]})
 
 
+def test_dashboard_context_releases_cache(spark):
+    with AlertDashboard.from_tables(spark, fx.dirty_fact(spark, SF001), fx.dirty_dim(spark),
+                                    excluded_domain=fx.DIRTY_EXCLUDED_DOMAIN) as dash:
+        assert dash.mart.is_cached and dash.kpis().first().total_alerts == 904
+    assert not dash.mart.is_cached
+
+
 def test_dashboard_from_paths_reads_files(spark, tmp_path):
     fact_path, dim_path = str(tmp_path / "alert_header"), str(tmp_path / "statuses")
     fx.dirty_fact(spark, SF001, padded_headers=True).write.parquet(fact_path)
