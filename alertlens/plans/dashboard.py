@@ -77,9 +77,10 @@ class AlertDashboard:
 
     # -- metrics ----------------------------------------------------------------
 
-    def kpis(self, names: Any = None, years: Any = None, months: Any = None) -> DataFrame:
+    def kpis(self, names: Any = None, years: Any = None, months: Any = None,
+             null_name_label: str | None = None) -> DataFrame:
         return metrics.kpis(self.filtered(names, years, months),
-                            self.closed_prefix, self.escalated_name)
+                            self.closed_prefix, self.escalated_name, null_name_label)
 
     def status_distribution(self, names: Any = None, years: Any = None,
                             months: Any = None) -> DataFrame:
@@ -120,8 +121,10 @@ class AlertDashboard:
     # -- insights ---------------------------------------------------------------
 
     def trend_insights(self, names: Any = None, years: Any = None, months: Any = None,
-                       mode: str = "total") -> DataFrame:
-        return insights.trend_insights(self.filtered(names, years, months), mode)
+                       mode: str = "total", static_wording: bool = False,
+                       null_name_label: str | None = None) -> DataFrame:
+        return insights.trend_insights(self.filtered(names, years, months), mode,
+                                       static_wording, null_name_label)
 
     def status_insights(self, names: Any = None, years: Any = None,
                         months: Any = None) -> DataFrame:

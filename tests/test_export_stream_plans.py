@@ -116,6 +116,17 @@ def test_dashboard_refresh_runs_every_panel(spark):
                                                   for r in out["monthly_trend"]})
 
 
+def test_dashboard_static_options(spark):
+    with AlertDashboard.from_tables(spark, fx.dirty_fact(spark, SF001), fx.dirty_dim(spark),
+                                    excluded_domain=fx.DIRTY_EXCLUDED_DOMAIN) as dash:
+        assert dash.kpis(null_name_label="None").first().open_alerts == 448 + 99
+        texts = [r.text for r in dash.trend_insights(static_wording=True).collect()]
+        assert any(t.startswith("Trend direction: alert volume") for t in texts)
+        names = [r.subject for r in dash.trend_insights(mode="compare",
+                                                        null_name_label="None").collect()]
+        assert len(names) == 4
+
+
 def test_dashboard_context_releases_cache(spark):
     with AlertDashboard.from_tables(spark, fx.dirty_fact(spark, SF001), fx.dirty_dim(spark),
                                     excluded_domain=fx.DIRTY_EXCLUDED_DOMAIN) as dash:
