@@ -87,3 +87,5 @@ TIMESTAMP_FORMATS = (
 # many rows (checked with a bounded count); beyond it the fact is
 # pre-aggregated per (status id, day) and joined with a shuffle.
 BROADCAST_MAX_ROWS = 200_000
+# ... and when its rows total at most this many bytes (ids plus name text).
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024

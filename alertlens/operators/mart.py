@@ -31,7 +31,7 @@ from pyspark.sql.types import (
     TimestampNTZType,
 )
 
-from alertlens.config import BROADCAST_MAX_ROWS, EXCLUDED_DOMAIN
+from alertlens.config import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, EXCLUDED_DOMAIN
 from alertlens.functions.text import as_clean_string, strip_ws
 from alertlens.functions.timestamps import creation_timestamp, is_typed_time
 from alertlens.session import scratch_path
@@ -107,11 +107,25 @@ def status_names(dim: DataFrame) -> DataFrame:
     return dim.select(F.col("ID"), as_clean_string(F.col("NAME")).alias("NAME"))
 
 
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """Bounded size check: reads at most ``max_rows + 1`` rows, no columns."""
+def has_at_most(df: DataFrame, max_rows: int,
+                max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
+    """Bounded size check for a broadcast candidate, in one small job.
+
+    Reads at most ``max_rows + 1`` rows and sums their size (UTF-8 bytes of
+    string columns, 8 bytes for anything else), so both the row count and
+    the bytes to broadcast are proven below their bounds.
+    """
     if max_rows <= 0:
         return False
-    return df.select().limit(max_rows + 1).count() <= max_rows
+    widths = [F.coalesce(F.octet_length(F.col(f.name)), F.lit(0))
+              if isinstance(f.dataType, StringType) else F.lit(8)
+              for f in df.schema.fields] or [F.lit(0)]
+    row_bytes = widths[0]
+    for w in widths[1:]:
+        row_bytes = row_bytes + w
+    r = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
+                                   F.sum(row_bytes.cast("bigint")).alias("b")).first()
+    return r["n"] <= max_rows and (r["b"] or 0) <= max_bytes
 
 
 def attach_status_name(fact: DataFrame, dim: DataFrame,

@@ -325,3 +325,14 @@ def test_mart_total_equals_surviving_alerts(spark, kind):
     surviving = with_creation_ts(exclude_domain(fact, excluded)) \
         .filter(F.col("creation_ts").isNotNull()).count()
     assert build(spark, SF01).agg(F.sum("Count")).first()[0] == surviving
+
+
+def test_broadcast_check_bounds_rows_and_bytes(spark):
+    from alertlens.operators.mart import has_at_most
+
+    dim = _dim(spark, [(i, "x" * 100) for i in range(10)])
+    assert has_at_most(dim, 10)
+    assert not has_at_most(dim, 9)                      # rows over the bound
+    assert not has_at_most(dim, 10, max_bytes=500)      # 10 x (8 + 100) bytes
+    assert has_at_most(dim, 10, max_bytes=1080)
+    assert not has_at_most(dim, 0)
