@@ -64,9 +64,9 @@ NOTICES = [
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
 ]
 #: Every known sentence has one of these in it; documents without cannot match.
-ANCHORS = ["licen", "permission", "redistribut"]
+ANCHORS = ["licen", "permission", "redistribut", "program"]
 
-_END = r"([.!?;])\s+"  # a sentence ends at such a mark and blanks
+_END = r"([.!?;])\s+([^0-9\s])"  # a sentence ends at such a mark and blanks, but not in "v. 2.0"
 _SEP = "\x1e"
 
 
@@ -79,7 +79,7 @@ def sentence_rules() -> tuple[dict[str, int], list[tuple[str, list[int]]]]:
     ids: dict[str, int] = {}
     rules = []
     for licence, notice in NOTICES:
-        run = [_normal(s) for s in re.sub(_END, "\\1" + _SEP, notice.replace("\n", _SEP)).split(_SEP)]
+        run = [_normal(s) for s in re.sub(_END, "\\1" + _SEP + "\\2", notice.replace("\n", _SEP)).split(_SEP)]
         rules.append((licence, [ids.setdefault(s, len(ids) + 1) for s in run if s]))
     return ids, sorted(rules, key=lambda r: -len(r[1]))
 
@@ -90,7 +90,7 @@ def _run(ids: list[int]) -> str:
 
 def _identifiers(text: Column, known: Column) -> Column:
     """Identifiers of the known sentences of ``text``, as one string |a||b|..."""
-    units = F.split(F.regexp_replace(text, _END, "$1" + _SEP), _SEP)
+    units = F.split(F.regexp_replace(text, _END, "$1" + _SEP + "$2"), _SEP)
     plain = F.transform(units, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
     hits = F.filter(F.transform(plain, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
     return F.array_join(F.transform(hits, lambda i: F.concat(F.lit("|"), i.cast("string"), F.lit("|"))), "")
@@ -141,7 +141,7 @@ def oracle_sql() -> str:
     q = "WITH known(s, i) AS (VALUES " + known + "),\nt AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents)"
     for c, cut in cuts.items():
         q += (f",\nu{c} AS (SELECT rid, generate_subscripts(us, 1) AS k, unnest(us) AS u FROM (SELECT rid, string_split("
-              f"regexp_replace({cut}, '([.!?;])\\s+', '\\1' || chr(30), 'g'), chr(30)) AS us FROM t))"
+              f"regexp_replace({cut}, '([.!?;])\\s+([^0-9\\s])', '\\1' || chr(30) || '\\2', 'g'), chr(30)) AS us FROM t))"
               f",\nr{c} AS (SELECT rid, string_agg('|' || i || '|', '' ORDER BY k) AS run, count(*) AS n FROM u{c} JOIN known "
               f"ON s = trim(regexp_replace(lower(u), '[^a-z0-9]+', ' ', 'g')) GROUP BY rid)")
         step = f"SELECT rid, run, []::VARCHAR[] AS found FROM r{c}"
