@@ -3,16 +3,30 @@ parameters over whole tables."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from alertlens.llm import chat_format, license_scan, quality_rules
-from alertlens.llm.common import prepare, table
+from alertlens.llm import chat_format, language_id, license_scan, packing, quality_rules
+from alertlens.llm.common import id_crc, prepare, table
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    training = F.coalesce(id_crc(F.col("doc_id")) % 5 != 0, F.lit(True))
+    return language_id.identify(spark, table(spark, sf_dir, "documents"), training)
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat_format.with_probe(spark, table(spark, sf_dir, "conversations"))
     return chat_format.digests(chat_format.format_conversations(rows))
@@ -23,7 +37,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op9_chat_format, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_license_scan, op6_language_id, op8_best_fit_packing, op9_chat_format, op10_quality_rules)}
 
 ORACLE_SQL = {
     "op2_license_scan": license_scan.oracle_sql(),
