@@ -1,8 +1,8 @@
 """Best-fit packing of token sequences by exact complements.
 
-Tokenising: a tokenizer of the ``tokenizers`` library runs inside the tasks, one blank-
-separated word at a time with a memo (its pre-tokenizer drops white space, so no token
-crosses a blank); the text is cut into pieces of at most CAPACITY ids.
+Tokenising: a tokenizer of the ``tokenizers`` library runs inside the tasks, with a memo
+of words (its pre-tokenizer drops white space, so no token crosses a blank); a text's ids
+are cut into pieces of at most CAPACITY.
 
 Planning: only the histogram of piece lengths (at most CAPACITY numbers, whatever the
 corpus) reaches the driver. From the longest length down, sequences are filled exactly:
@@ -22,6 +22,8 @@ doc_ids are packed separately; no rows give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertlens.llm.common import Memo, slices, stored
+from alertlens.llm.common import slices, stored
 
 CAPACITY = 2048
 END_ID = 0
@@ -43,30 +45,75 @@ PIECES = T.ArrayType(T.StructType([
 
 
 class WordTokenizer:
-    """Ids of a text as little-endian unsigned 32-bit bytes, by the words' memo."""
+    """Ids of a text as little-endian unsigned 32-bit bytes.
+
+    For a tokenizer whose pre-tokenizer keeps the matches of a pattern and whose model
+    marks word ends, a text is cut at blanks, each word not met yet into the pattern's
+    matches, and only new matches go to the tokenizer, many at a time; the word-end marks
+    cut its ids again. Words with characters outside Latin, which normalising may change,
+    go to the tokenizer as they are; so do whole texts for any other kind of tokenizer.
+    """
+
+    WORDS, MATCHES = 250_000, 500_000  # kept at most; forgotten ones are worked out again
 
     def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks in parallel
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        self.memo = Memo(self._encode, limit=500_000)
-
-    def _encode(self, word: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        spec = json.loads(definition)
+        self.words: dict[str, bytes] = {}
+        self.matches: dict[str, bytes] = {}
+        mark = spec["model"].get("end_of_word_suffix")
+        first = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+        cuts = first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed"
+        lower = {"type": "Lowercase"} in (spec.get("normalizer") or {}).get("normalizers", [])
+        self.findall = regex.compile(first["pattern"]["Regex"]).findall if mark and cuts and lower else None
+        if self.findall:
+            self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+            self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(mark)]] = True
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, new: set[str]) -> None:
+        words, matches = self.words, self.matches
+        if len(words) + len(new) > self.WORDS:
+            words.clear()
+        if len(matches) > self.MATCHES:
+            matches.clear()
+        cut = {}
+        for w in new:
+            if w.isascii() or max(w) < "\u0250":
+                cut[w] = self.findall(w.lower())
+            else:
+                words[w] = self._encode(w).tobytes()
+        todo = list({m for own in cut.values() for m in own}.difference(matches))
+        if todo:
+            ids = self._encode(" ".join(todo))
+            at = np.flatnonzero(self.ends[ids]) + 1
+            data, at = ids.tobytes(), (4 * at).tolist()
+            for m, a, b in zip(todo, [0, *at], at, strict=False):
+                matches[m] = data[a:b]
+        for w, own in cut.items():
+            words[w] = b"".join([matches[m] for m in own])
 
     def ids(self, text: str) -> bytes:
-        memo, parts = self.memo, []
+        if not self.findall:
+            return self._encode(text).tobytes()
+        parts = []
         for part in slices(text):
-            # these four are blanks to str.split, but not to the tokenizer's pattern
-            words = [part] if any(c in part for c in "\x1c\x1d\x1e\x1f") else part.split()
-            new = [w for w in set(words) if w not in memo]
-            if len(memo) + len(new) > memo.limit:
-                memo.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                memo[w] = np.asarray(e.ids, "<u4").tobytes()
-            parts.append(b"".join([memo[w] for w in words]))
+            if any(c in part for c in "\x1c\x1d\x1e\x1f"):  # blanks to str.split alone
+                parts.append(self._encode(part).tobytes())
+                continue
+            words = part.split()
+            if new := set(words).difference(self.words):
+                self._learn(new)
+                if len(self.words) <= len(new):  # all was forgotten just now
+                    self._learn(set(words).difference(self.words))
+            parts.append(b"".join([self.words[w] for w in words]))
         return b"".join(parts)
 
 
