@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 
 LONG_BYTES = 96
 WORDS = 400_000
+NO_RANK = 1 << 20  # ranks are below; no pair has this or more
+EMPTY = 1 << 40
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,8 +51,9 @@ def merge_pairs(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
 
 class RankMap:
     """The pairs as one flat list: the row of a left id starts at shift[left]; place
-    shift[left] + right holds left * 2**20 + merged id, and anything else there means no
-    merge. Rows are laid over one another at the first drawn place where none collide."""
+    shift[left] + right holds left * 2**20 + merged id. The xor of that place with
+    left * 2**20 is the merged id for a pair, and 2**20 or more for any other two ids.
+    Rows are laid over one another at the first drawn place where none collide."""
 
     def __init__(self, pairs: dict[tuple[int, int], int]):
         rows: dict[int, list[tuple[int, int]]] = {}
@@ -60,49 +63,53 @@ class RankMap:
         room = 3 * len(pairs) + 1
         draw = random.Random(0)
         self.shift = np.zeros(top, np.int64)
-        self.flat = np.full(room + top, -1, np.int64)
+        self.flat = np.full(room + top, EMPTY, np.int64)
         for a, row in sorted(rows.items(), key=lambda x: -len(x[1])):
             rights, merged = np.array(row, np.int64).T
             at = draw.randrange(room)
-            while (self.flat[at + rights] >= 0).any():
+            while (self.flat[at + rights] != EMPTY).any():
                 at = draw.randrange(room)
             self.flat[at + rights] = (a << 20) | merged
             self.shift[a] = at
 
-    def columns(self) -> tuple[Column, Column]:
-        """shift and flat as array literals (constant-folded from one string each)."""
-        literal = lambda x, t: F.split(F.lit(",".join(map(str, x.tolist()))), ",").cast(f"array<{t}>")
-        used = np.flatnonzero(self.flat >= 0)
-        flat = self.flat[: int(used[-1]) + 1 if len(used) else 1]
-        return literal(self.shift, "int"), literal(flat, "bigint")
+    def column(self) -> Column:
+        """struct(shift, flat) of array literals (constant-folded from one string each)."""
+        literal = lambda x: F.split(F.lit(",".join(map(str, x.tolist()))), ",").cast("array<bigint>")
+        return F.struct(literal(self.shift).alias("shift"), literal(self.flat).alias("flat"))
 
 
-NO_RANK = 1 << 30
+def _let(value: Column, body) -> Column:
+    """body(value) with ``value`` worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
-def fold_merges(ids: Column, shift: Column, flat: Column) -> Column:
-    """The ids of one match after all merges; ``ids`` are those of its bytes."""
+def fold_merges(ids: Column, ranks: Column) -> Column:
+    """The ids of one match after all merges; ``ids`` are those of its bytes. The fold
+    carries the tokens t, the ranks r of neighbouring pairs and the lowest rank; a merge
+    replaces two tokens by one and looks up only the two ranks beside it."""
+    none = F.array().cast("array<bigint>")
 
     def rank(a: Column, b: Column) -> Column:
-        cell = F.coalesce(F.get(flat, F.get(shift, a) + b), F.lit(-1))
-        return F.when(F.shiftright(cell, 20) == a, cell.bitwiseAND((1 << 20) - 1).cast("int")).otherwise(F.lit(NO_RANK))
+        return F.get(ranks["flat"], (F.get(ranks["shift"], a.cast("int")) + b).cast("int")).bitwiseXOR(F.shiftleft(a, 20))
 
-    def ranks_of(t: Column) -> Column:
-        n = F.size(t)
-        return F.zip_with(F.slice(t, F.lit(1), n - 1), F.slice(t, F.lit(2), n - 1), rank)
+    def state(t: Column, r: Column) -> Column:
+        return F.struct(t.alias("t"), r.alias("r"), F.coalesce(F.array_min(r), F.lit(NO_RANK)).alias("best"))
+
+    def merged(acc: Column, at: Column) -> Column:
+        t, r, best = acc["t"], acc["r"], acc["best"]
+        tokens = F.concat(F.slice(t, F.lit(1), at - 1), F.array(best), F.slice(t, at + 2, F.size(t)))
+        before = F.when(at > 1, F.concat(F.slice(r, F.lit(1), at - 2), F.array(rank(F.get(t, at - 2), best)))).otherwise(none)
+        after = F.when(at < F.size(r), F.concat(F.array(rank(best, F.get(t, at + 1))), F.slice(r, at + 2, F.size(r)))).otherwise(none)
+        return _let(F.concat(before, after), lambda ranks: state(tokens, ranks))
 
     def step(acc: Column, _: Column) -> Column:
-        t, ranks = acc["t"], acc["r"]
-        best = F.array_min(ranks)
-        at = F.array_position(ranks, best).cast("int")
-        merged = F.concat(F.slice(t, F.lit(1), at - 1), F.array(best), F.slice(t, at + 2, F.size(t)))
-        done = F.coalesce(best, F.lit(NO_RANK)) == NO_RANK
-        return F.when(done, F.struct(t.alias("t"), F.array().cast("array<int>").alias("r"))).otherwise(
-            F.struct(merged.alias("t"), ranks_of(merged).alias("r")))
+        return F.when(acc["best"] >= NO_RANK, acc).otherwise(
+            _let(F.array_position(acc["r"], acc["best"]).cast("int"), lambda at: merged(acc, at)))
 
-    start = F.struct(ids.alias("t"), F.when(F.size(ids) > 1, ranks_of(ids)).otherwise(F.array().cast("array<int>")).alias("r"))
-    steps = F.when(F.size(ids) > 1, F.sequence(F.lit(2), F.size(ids))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, start, step, lambda acc: acc["t"])
+    n = F.size(ids)
+    first = F.when(n > 1, F.zip_with(F.slice(ids, F.lit(1), n - 1), F.slice(ids, F.lit(2), n - 1), rank)).otherwise(none)
+    steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, _let(first, lambda r: state(ids, r)), step, lambda acc: acc["t"])
 
 
 def merge_long(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
@@ -144,14 +151,14 @@ def _slices(text: str, size: int = 1 << 20) -> Iterator[str]:
         start = end
 
 
-_STEP1 = "doc_id bigint, runs array<binary>, fresh array<array<int>>, forget boolean"
+_STEP1 = "doc_id bigint, runs array<binary>, fresh array<array<bigint>>, forget boolean"
 
 
 def _nested(arrays: list[np.ndarray]) -> pa.Array:
-    """list<int32> array from int arrays."""
+    """list<int64> array from int arrays."""
     ends = np.cumsum([0] + [len(a) for a in arrays])
     values = np.concatenate(arrays) if arrays else np.zeros(0)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str,
@@ -160,8 +167,8 @@ def encode_documents(spark: SparkSession, docs: DataFrame, ranks_path: str, patt
     (little-endian unsigned 32-bit bytes); by default the ids themselves."""
     ranks = read_ranks(ranks_path)
     pairs = merge_pairs(ranks)
-    shift, flat = RankMap(pairs).columns()
-    byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+    rank_map = RankMap(pairs).column()
+    byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
     long_pairs = spark.sparkContext.broadcast(pairs)
     finish = finish or (lambda ids: (ids,))
 
@@ -221,8 +228,9 @@ def encode_documents(spark: SparkSession, docs: DataFrame, ranks_path: str, patt
                                              if rows else [pa.array([], t.type) for t in out], schema=out)
 
     numbered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(cut, _STEP1)
-    fold = lambda w: F.when(F.size(w) <= LONG_BYTES, fold_merges(w, shift, flat)).otherwise(w)
-    folded = numbered.select("doc_id", "runs", F.transform("fresh", fold).alias("fresh"), "forget")
+    fold = lambda ranks: F.transform("fresh", lambda w: F.when(F.size(w) <= LONG_BYTES, fold_merges(w, ranks)).otherwise(w))
+    # bound once, so that the plan holds one copy of the literal
+    folded = numbered.select("doc_id", "runs", _let(rank_map, fold).alias("fresh"), "forget")
     return folded.mapInArrow(assemble, f"doc_id bigint, {schema}")
 
 

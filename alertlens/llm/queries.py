@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertlens.llm import chat_format, language_id, license_scan, packing, quality_rules
+from alertlens.llm import byte_bpe, chat_format, language_id, license_scan, packing, quality_rules
 from alertlens.llm.common import id_crc, prepare, table
 
 
@@ -15,6 +15,12 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return byte_bpe.digests(spark, table(spark, sf_dir, "documents"),
+                            public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     training = F.coalesce(id_crc(F.col("doc_id")) % 5 != 0, F.lit(True))
@@ -37,7 +43,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op6_language_id, op8_best_fit_packing, op9_chat_format, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_license_scan, op4_byte_bpe, op6_language_id, op8_best_fit_packing, op9_chat_format, op10_quality_rules)}
 
 ORACLE_SQL = {
     "op2_license_scan": license_scan.oracle_sql(),
