@@ -25,7 +25,9 @@ import base64
 import hashlib
 import heapq
 import random
+import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +35,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LONG_BYTES = 96
-WORDS = 400_000
+WORDS = 600_000
 NO_RANK = 1 << 20  # ranks are below; no pair has this or more
 EMPTY = 1 << 40
+GONE = -1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -95,16 +98,17 @@ def fold_merges(ids: Column, ranks: Column) -> Column:
     def state(t: Column, r: Column) -> Column:
         return F.struct(t.alias("t"), r.alias("r"), F.coalesce(F.array_min(r), F.lit(NO_RANK)).alias("best"))
 
-    def merged(acc: Column, at: Column) -> Column:
-        t, r, best = acc["t"], acc["r"], acc["best"]
-        tokens = F.concat(F.slice(t, F.lit(1), at - 1), F.array(best), F.slice(t, at + 2, F.size(t)))
-        before = F.when(at > 1, F.concat(F.slice(r, F.lit(1), at - 2), F.array(rank(F.get(t, at - 2), best)))).otherwise(none)
-        after = F.when(at < F.size(r), F.concat(F.array(rank(best, F.get(t, at + 1))), F.slice(r, at + 2, F.size(r)))).otherwise(none)
-        return _let(F.concat(before, after), lambda ranks: state(tokens, ranks))
+    def merged(acc: Column, p: Column) -> Column:
+        t, best = acc["t"], acc["best"]
+        tokens = F.transform(t, lambda x, i: F.when(i == p, best).when(i == p + 1, GONE).otherwise(x))
+        ranks_ = F.transform(acc["r"], lambda x, i: F.when(i == p, GONE).when(i == p - 1, rank(F.get(t, i), best))
+                             .when(i == p + 1, rank(best, F.get(t, i + 1))).otherwise(x))
+        there = lambda x: x >= 0
+        return _let(F.filter(ranks_, there), lambda r: state(F.filter(tokens, there), r))
 
     def step(acc: Column, _: Column) -> Column:
         return F.when(acc["best"] >= NO_RANK, acc).otherwise(
-            _let(F.array_position(acc["r"], acc["best"]).cast("int"), lambda at: merged(acc, at)))
+            _let(F.array_position(acc["r"], acc["best"]).cast("int") - 1, lambda p: merged(acc, p)))
 
     n = F.size(ids)
     first = F.when(n > 1, F.zip_with(F.slice(ids, F.lit(1), n - 1), F.slice(ids, F.lit(2), n - 1), rank)).otherwise(none)
@@ -151,6 +155,47 @@ def _slices(text: str, size: int = 1 << 20) -> Iterator[str]:
         start = end
 
 
+# Letters, numbers and blanks below U+0100, as the pattern's classes have them (fixed values).
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t-\r\x85\xa0"
+
+
+def finder(pattern: str):
+    """findall of ``pattern``. With its classes written out for characters below U+0100 the
+    faster re module serves such texts; any other text takes the pattern as it is."""
+    import regex
+
+    full = regex.compile(pattern).findall
+    # inside brackets the classes are bare ranges, outside they need brackets of their own
+    small = re.sub(r"\[[^\]]*\]|\\p\{L\}|\\p\{N\}|\\s|\\S", lambda m: _bracketed(m[0]), pattern)
+    quick = re.compile(small).findall
+
+    def find(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return full(text)
+        return quick(text)
+
+    return find
+
+
+def _bracketed(part: str) -> str:
+    if part.startswith("["):
+        return part.replace(r"\p{L}", _L).replace(r"\p{N}", _N).replace(r"\s", _S)
+    return {r"\p{L}": f"[{_L}]", r"\p{N}": f"[{_N}]", r"\s": f"[{_S}]", r"\S": f"[^{_S}]"}[part]
+
+
+class _Numbers(dict):
+    """match -> its number, in the order of first meeting."""
+
+    def __missing__(self, match: str) -> int:
+        number = self[match] = len(self)
+        return number
+
+    def last(self, n: int) -> list[str]:
+        return list(islice(reversed(self), n))[::-1]
+
+
 _STEP1 = "doc_id bigint, runs array<binary>, fresh array<array<bigint>>, forget boolean"
 
 
@@ -175,10 +220,8 @@ def encode_documents(spark: SparkSession, docs: DataFrame, ranks_path: str, patt
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A document's matches become numbers in the task's list of distinct matches;
         the document that meets a match first brings its bytes' ids along."""
-        import regex
-
-        findall = regex.compile(pattern).findall
-        numbers: dict[str, int] = {}
+        find = finder(pattern)
+        numbers = _Numbers()
         for batch in batches:
             runs, fresh, firsts, forgets = [], [], [0], []
             for text in batch.column(1).to_pylist():
@@ -187,12 +230,9 @@ def encode_documents(spark: SparkSession, docs: DataFrame, ranks_path: str, patt
                     numbers.clear()
                 own = []
                 for part in _slices(text or ""):
-                    matches = findall(part)
-                    known = len(numbers)
-                    own.append(np.array([numbers.setdefault(m, len(numbers)) for m in matches], "<u4").tobytes())
-                    if len(numbers) > known:
-                        new = list(numbers)[known:] if known < 1000 else _last(numbers, len(numbers) - known)
-                        fresh += [byte_ids[np.frombuffer(m.encode(), np.uint8)] for m in new]
+                    matches, known = find(part), len(numbers)
+                    own.append(np.fromiter(map(numbers.__getitem__, matches), "<u4", len(matches)).tobytes())
+                    fresh += [byte_ids[np.frombuffer(m.encode(), np.uint8)] for m in numbers.last(len(numbers) - known)]
                 runs.append(own)
                 firsts.append(len(fresh))
                 forgets.append(forget)
@@ -222,7 +262,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, ranks_path: str, patt
                         ids = np.array(merge_long(np.frombuffer(ids, "<u4").tolist(), long_pairs.value), "<u4").tobytes()
                     known.append(ids)
                 at += n
-                ids = b"".join([known[i] for run in runs for i in np.frombuffer(run, "<u4").tolist()])
+                ids = b"".join([x for run in runs for x in map(known.__getitem__, np.frombuffer(run, "<u4").tolist())])
                 rows.append((doc_id, *finish(ids)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), out, strict=True)]
                                              if rows else [pa.array([], t.type) for t in out], schema=out)
@@ -234,13 +274,6 @@ def encode_documents(spark: SparkSession, docs: DataFrame, ranks_path: str, patt
     return folded.mapInArrow(assemble, f"doc_id bigint, {schema}")
 
 
-def _last(numbers: dict[str, int], n: int) -> list[str]:
-    """The ``n`` keys put in last, in order."""
-    from itertools import islice
-
-    return list(islice(reversed(numbers), n))[::-1]
-
-
 def _arrow_fields(schema: str) -> list[tuple[str, pa.DataType]]:
     kinds = {"binary": pa.binary(), "bigint": pa.int64(), "string": pa.string()}
     return [(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")]
@@ -255,7 +288,7 @@ class Decoder:
             self.pieces[r] = token
 
     def __call__(self, ids: bytes) -> bytes:
-        return b"".join([self.pieces[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def digests(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -54,7 +54,7 @@ class WordTokenizer:
     go to the tokenizer as they are; so do whole texts for any other kind of tokenizer.
     """
 
-    WORDS, MATCHES = 250_000, 500_000  # kept at most; forgotten ones are worked out again
+    WORDS, MATCHES = 450_000, 600_000  # kept at most; forgotten ones are worked out again
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks in parallel

@@ -4,10 +4,10 @@ parameters over whole tables."""
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertlens.llm import byte_bpe, chat_format, language_id, license_scan, packing, quality_rules
+from alertlens.llm import byte_bpe, chat_format, language_id, license_scan, packing, quality_knn, quality_rules, toxicity_cnn
 from alertlens.llm.common import id_crc, prepare, table
 
 
@@ -21,6 +21,22 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                             public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def quality_training(doc_id: Column) -> Column:
+    return F.coalesce(id_crc(doc_id) % 4 != 2, F.lit(True))
+
+
+def op5_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_knn.classify(spark, docs, labels, quality_training)
+
+
+def op7_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity_cnn.classify(spark, docs, labels, lambda i: F.coalesce(id_crc(i) % 3 != 1, F.lit(True)))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     training = F.coalesce(id_crc(F.col("doc_id")) % 5 != 0, F.lit(True))
@@ -43,7 +59,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op4_byte_bpe, op6_language_id, op8_best_fit_packing, op9_chat_format, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_license_scan, op4_byte_bpe, op5_quality_knn, op7_toxicity_cnn, op6_language_id, op8_best_fit_packing, op9_chat_format, op10_quality_rules)}
 
 ORACLE_SQL = {
     "op2_license_scan": license_scan.oracle_sql(),
