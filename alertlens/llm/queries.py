@@ -7,10 +7,15 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertlens.llm import byte_bpe, chat_format, language_id, license_scan, packing, quality_knn, quality_rules, toxicity_cnn
+from alertlens.llm import ann_mih, byte_bpe, chat_format, language_id, license_scan, packing, quality_knn, quality_rules, toxicity_cnn
 from alertlens.llm.common import id_crc, prepare, table
 
 
+def op1_ann_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return ann_mih.search(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -59,7 +64,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op4_byte_bpe, op5_quality_knn, op7_toxicity_cnn, op6_language_id, op8_best_fit_packing, op9_chat_format, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ann_mih, op2_license_scan, op4_byte_bpe, op5_quality_knn, op7_toxicity_cnn, op6_language_id, op8_best_fit_packing, op9_chat_format, op10_quality_rules)}
 
 ORACLE_SQL = {
     "op2_license_scan": license_scan.oracle_sql(),

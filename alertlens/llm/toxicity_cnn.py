@@ -1,7 +1,8 @@
 """Toxicity: a convolutional text classifier trained in numpy.
 
-A word is embedded by two hashes (its vector is the two tables' rows side by side, so
-that two words are mixed up only if both hashes meet). Filters of widths 1, 2 and 3 run
+A word is embedded by three hashes, of the word, of its first six and its first four
+characters: its vector is the three tables' rows side by side, so that inflected forms
+share rows, and two words are mixed up only if all three meet. Filters of widths 1, 2 and 3 run
 over the words, the largest response of each filter over the whole text is kept (max
 pooling), and a logistic layer gives the raw score. Embeddings start from the words'
 smoothed log-odds in the sample, filters at random; everything is trained by gradient
@@ -15,7 +16,7 @@ toxic); with no labels, or labels of one kind only, every score is 0; repeated r
 scored each; other columns are ignored; no rows give no rows.
 
 Bounds: SAMPLE labelled rows, chosen as in quality_knn.labelled_sample; the broadcast
-model is 2 x ROWS x DIM floats plus the filters. Texts of any length are read in slices:
+model is 3 x ROWS x DIM floats plus the filters. Texts of any length are read in slices:
 the largest response over slices is that over the text (slices overlap by two words).
 """
 
@@ -36,11 +37,13 @@ from alertlens.llm.common import Memo, slices
 from alertlens.llm.quality_knn import labelled_sample
 
 SAMPLE = 6000
-ROWS = 1 << 16   # rows of each hash table
+BITS = 18
+ROWS = 1 << BITS  # rows of each hash table
+TABLES = 3
 DIM = 4          # numbers per row
 WIDTHS = (1, 2, 3)
 FILTERS = 6      # of each width
-EPOCHS = 4
+EPOCHS = 6
 RATE = 0.02
 TOXIC = 0.7
 MIN_POSITIVE = 15  # fewer toxic rows of a language take the common threshold
@@ -49,10 +52,17 @@ _TRIM = ".,;:!?\"'()[]{}<>#$%&*|`~_-+=/\\"
 
 
 def word_rows(word: str) -> int:
-    """Rows of the two tables, as high and low half of one number; case and punctuation
-    around the word do not count."""
-    data = word.strip(_TRIM).lower().encode("utf-8", "surrogatepass")
-    return (zlib.crc32(data) % ROWS) << 32 | zlib.adler32(data[::-1] + bytes([len(data) & 255])) * 2654435761 % (1 << 32) % ROWS
+    """Rows of the three tables, BITS bits each; case and punctuation around the word do
+    not count."""
+    word = word.strip(_TRIM).lower()
+    out = 0
+    for part in (word, "6" + word[:6], "4" + word[:4]):
+        out = out << BITS | zlib.crc32(part.encode("utf-8", "surrogatepass")) % ROWS
+    return out
+
+
+def table_rows(rows: np.ndarray, table: int) -> np.ndarray:
+    return (rows >> BITS * (TABLES - 1 - table)) & (ROWS - 1)
 
 
 class Words:
@@ -72,15 +82,15 @@ class Words:
 
 @dataclass
 class Net:
-    tables: np.ndarray                     # 2 x ROWS x DIM
-    filters: list[np.ndarray]              # per width: width*2*DIM x FILTERS
+    tables: np.ndarray                     # TABLES x ROWS x DIM
+    filters: list[np.ndarray]              # per width: width*TABLES*DIM x FILTERS
     bias: np.ndarray                       # widths*FILTERS
     out: np.ndarray                        # widths*FILTERS + 1
     thresholds: dict[str, float] = field(default_factory=dict)
     common: float = 0.5
 
     def embed(self, rows: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.tables[0][rows >> 32], self.tables[1][rows & 0xFFFFFFFF]], axis=1)
+        return np.concatenate([self.tables[k][table_rows(rows, k)] for k in range(TABLES)], axis=1)
 
     def responses(self, rows: np.ndarray, where: bool = False):
         """Largest response of each filter (0 at least, as after a rectifier), and its place."""
@@ -118,18 +128,18 @@ class Net:
 def _start(rows: list[np.ndarray], y: np.ndarray) -> Net:
     """Tables from the words' smoothed log-odds (first number of a row), the rest random."""
     draw = np.random.default_rng(7)
-    tables = draw.normal(0, 0.05, (2, ROWS, DIM)).astype(np.float32)
-    for h in range(2):
+    tables = draw.normal(0, 0.05, (TABLES, ROWS, DIM)).astype(np.float32)
+    for h in range(TABLES):
         seen = np.zeros((2, ROWS))
         for r, label in zip(rows, y, strict=True):
-            seen[int(label), np.unique((r >> 32) if h == 0 else (r & 0xFFFFFFFF))] += 1
+            seen[int(label), np.unique(table_rows(r, h))] += 1
         n = np.bincount(y.astype(int), minlength=2)
         odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
         # few sightings say little
         tables[h, :, 0] = odds * np.minimum(1, seen.sum(0) / 8) * 0.5
-    filters = [draw.normal(0, 0.3, (w * 2 * DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
+    filters = [draw.normal(0, 0.3, (w * TABLES * DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     for f in filters:  # every filter starts as a detector of such words at its first place
-        f[[0, DIM]] = np.abs(f[[0, DIM]]) + 0.5
+        f[: TABLES * DIM : DIM] = np.abs(f[: TABLES * DIM : DIM]) + 0.4
     n = len(WIDTHS) * FILTERS
     return Net(tables, filters, np.full(n, -0.5, np.float32), np.r_[np.full(n, 0.2), -1.5].astype(np.float32))
 
@@ -164,8 +174,8 @@ def train(rows: list[np.ndarray], y: np.ndarray) -> Net:
                         hit = at[own] + j
                         grads[k][j * d : (j + 1) * d] += x[hit].T * back[own]
                         dx = (net.filters[k][j * d : (j + 1) * d] * back[own]).T * RATE
-                        np.add.at(net.tables[0], rows[i][hit] >> 32, -dx[:, :DIM])
-                        np.add.at(net.tables[1], rows[i][hit] & 0xFFFFFFFF, -dx[:, DIM:])
+                        for h in range(TABLES):
+                            np.add.at(net.tables[h], table_rows(rows[i][hit], h), -dx[:, h * DIM : (h + 1) * DIM])
             step += 1
             for p, g, m, v in zip(params, grads, first, second, strict=True):
                 m += 0.1 * (g - m)
