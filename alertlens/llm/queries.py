@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertlens.llm import ann_mih, byte_bpe, chat_format, language_id, license_scan, packing, quality_knn, quality_rules, toxicity_cnn
+from alertlens.llm import ann_mih, byte_bpe, chat_format, jaccard_join, language_id, license_scan, packing, quality_knn, quality_rules, toxicity_cnn
 from alertlens.llm.common import id_crc, prepare, table
 
 
@@ -26,6 +26,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                             public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return jaccard_join.join_documents(spark, table(spark, sf_dir, "documents"))
+
+
 def quality_training(doc_id: Column) -> Column:
     return F.coalesce(id_crc(doc_id) % 4 != 2, F.lit(True))
 
@@ -64,7 +69,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann_mih, op2_license_scan, op4_byte_bpe, op5_quality_knn, op7_toxicity_cnn, op6_language_id, op8_best_fit_packing, op9_chat_format, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ann_mih, op2_license_scan, op3_jaccard_join, op4_byte_bpe, op5_quality_knn, op7_toxicity_cnn, op6_language_id, op8_best_fit_packing, op9_chat_format, op10_quality_rules)}
 
 ORACLE_SQL = {
     "op2_license_scan": license_scan.oracle_sql(),
