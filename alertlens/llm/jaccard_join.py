@@ -272,6 +272,10 @@ def shingle_sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
                             "shingles": [s.tobytes() for s in sets]})
 
 
+#: Not to be moved below the join that picks the texts: the plan would work out every text's set.
+picked_sets = shingle_sets.asNondeterministic()
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """cls, root (smallest class of the component) from edges (cls, root), by alternating
     large and small stars until nothing changes; each round is written to the shared folder."""
@@ -322,7 +326,7 @@ def join_documents(spark: SparkSession, docs: DataFrame, threshold: float = THRE
     ids = need.select(F.col("first_id").alias("needed_id")).distinct()
     ids = F.broadcast(ids) if need.count() <= BROADCAST_KEYS else ids
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("needed_id")), "left_semi")
-    sets = texts.select(shingle_sets("text").alias("s")).select("s.cls", "s.shingles").join(need.select("cls", "copies"), "cls")
+    sets = texts.select(picked_sets("text").alias("s")).select("s.cls", "s.shingles").join(need.select("cls", "copies"), "cls")
     sets = stored(spark, sets.dropDuplicates(["cls"]), "join-sets")
     pairs = kept.join(sets, "cls").select(*_GROUP_COLUMNS, "cls", "partners", "copies", "shingles")
     pairs = pairs.repartition(*_GROUP_COLUMNS).sortWithinPartitions(*_GROUP_COLUMNS)
