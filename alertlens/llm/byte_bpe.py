@@ -8,6 +8,9 @@ of tokens whose bytes together are a token). The ids of the distinct matches are
 put together per document in the same task, without a shuffle. Decoding concatenates
 the tokens' bytes.
 
+The COMMON most frequent matches of some COMMON_DOCS documents are folded once beforehand
+and broadcast, so that not every task folds them again; this changes no result.
+
 Matches over LONG_BYTES bytes (a run of one symbol, say) would cost the fold a step for
 each byte; they are merged by the same rule with a heap. Both ways give what the
 tiktoken library gives.
@@ -26,6 +29,7 @@ import hashlib
 import heapq
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
 
@@ -36,9 +40,12 @@ from pyspark.sql import functions as F
 
 LONG_BYTES = 96
 WORDS = 600_000
+COMMON = 150_000       # matches folded once for all tasks, at most
+COMMON_DOCS = 3_000    # documents they are taken from, about
 NO_RANK = 1 << 20  # ranks are below; no pair has this or more
 EMPTY = 1 << 40
 GONE = -1
+ID_MASK = (1 << 20) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -88,32 +95,37 @@ def _let(value: Column, body) -> Column:
 
 def fold_merges(ids: Column, ranks: Column) -> Column:
     """The ids of one match after all merges; ``ids`` are those of its bytes. The fold
-    carries the tokens t, the ranks r of neighbouring pairs and the lowest rank; a merge
-    replaces two tokens by one and looks up only the two ranks beside it."""
-    none = F.array().cast("array<bigint>")
+    carries, per token, the rank of its pair with the next token (NO_RANK or more if there
+    is none) above the token's id, and the lowest rank; a merge replaces two tokens by one
+    and looks up only the two ranks beside it, leftmost first among equal ranks."""
 
     def rank(a: Column, b: Column) -> Column:
         return F.get(ranks["flat"], (F.get(ranks["shift"], a.cast("int")) + b).cast("int")).bitwiseXOR(F.shiftleft(a, 20))
 
-    def state(t: Column, r: Column) -> Column:
-        return F.struct(t.alias("t"), r.alias("r"), F.coalesce(F.array_min(r), F.lit(NO_RANK)).alias("best"))
+    def cell(a: Column, b: Column) -> Column:
+        """Token ``a`` before token ``b`` (null: before nothing)."""
+        return F.shiftleft(F.least(rank(a, b), F.lit(NO_RANK).cast("bigint")), 20).bitwiseOR(a)
+
+    def token(cells: Column, i: Column) -> Column:
+        return F.get(cells, i).bitwiseAND(ID_MASK)
+
+    def state(cells: Column) -> Column:
+        return F.struct(cells.alias("c"), F.shiftright(F.array_min(cells), 20).alias("best"))
 
     def merged(acc: Column, p: Column) -> Column:
-        t, best = acc["t"], acc["best"]
-        tokens = F.transform(t, lambda x, i: F.when(i == p, best).when(i == p + 1, GONE).otherwise(x))
-        ranks_ = F.transform(acc["r"], lambda x, i: F.when(i == p, GONE).when(i == p - 1, rank(F.get(t, i), best))
-                             .when(i == p + 1, rank(best, F.get(t, i + 1))).otherwise(x))
-        there = lambda x: x >= 0
-        return _let(F.filter(ranks_, there), lambda r: state(F.filter(tokens, there), r))
+        c, best = acc["c"], acc["best"]
+        new = F.transform(c, lambda x, i: F.when(F.abs(i - p) > 1, x).when(i == p, cell(best, token(c, p + 2)))
+                          .when(i < p, cell(x.bitwiseAND(ID_MASK), best)).otherwise(F.lit(GONE).cast("bigint")))
+        return _let(F.filter(new, lambda x: x >= 0), state)
 
     def step(acc: Column, _: Column) -> Column:
-        return F.when(acc["best"] >= NO_RANK, acc).otherwise(
-            _let(F.array_position(acc["r"], acc["best"]).cast("int") - 1, lambda p: merged(acc, p)))
+        first = F.array_position(F.transform(acc["c"], lambda x: F.shiftright(x, 20)), acc["best"])
+        return F.when(acc["best"] >= NO_RANK, acc).otherwise(_let(first.cast("int") - 1, lambda p: merged(acc, p)))
 
     n = F.size(ids)
-    first = F.when(n > 1, F.zip_with(F.slice(ids, F.lit(1), n - 1), F.slice(ids, F.lit(2), n - 1), rank)).otherwise(none)
+    cells = F.transform(ids, lambda x, i: cell(x, F.get(ids, i + 1)))
     steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, _let(first, lambda r: state(ids, r)), step, lambda acc: acc["t"])
+    return F.aggregate(steps, _let(cells, state), step, lambda acc: F.transform(acc["c"], lambda x: x.bitwiseAND(ID_MASK)))
 
 
 def merge_long(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
@@ -188,6 +200,10 @@ def _bracketed(part: str) -> str:
 class _Numbers(dict):
     """match -> its number, in the order of first meeting."""
 
+    def reset(self, first: list[str]) -> None:
+        self.clear()
+        self.update(zip(first, range(len(first)), strict=True))
+
     def __missing__(self, match: str) -> int:
         number = self[match] = len(self)
         return number
@@ -217,17 +233,41 @@ def encode_documents(spark: SparkSession, docs: DataFrame, ranks_path: str, patt
     long_pairs = spark.sparkContext.broadcast(pairs)
     finish = finish or (lambda ids: (ids,))
 
+    fold = lambda w, ranks: F.when(F.size(w) <= LONG_BYTES, fold_merges(w, ranks)).otherwise(w)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Matches of the task's texts with their numbers of occurrences and bytes' ids."""
+        find, seen = finder(pattern), Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for part in _slices(text or ""):
+                    seen.update(find(part))
+        matches = [m for m in seen if len(m) <= LONG_BYTES // 4]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(matches, pa.string()), pa.array([seen[m] for m in matches], pa.int64()),
+             _nested([byte_ids[np.frombuffer(m.encode(), np.uint8)] for m in matches])], names=["match", "n", "ids"])
+
+    total = docs.count()
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * COMMON_DOCS // max(1, total)
+    often = (docs.filter(share).select("text").mapInArrow(count, "match string, n bigint, ids array<bigint>")
+             .groupBy("match").agg(F.sum("n").alias("n"), F.first("ids").alias("ids"))
+             .orderBy(F.desc("n"), "match").limit(COMMON))
+    often = often.select("match", _let(rank_map, lambda ranks: fold(F.col("ids"), ranks)).alias("ids")).toArrow()
+    common = spark.sparkContext.broadcast((often.column(0).to_pylist(),
+                                           [np.array(x, "<u4").tobytes() for x in often.column(1).to_pylist()]))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A document's matches become numbers in the task's list of distinct matches;
         the document that meets a match first brings its bytes' ids along."""
         find = finder(pattern)
         numbers = _Numbers()
+        numbers.reset(common.value[0])
         for batch in batches:
             runs, fresh, firsts, forgets = [], [], [0], []
             for text in batch.column(1).to_pylist():
                 forget = len(numbers) > WORDS
                 if forget:
-                    numbers.clear()
+                    numbers.reset(common.value[0])
                 own = []
                 for part in _slices(text or ""):
                     matches, known = find(part), len(numbers)
@@ -243,7 +283,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, ranks_path: str, patt
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Puts the ids of the numbered matches together, document by document."""
-        known: list[bytes] = []
+        known = list(common.value[1])
         out = pa.schema([("doc_id", pa.int64()), *_arrow_fields(schema)])
         for batch in batches:
             rows = []
@@ -255,7 +295,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, ranks_path: str, patt
             for doc_id, runs, forget, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
                                                batch.column(3).to_pylist(), per_doc.tolist(), strict=True):
                 if forget:
-                    known.clear()
+                    known = list(common.value[1])
                 for k in range(at, at + n):
                     ids = flat_ids[ends[k] : ends[k + 1]]
                     if len(ids) > 4 * LONG_BYTES:  # left as bytes' ids by the fold, see below
@@ -268,9 +308,8 @@ def encode_documents(spark: SparkSession, docs: DataFrame, ranks_path: str, patt
                                              if rows else [pa.array([], t.type) for t in out], schema=out)
 
     numbered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(cut, _STEP1)
-    fold = lambda ranks: F.transform("fresh", lambda w: F.when(F.size(w) <= LONG_BYTES, fold_merges(w, ranks)).otherwise(w))
     # bound once, so that the plan holds one copy of the literal
-    folded = numbered.select("doc_id", "runs", _let(rank_map, fold).alias("fresh"), "forget")
+    folded = numbered.select("doc_id", "runs", _let(rank_map, lambda ranks: F.transform("fresh", lambda w: fold(w, ranks))).alias("fresh"), "forget")
     return folded.mapInArrow(assemble, f"doc_id bigint, {schema}")
 
 

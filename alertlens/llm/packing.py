@@ -54,7 +54,7 @@ class WordTokenizer:
     go to the tokenizer as they are; so do whole texts for any other kind of tokenizer.
     """
 
-    WORDS, MATCHES = 450_000, 600_000  # kept at most; forgotten ones are worked out again
+    WORDS, MATCHES = 700_000, 800_000  # kept at most; forgotten ones are worked out again
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks in parallel
@@ -117,6 +117,17 @@ class WordTokenizer:
         return b"".join(parts)
 
 
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_of(definition: str) -> WordTokenizer:
+    """One tokenizer per Python worker: its memo serves all tasks that the worker runs."""
+    if definition not in _tokenizers:
+        _tokenizers.clear()
+        _tokenizers[definition] = WordTokenizer(definition)
+    return _tokenizers[definition]
+
+
 def cut(ids: bytes, capacity: int) -> list[tuple[int, int, int, int]]:
     """(piece, start, length, crc32) of the ids' pieces."""
     step = 4 * capacity
@@ -130,7 +141,7 @@ def pieces(spark: SparkSession, docs: DataFrame, definition: str, capacity: int
 
     @F.pandas_udf(PIECES)
     def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokenizer = WordTokenizer(shared.value)
+        tokenizer = tokenizer_of(shared.value)
         end = np.asarray([END_ID], "<u4").tobytes()
         for texts in batches:
             yield pd.Series([cut(tokenizer.ids(t or "") + end, capacity) for t in texts])
