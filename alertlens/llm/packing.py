@@ -54,7 +54,7 @@ class WordTokenizer:
     go to the tokenizer as they are; so do whole texts for any other kind of tokenizer.
     """
 
-    WORDS, MATCHES = 700_000, 800_000  # kept at most; forgotten ones are worked out again
+    WORDS, MATCHES = 400_000, 500_000  # kept at most; forgotten ones are worked out again
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks in parallel
@@ -145,6 +145,7 @@ def pieces(spark: SparkSession, docs: DataFrame, definition: str, capacity: int
         end = np.asarray([END_ID], "<u4").tobytes()
         for texts in batches:
             yield pd.Series([cut(tokenizer.ids(t or "") + end, capacity) for t in texts])
+        tokenizer.words.clear()  # an idle worker keeps the smaller memo only
 
     return docs.select("doc_id", F.explode(split("text")).alias("p")).select("doc_id", "p.*")
 
