@@ -20,8 +20,15 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from alertlens.config import EXCLUDED_DOMAIN
-from alertlens.operators.mart import build_mart, load_mart, refresh_mart, write_mart
+from alertlens.config import EXCLUDED_DOMAIN, TIMESTAMP_FORMATS
+from alertlens.operators.mart import (
+    build_mart,
+    load_mart,
+    mart_quality,
+    materialize_mart,
+    refresh_mart,
+    write_mart,
+)
 from alertlens.plans.dashboard import AlertDashboard
 from alertlens.sources.export import export_summary, write_export
 from alertlens.sources.readers import read_alert_header, read_workflow_statuses
@@ -46,7 +53,13 @@ def _mart_from_args(spark: SparkSession, args: argparse.Namespace):
         return load_mart(spark, args.mart)
     fact = read_alert_header(spark, args.alert_header)
     dim = read_workflow_statuses(spark, args.statuses)
-    return build_mart(fact, dim, excluded_domain=args.excluded_domain)
+    # stored first: the payload and its summary read it six times
+    return materialize_mart(spark, build_mart(fact, dim, excluded_domain=args.excluded_domain,
+                                              formats=_formats(args)))
+
+
+def _formats(args: argparse.Namespace) -> tuple[str, ...]:
+    return (*(args.timestamp_format or ()), *TIMESTAMP_FORMATS)
 
 
 def cmd_mart(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -55,9 +68,12 @@ def cmd_mart(spark: SparkSession, args: argparse.Namespace) -> None:
     years = _csv(args.years)
     if years:
         refresh_mart(fact, dim, args.out, [int(y) for y in years],
-                     excluded_domain=args.excluded_domain)
+                     excluded_domain=args.excluded_domain, formats=_formats(args))
     else:
-        write_mart(build_mart(fact, dim, excluded_domain=args.excluded_domain), args.out)
+        write_mart(build_mart(fact, dim, excluded_domain=args.excluded_domain,
+                              formats=_formats(args)), args.out)
+    quality = mart_quality(fact, dim, excluded_domain=args.excluded_domain, formats=_formats(args))
+    print("all years: " + ", ".join(f"{k} {v:,}" for k, v in quality.first().asDict().items()))
     s = export_summary(load_mart(spark, args.out)).first()
     print(f"mart written to {args.out}: {s.n_rows:,} rows, {s.n_names} statuses, "
           f"{s.n_years} years")
@@ -77,8 +93,12 @@ def cmd_report(spark: SparkSession, args: argparse.Namespace) -> None:
     k = dash.kpis(**sel).first()
     print(f"total {k.total_alerts:,} | open {k.open_alerts:,} | closure rate {k.closure_rate}% | "
           f"escalation rate {k.escalation_rate}%")
-    for row in dash.status_distribution(**sel).limit(args.top).collect():
-        print(f"  {row.NAME}: {row.Count:,}")
+    k = -1
+    for k, row in enumerate(dash.status_distribution(**sel).toLocalIterator()):
+        if args.top is None or k < args.top:
+            print(f"  {row.NAME}: {row.Count:,}")
+    if args.top is not None and k >= args.top:
+        print(f"  ... {k + 1 - args.top} more statuses")
     for frame in (dash.trend_insights(**sel, mode=args.trend_mode), dash.status_insights(**sel),
                   dash.yearly_insights(**sel)):
         for row in frame.orderBy("rank").collect():
@@ -93,7 +113,7 @@ def cmd_stream(spark: SparkSession, args: argparse.Namespace) -> None:
     dim = read_workflow_statuses(spark, args.statuses) if args.statuses else None
     counts = daily_counts(alerts, args.name_col, args.ts_col, dim=dim, status_col=args.status_col,
                           domain_col=args.domain_col, excluded_domain=args.excluded_domain,
-                          watermark=args.watermark)
+                          watermark=args.watermark, formats=_formats(args))
     query = start_mart_stream(counts, args.out, args.checkpoint,
                               available_now=args.available_now,
                               processing_time=None if args.available_now else args.trigger,
@@ -132,7 +152,7 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--years", help="comma-separated years")
     r.add_argument("--months", help="comma-separated months")
     r.add_argument("--trend-mode", default="total", choices=["total", "compare"])
-    r.add_argument("--top", type=int, default=10)
+    r.add_argument("--top", type=int, help="print only so many statuses and how many are left out")
 
     st = sub.add_parser("stream", help="keep a stored mart up to date from a folder of files")
     st.add_argument("--source", required=True, help="folder the alert files land in")
@@ -151,6 +171,9 @@ def parser() -> argparse.ArgumentParser:
                     help="process what is there, then stop")
     st.add_argument("--out", required=True)
     st.add_argument("--checkpoint", required=True, help="streaming checkpoint (shared storage)")
+    for job in (m, e, st):
+        job.add_argument("--timestamp-format", action="append",
+                         help="a text layout to try before the built-in ones (repeatable)")
     return p
 
 

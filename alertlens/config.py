@@ -66,21 +66,29 @@ WHITESPACE = (
 # Accepted layouts for string creation timestamps, tried in order per row
 # (first match wins, so day/month ambiguity resolves to the earlier layout).
 TIMESTAMP_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX",
-    "yyyy-MM-dd HH:mm:ss[.SSSSSS]XXX",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS]",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]XXX",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS]XXX",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]XX",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS]XX",
     "yyyy-MM-dd HH:mm",
     "yyyy-MM-dd'T'HH:mm",
     "yyyy-MM-dd",
-    "yyyy/MM/dd HH:mm:ss[.SSSSSS]",
+    "yyyy/MM/dd HH:mm:ss[.SSSSSSSSS]",
+    "yyyy/MM/dd'T'HH:mm:ss[.SSSSSSSSS]",
     "yyyy/MM/dd HH:mm",
     "yyyy/MM/dd",
-    "dd/MM/yyyy HH:mm:ss",
+    "yyyy/M/d",
+    "dd/MM/yyyy HH:mm:ss[.SSSSSSSSS]",
+    "dd/MM/yyyy HH:mm",
     "dd/MM/yyyy",
-    "dd-MM-yyyy HH:mm:ss",
+    "dd-MM-yyyy HH:mm:ss[.SSSSSSSSS]",
+    "dd-MM-yyyy HH:mm",
     "dd-MM-yyyy",
     "yyyyMMdd",
+    "yyyyMMdd'T'HHmmss",
+    "yyyyMMdd HHmmss",
 )
 
 # The status dimension is broadcast only when it provably holds at most this

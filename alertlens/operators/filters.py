@@ -7,32 +7,47 @@ list becomes a partition filter and the name list a pushed ``In`` filter.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertlens.config import NO_FILTER_VALUES
+from alertlens.operators.mart import year_range_predicate
 
-
-def _is_blank(value: Any) -> bool:
-    return value in NO_FILTER_VALUES
+# Mart column of each selectable dimension, and what an item is converted to.
+_DIMENSIONS: dict[str, tuple[str, Callable[[Any], Any]]] = {
+    "names": ("NAME", lambda item: str(item).strip()),
+    "years": ("year_creation", int),
+    "months": ("mth_creation", int),
+}
 
 
 def normalize_selection(value: Any) -> list:
-    """None / "" / "ALL" -> no filter; a scalar is one item; lists drop those."""
-    if isinstance(value, (list, tuple, set, frozenset)):
-        return [item for item in value if not _is_blank(item)]
-    if _is_blank(value):
-        return []
-    return [value]
+    """The selected items; none of them means no filter."""
+    many = value if isinstance(value, (list, tuple, set, frozenset)) else (value,)
+    return [item for item in many if item not in NO_FILTER_VALUES]
 
 
-def _as_ints(values: list) -> list[int] | None:
+def selection_predicate(dimension: str, value: Any) -> Column:
+    """True where a row's ``dimension`` is among the selected items.
+
+    An item that cannot be converted makes the predicate false, which plans as
+    an empty relation. A year selection also bounds the date: over a mart that
+    is not stored, only a range of dates reaches the scan of the raw alerts.
+    """
+    column, convert = _DIMENSIONS[dimension]
     try:
-        return [int(v) for v in values]
+        items = [convert(item) for item in normalize_selection(value)]
     except (TypeError, ValueError):
-        return None
+        return F.lit(False)
+    if not items:
+        return F.lit(True)
+    chosen = F.col(column).isin(items)
+    if dimension == "years" and all(0 < y < 9999 for y in items):
+        chosen = chosen & year_range_predicate(F.col("dt_creation"), items, "date")
+    return chosen
 
 
 def apply_filters(mart: DataFrame, names: Any = None, years: Any = None,
@@ -40,28 +55,12 @@ def apply_filters(mart: DataFrame, names: Any = None, years: Any = None,
     """OR within a dimension, AND across dimensions.
 
     Names are stripped and compared exactly; NULL names never match. A year
-    or month that is not an integer yields an empty frame with the full
-    schema (``limit(0)`` plans as an empty relation, no job).
+    or month that is not an integer yields no rows, with the full schema.
     """
-    df = mart
-    name_list = normalize_selection(names)
-    if name_list:
-        df = df.filter(F.col("NAME").isin([str(n).strip() for n in name_list]))
-
-    year_list = normalize_selection(years)
-    if year_list:
-        ints = _as_ints(year_list)
-        if ints is None:
-            return df.limit(0)
-        df = df.filter(F.col("year_creation").isin(ints))
-
-    month_list = normalize_selection(months)
-    if month_list:
-        ints = _as_ints(month_list)
-        if ints is None:
-            return df.limit(0)
-        df = df.filter(F.col("mth_creation").isin(ints))
-    return df
+    chosen = {"names": names, "years": years, "months": months}
+    for dimension, value in chosen.items():
+        mart = mart.filter(selection_predicate(dimension, value))
+    return mart
 
 
 def _absent(value: Any) -> bool:

@@ -17,7 +17,7 @@ each matching dimension row receives the pre-aggregated count.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +31,12 @@ from pyspark.sql.types import (
     TimestampNTZType,
 )
 
-from alertlens.config import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, EXCLUDED_DOMAIN
+from alertlens.config import (
+    BROADCAST_MAX_BYTES,
+    BROADCAST_MAX_ROWS,
+    EXCLUDED_DOMAIN,
+    TIMESTAMP_FORMATS,
+)
 from alertlens.functions.text import as_clean_string, strip_ws
 from alertlens.functions.timestamps import creation_timestamp, is_typed_time
 from alertlens.session import scratch_path
@@ -55,10 +60,11 @@ def domain_kept(excluded: str = EXCLUDED_DOMAIN, column: str = "WW_DOMAIN_CODE")
     NULL domains compare to NULL and are dropped, as in SQL. Only text that
     contains the excluded value can strip down to it, so every other non-null
     row is kept without paying for the strip (a cheap byte search instead).
+    The null test stands alone, so that it reaches the scan.
     """
     text = F.col(column).cast("string")
-    return F.when(text.contains(F.lit(excluded)), strip_ws(text) != F.lit(excluded)) \
-        .otherwise(text.isNotNull())
+    return F.col(column).isNotNull() & (
+        ~text.contains(F.lit(excluded)) | (strip_ws(text) != F.lit(excluded)))
 
 
 def exclude_domain(fact: DataFrame, excluded: str = EXCLUDED_DOMAIN) -> DataFrame:
@@ -67,10 +73,22 @@ def exclude_domain(fact: DataFrame, excluded: str = EXCLUDED_DOMAIN) -> DataFram
 
 # -- P3 ---------------------------------------------------------------------
 
-def with_creation_ts(fact: DataFrame) -> DataFrame:
+def with_creation_ts(fact: DataFrame, formats: Sequence[str] = TIMESTAMP_FORMATS) -> DataFrame:
     """Adds ``creation_ts`` (TIMESTAMP_NTZ, NULL when unparseable)."""
     fact = prepare_fact(fact)
-    return fact.withColumn("creation_ts", creation_timestamp(fact))
+    return fact.withColumn("creation_ts", creation_timestamp(fact, formats=formats))
+
+
+def with_day(df: DataFrame, ts_col: str, day: Column, name: str = "_d") -> DataFrame:
+    """Adds the day and drops rows without one, working the expression out once per row.
+
+    A plain ``isNotNull`` filter would be pushed below the projection and parse the
+    text twice; generating the day from an array of at most one keeps a single parse.
+    Typed columns are filtered instead, as their null test reaches the scan.
+    """
+    if is_typed_time(df, ts_col):
+        return df.filter(F.col(ts_col).isNotNull()).withColumn(name, day)
+    return df.withColumn(name, F.explode(F.array_compact(F.array(day))))
 
 
 def year_range_predicate(ts: Column, years: Iterable[int], kind: str = "timestamp_ntz") -> Column:
@@ -109,10 +127,10 @@ def status_names(dim: DataFrame) -> DataFrame:
 
 def has_at_most(df: DataFrame, max_rows: int,
                 max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
-    """Bounded size check for a broadcast candidate, in one small job.
+    """Size check for a broadcast candidate, in one small job.
 
-    Reads at most ``max_rows + 1`` rows and sums their size (UTF-8 bytes of
-    string columns, 8 bytes for anything else), so both the row count and
+    Counts the rows and sums their size (UTF-8 bytes of string columns, 8 bytes
+    for anything else) with one partial sum per task, so both the row count and
     the bytes to broadcast are proven below their bounds.
     """
     if max_rows <= 0:
@@ -123,8 +141,8 @@ def has_at_most(df: DataFrame, max_rows: int,
     row_bytes = widths[0]
     for w in widths[1:]:
         row_bytes = row_bytes + w
-    r = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
-                                   F.sum(row_bytes.cast("bigint")).alias("b")).first()
+    r = df.agg(F.count(F.lit(1)).alias("n"),
+               F.sum(row_bytes.cast("bigint")).alias("b")).first()
     return r["n"] <= max_rows and (r["b"] or 0) <= max_bytes
 
 
@@ -138,7 +156,7 @@ def attach_status_name(fact: DataFrame, dim: DataFrame,
     fact = prepare_fact(fact)
     names = status_names(dim)
     check_join_keys(fact, names)
-    fact_cols = [c for c in fact.columns if c != "NAME"]
+    fact_cols = [F.col("`" + c.replace("`", "``") + "`") for c in fact.columns if c.upper() != "NAME"]
     right = names.withColumnRenamed("ID", "_status_id")
     if has_at_most(names, broadcast_max_rows):
         right = F.broadcast(right)
@@ -152,11 +170,13 @@ def attach_status_name(fact: DataFrame, dim: DataFrame,
 
 def build_mart(fact: DataFrame, dim: DataFrame, excluded_domain: str = EXCLUDED_DOMAIN,
                broadcast_max_rows: int = BROADCAST_MAX_ROWS,
-               years: Iterable[int] | None = None) -> DataFrame:
+               years: Iterable[int] | None = None,
+               formats: Sequence[str] = TIMESTAMP_FORMATS) -> DataFrame:
     """Daily alert counts per (year, month, date, status name).
 
     ``years`` optionally restricts the mart to some calendar years; on a
-    date/timestamp column this is pushed into the fact scan.
+    date/timestamp column this is pushed into the fact scan. ``formats`` are
+    the layouts tried on text timestamps.
     """
     fact = prepare_fact(fact)
     names = status_names(dim)
@@ -166,21 +186,17 @@ def build_mart(fact: DataFrame, dim: DataFrame, excluded_domain: str = EXCLUDED_
     if years is not None and is_typed_time(alerts):
         alerts = alerts.filter(year_range_predicate(
             F.col("WW_CREATION_TIMESTAMP"), years, _raw_kind(alerts, "WW_CREATION_TIMESTAMP")))
-    alerts = (
-        alerts.filter(domain_kept(excluded_domain))
-        .select(F.col("WW_STATUS_ID").alias("_sid"),
-                creation_timestamp(alerts).alias("_ts"))
-        .filter(F.col("_ts").isNotNull())
-    )
+    day = F.to_date(creation_timestamp(alerts, formats=formats))
+    alerts = with_day(alerts.filter(domain_kept(excluded_domain)), "WW_CREATION_TIMESTAMP", day)
+    alerts = alerts.select(F.col("WW_STATUS_ID").alias("_sid"), "_d")
     if years is not None and not is_typed_time(fact):
-        alerts = alerts.filter(F.year("_ts").isin([int(y) for y in years]))
+        alerts = alerts.filter(F.year("_d").isin([int(y) for y in years]))
 
     right = names.withColumnRenamed("ID", "_status_id")
     on = F.col("_sid") == F.col("_status_id")
     if has_at_most(names, broadcast_max_rows):
         counted = (
-            alerts.select("_sid", F.to_date("_ts").alias("_d"))
-            .join(F.broadcast(right), on, "left")
+            alerts.join(F.broadcast(right), on, "left")
             .groupBy("_d", "NAME")
             .agg(F.count(F.lit(1)).alias("Count"))
         )
@@ -191,13 +207,13 @@ def build_mart(fact: DataFrame, dim: DataFrame, excluded_domain: str = EXCLUDED_
         # duplicated dimension id concentrates rows in one join task. The
         # fan-out of duplicate ids is kept exactly: count x multiplicity.
         per_status_day = (
-            alerts.groupBy("_sid", F.to_date("_ts").alias("_d"))
+            alerts.groupBy("_sid", "_d")
             .agg(F.count(F.lit(1)).alias("_n"))
         )
         pairs = names.groupBy("ID", "NAME").agg(F.count(F.lit(1)).alias("_mult")) \
             .withColumnRenamed("ID", "_status_id")
         counted = (
-            per_status_day.join(pairs, on, "left")
+            per_status_day.join(pairs.hint("merge"), on, "left")
             .groupBy("_d", "NAME")
             .agg(F.sum(F.col("_n") * F.coalesce(F.col("_mult"), F.lit(1))).alias("Count"))
         )
@@ -219,15 +235,48 @@ def sort_mart(mart: DataFrame) -> DataFrame:
     return mart.orderBy("NAME", "year_creation", "mth_creation", "dt_creation")
 
 
+def duplicate_status_ids(dim: DataFrame) -> DataFrame:
+    """Dimension ids that occur more than once (they fan out in the join), with their rows."""
+    rows = prepare_dim(dim).groupBy("ID").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
+    return rows.filter(F.col("n_rows") > 1)
+
+
+def mart_quality(fact: DataFrame, dim: DataFrame, excluded_domain: str = EXCLUDED_DOMAIN,
+                 broadcast_max_rows: int = BROADCAST_MAX_ROWS,
+                 formats: Sequence[str] = TIMESTAMP_FORMATS) -> DataFrame:
+    """What the mart leaves out, one row: rows read, dropped by domain, with a NULL
+    timestamp, with unparseable text, counted, and counted without a status name."""
+    fact = prepare_fact(fact)
+    names = status_names(dim)
+    check_join_keys(fact, names)
+    kept = F.coalesce(domain_kept(excluded_domain), F.lit(False))
+    raw = F.col("WW_CREATION_TIMESTAMP").isNotNull()
+    parsed = creation_timestamp(fact, formats=formats).isNotNull()
+    fate = (F.when(~kept, "domain").when(~raw, "null").when(~parsed, "text").otherwise("counted"))
+    per_id = fact.select(F.col("WW_STATUS_ID").alias("_sid"), fate.alias("fate"))
+    per_id = per_id.groupBy("_sid", "fate").agg(F.count(F.lit(1)).alias("n"))
+    known = names.select(F.col("ID").alias("_status_id")).distinct().withColumn("_known", F.lit(True))
+    known = F.broadcast(known) if has_at_most(known, broadcast_max_rows) else known.hint("merge")
+    per_id = per_id.join(known, F.col("_sid") == F.col("_status_id"), "left")
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("bigint")
+    is_ = lambda x: F.col("fate") == x
+    return per_id.agg(
+        total(F.lit(True)).alias("rows_read"), total(is_("domain")).alias("dropped_domain"),
+        total(is_("null")).alias("null_timestamp"), total(is_("text")).alias("unparseable"),
+        total(is_("counted")).alias("counted"),
+        total(is_("counted") & F.col("_known").isNull()).alias("unmatched_id"))
+
+
 # -- persistence --------------------------------------------------------------
 
 def write_mart(mart: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Parquet, one directory per year, so year filters prune whole folders.
 
     The mart is bounded by days x statuses; one shuffle by year gives one
-    file per year instead of one per (task, year).
+    file per year instead of one per (task, year), and a year too large for
+    one task is split (rebalance).
     """
-    (mart.repartition("year_creation")
+    (mart.hint("rebalance", "year_creation")
          .write.mode(mode)
          .partitionBy("year_creation")
          .parquet(path))
@@ -235,17 +284,30 @@ def write_mart(mart: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def refresh_mart(fact: DataFrame, dim: DataFrame, path: str, years: Iterable[int],
                  excluded_domain: str = EXCLUDED_DOMAIN,
-                 broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> None:
+                 broadcast_max_rows: int = BROADCAST_MAX_ROWS,
+                 formats: Sequence[str] = TIMESTAMP_FORMATS) -> None:
     """Recompute only some years of a stored mart and replace just those.
 
     The year range reaches the fact scan (row groups and date partitions of
     other years are skipped), and dynamic partition overwrite rewrites only
     the year directories present in the new rows; every other year is left
-    as it is. A year whose alerts all disappeared keeps its old directory.
+    as it is. A requested year without any alert left loses its directory, so
+    that the stored mart equals a full rebuild in the requested years.
     """
-    part = build_mart(fact, dim, excluded_domain=excluded_domain,
-                      broadcast_max_rows=broadcast_max_rows, years=years)
-    (part.repartition("year_creation")
+    spark = fact.sparkSession
+    years = sorted({int(y) for y in years})
+    part = materialize_mart(spark, build_mart(
+        fact, dim, excluded_domain=excluded_domain, broadcast_max_rows=broadcast_max_rows,
+        years=years, formats=formats))
+    there = {r[0] for r in part.select("year_creation").distinct().collect()}  # at most ``years``
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for year in years:
+        if year not in there:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"year_creation={year}"), True)
+    if not there:
+        return
+    (part.hint("rebalance", "year_creation")
          .write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic")
          .partitionBy("year_creation")
@@ -254,7 +316,7 @@ def refresh_mart(fact: DataFrame, dim: DataFrame, path: str, years: Iterable[int
 
 def load_mart(spark: SparkSession, path: str) -> DataFrame:
     """Read a stored mart back in the canonical column order and types."""
-    df = spark.read.parquet(path)
+    df = spark.read.schema(MART_SCHEMA).parquet(path)
     return df.select(
         F.col("year_creation").cast("int").alias("year_creation"),
         F.col("mth_creation").cast("int").alias("mth_creation"),

@@ -19,8 +19,10 @@ from alertlens.operators.mart import (
     attach_status_name,
     build_mart,
     daily_mart,
+    duplicate_status_ids,
     exclude_domain,
     load_mart,
+    mart_quality,
     refresh_mart,
     with_creation_ts,
     write_mart,
@@ -88,8 +90,7 @@ def q_duplicate_status_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Data-quality check: dimension ids that fan out in the join."""
     dim = fx.table(spark, sf_dir, "customer").select(
         F.col("c_nationkey").alias("ID"), F.col("c_mktsegment").alias("NAME"))
-    return dim.groupBy("ID").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows")) \
-        .filter(F.col("n_rows") > 1)
+    return duplicate_status_ids(dim)
 
 
 def q_mart_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,14 +128,80 @@ def q_daily_mart_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_daily_mart_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored mart, then two years rebuilt in place (dynamic partition overwrite)."""
+    """A stored mart that is wrong in two years and has one without alerts, refreshed.
+
+    Without the refresh the counts of FILTER_YEARS are doubled and the alerts of
+    1997 appear a second time in a year that the input does not have.
+    """
     path = scratch_path(spark, "refreshed-mart")
-    write_mart(clean_mart(spark, sf_dir), path)
-    refresh_mart(fx.clean_fact(spark, sf_dir), fx.clean_dim(spark, sf_dir), path, FILTER_YEARS,
+    mart = clean_mart(spark, sf_dir)
+    empty = 2090
+    wrong = mart.withColumn("Count", F.when(F.col("year_creation").isin(FILTER_YEARS), F.col("Count") * 2)
+                            .otherwise(F.col("Count")))
+    extra = mart.filter(F.col("year_creation") == FILTER_YEARS[-1]).withColumn("year_creation", F.lit(empty))
+    write_mart(wrong.unionByName(extra), path)
+    refresh_mart(fx.clean_fact(spark, sf_dir), fx.clean_dim(spark, sf_dir), path, [*FILTER_YEARS, empty],
                  excluded_domain=fx.CLEAN_EXCLUDED_DOMAIN)
     return load_mart(spark, path)
 
 
+def q_mart_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mart_quality(fx.dirty_fact(spark, sf_dir), fx.dirty_dim(spark),
+                        excluded_domain=fx.DIRTY_EXCLUDED_DOMAIN)
+
+
+def _mart_of_days(spark: SparkSession, sf_dir: str, ts) -> DataFrame:
+    fact = fx.clean_fact(spark, sf_dir).withColumn("WW_CREATION_TIMESTAMP", ts)
+    return build_mart(fact, fx.clean_dim(spark, sf_dir), excluded_domain=fx.CLEAN_EXCLUDED_DOMAIN)
+
+
+def q_mart_of_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fact with a DATE creation column."""
+    return _mart_of_days(spark, sf_dir, F.col("WW_CREATION_TIMESTAMP").cast("date"))
+
+
+def q_mart_of_zoned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fact with a TIMESTAMP (zoned) creation column."""
+    return _mart_of_days(spark, sf_dir, F.col("WW_CREATION_TIMESTAMP").cast("timestamp"))
+
+
+def q_mart_of_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fact whose text timestamps take turns through everyday layouts."""
+    ts = F.col("WW_CREATION_TIMESTAMP")
+    layouts = ["yyyy-MM-dd HH:mm:ss.SSSSSSSSS", "yyyy-MM-dd'T'HH:mm:ss'Z'", "dd/MM/yyyy HH:mm", "dd-MM-yyyy HH:mm",
+               "dd/MM/yyyy HH:mm:ss.SSS", "yyyy/MM/dd'T'HH:mm:ss", "yyyyMMdd'T'HHmmss", "yyyyMMdd HHmmss", "yyyy/M/d"]
+    text = F.date_format(ts, layouts[0])
+    for k, layout in enumerate(layouts[1:], 1):
+        text = F.when(F.col("alert_id") % len(layouts) == k, F.date_format(ts, layout)).otherwise(text)
+    return _mart_of_days(spark, sf_dir, text)
+
+
+def stored_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "stored-mart")
+    write_mart(dirty_mart(spark, sf_dir), path)
+    return load_mart(spark, path)
+
+
+def q_stored_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.kpis(filters.apply_filters(stored_mart(spark, sf_dir), years=FILTER_YEARS))
+
+
+def q_stored_drilldown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explorer.drilldown(stored_mart(spark, sf_dir))
+
+
+def q_stored_explorer_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explorer.explorer_dates(stored_mart(spark, sf_dir), "Escalated", 1996, "3")
+
+
+def q_stream_mart_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream over ``orders`` with domain and status join: equals the batch mart."""
+    schema = fx.table(spark, sf_dir, "orders").schema
+    return stream_daily_mart(spark, sf_dir, schema, "", "o_orderdate", glob="orders.parquet",
+                             dim=fx.clean_dim(spark, sf_dir), status_col="o_custkey",
+                             domain_col="o_orderpriority", excluded_domain=fx.CLEAN_EXCLUDED_DOMAIN)
+
+
 def hot_status_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixture A alerts with one status id (1) holding every third alert."""
     return fx.clean_fact(spark, sf_dir).withColumn(
@@ -190,16 +257,8 @@ def q_filter_combined_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  FILTER_MONTHS)
 
 
-def q_filter_invalid_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.apply_filters(clean_mart(spark, sf_dir), years=["abc"])
-
-
 # -- metrics ----------------------------------------------------------------------
 
-def q_kpis_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.kpis(filters.apply_filters(clean_mart(spark, sf_dir), months=["x"]))
-
-
 def q_kpis_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.kpis(filters.apply_filters(dirty_mart(spark, sf_dir), years=FILTER_YEARS))
 
@@ -233,10 +292,6 @@ def q_explorer_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explorer.explorer_dates(dirty_mart(spark, sf_dir), "Escalated", 1996, "3")
 
 
-def q_explorer_missing_arg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explorer.explorer_months(dirty_mart(spark, sf_dir), "Escalated", "")
-
-
 def q_drilldown_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explorer.drilldown(dirty_mart(spark, sf_dir), ["Escalated", "New"],
                               month_labels="abbr")
@@ -274,6 +329,14 @@ QUERIES: dict[str, Query] = {
     "daily_mart_years": q_daily_mart_years,
     "daily_mart_refreshed": q_daily_mart_refreshed,
     "mart_fanout": q_mart_fanout,
+    "mart_quality": q_mart_quality,
+    "mart_of_dates": q_mart_of_dates,
+    "mart_of_zoned": q_mart_of_zoned,
+    "mart_of_layouts": q_mart_of_layouts,
+    "stored_kpis": q_stored_kpis,
+    "stored_drilldown": q_stored_drilldown,
+    "stored_explorer_dates": q_stored_explorer_dates,
+    "stream_mart_joined": q_stream_mart_joined,
     "mart_hot_status": q_mart_hot_status,
     "events_daily_mart": q_events_daily_mart,
     "stream_daily_mart": q_stream_daily_mart,
@@ -284,13 +347,11 @@ QUERIES: dict[str, Query] = {
     "filter_months": q_filter_months,
     "filter_combined": q_filter_combined,
     "filter_combined_dirty": q_filter_combined_dirty,
-    "filter_invalid_year": q_filter_invalid_year,
     # metrics
     "names_totals": _on_dirty(metrics.names_totals),
     "kpis": _on_clean(metrics.kpis),
     "kpis_dirty": _on_dirty(metrics.kpis),
     "kpis_filtered": q_kpis_filtered,
-    "kpis_empty": q_kpis_empty,
     "kpis_static": _on_dirty(lambda m: metrics.kpis(m, null_name_label="None")),
     "status_distribution": _on_clean(metrics.status_distribution),
     "status_distribution_dirty": _on_dirty(metrics.status_distribution),
@@ -315,7 +376,6 @@ QUERIES: dict[str, Query] = {
     "explorer_years_all": q_explorer_years_all,
     "explorer_months": q_explorer_months,
     "explorer_dates": q_explorer_dates,
-    "explorer_missing_arg": q_explorer_missing_arg,
     "drilldown": _on_dirty(explorer.drilldown),
     "drilldown_filtered": q_drilldown_filtered,
     # insights

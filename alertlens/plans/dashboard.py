@@ -9,12 +9,13 @@ is pushed into the Parquet scan. Each method returns a lazy DataFrame.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Sequence
 from typing import Any
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from alertlens.config import BROADCAST_MAX_ROWS, CLOSED_PREFIX, ESCALATED_NAME, EXCLUDED_DOMAIN
+from alertlens.config import BROADCAST_MAX_ROWS, CLOSED_PREFIX, ESCALATED_NAME, EXCLUDED_DOMAIN, TIMESTAMP_FORMATS
 from alertlens.operators import explorer, insights, metrics, windows
 from alertlens.operators.filters import apply_filters
 from alertlens.operators.mart import build_mart, materialize_mart, sort_mart
@@ -35,7 +36,8 @@ class AlertDashboard:
     def from_tables(cls, spark: SparkSession, fact: DataFrame, dim: DataFrame,
                     excluded_domain: str = EXCLUDED_DOMAIN, materialize: bool = True,
                     path: str | None = None, broadcast_max_rows: int = BROADCAST_MAX_ROWS,
-                    cache: bool = True, **kwargs) -> "AlertDashboard":
+                    cache: bool = True, formats: Sequence[str] = TIMESTAMP_FORMATS,
+                    **kwargs) -> "AlertDashboard":
         """Build the mart once; store it (``materialize``) and keep it in memory.
 
         The in-memory copy (days x statuses rows) plays the role of the
@@ -43,7 +45,7 @@ class AlertDashboard:
         a lost block is re-read from them, never recomputed from raw alerts.
         """
         mart = build_mart(fact, dim, excluded_domain=excluded_domain,
-                          broadcast_max_rows=broadcast_max_rows)
+                          broadcast_max_rows=broadcast_max_rows, formats=formats)
         if materialize:
             mart = materialize_mart(spark, mart, path)
             if cache:
@@ -152,16 +154,25 @@ class AlertDashboard:
 
     def refresh(self, names: Any = None, years: Any = None, months: Any = None,
                 trend_mode: str = "total", dense: bool = False,
-                max_workers: int = 4) -> dict[str, list]:
+                max_workers: int = 4, max_rows: int = 100_000) -> dict[str, list]:
         """Run every panel concurrently and return their rows.
 
         Panels are independent Spark jobs over the (small) mart, submitted
-        from a few driver threads so the scheduler overlaps them; each result
-        is bounded by statuses x periods, which is what a dashboard displays.
+        from a few driver threads so the scheduler overlaps them. Rows come to
+        the driver only for a panel of at most ``max_rows`` rows, which is more
+        than a dashboard can show; beyond it an error names the panel, and
+        ``panels`` gives its DataFrame. Nothing is cut.
         """
         frames = self.panels(names, years, months, trend_mode, dense)
+
+        def rows(name: str) -> list:
+            found = frames[name].limit(max_rows + 1).collect()
+            if len(found) > max_rows:
+                raise ValueError(f"{name} has over {max_rows} rows: use panels() and write it")
+            return found
+
         with ThreadPoolExecutor(max_workers=max_workers) as pool:
-            futures = {name: pool.submit(df.collect) for name, df in frames.items()}
+            futures = {name: pool.submit(rows, name) for name in frames}
             return {name: fut.result() for name, fut in futures.items()}
 
     # -- lifecycle ----------------------------------------------------------------

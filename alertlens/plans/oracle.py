@@ -384,6 +384,23 @@ GROUP BY c_nationkey HAVING count(*) > 1""",
     "daily_mart_years": _mart("clean", "year_creation IN (1996, 1997)"),
     "daily_mart_refreshed": _mart("clean"),
     "mart_fanout": _FANOUT,
+    "mart_quality": _D + """
+SELECT CAST(count(*) AS BIGINT) AS rows_read,
+       CAST(count(*) FILTER (NOT kept) AS BIGINT) AS dropped_domain,
+       CAST(count(*) FILTER (kept AND raw IS NULL) AS BIGINT) AS null_timestamp,
+       CAST(count(*) FILTER (kept AND raw IS NOT NULL AND ts IS NULL) AS BIGINT) AS unparseable,
+       CAST(count(*) FILTER (kept AND ts IS NOT NULL) AS BIGINT) AS counted,
+       CAST(count(*) FILTER (kept AND ts IS NOT NULL AND ID IS NULL) AS BIGINT) AS unmatched_id
+FROM (SELECT coalesce(trim(f.WW_DOMAIN_CODE) <> 'SUSPICIOUS ACTIVITY', false) AS kept,
+             f.WW_CREATION_TIMESTAMP AS raw, s.ID,
+             try_strptime(trim(f.WW_CREATION_TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS ts
+      FROM dirty_fact f LEFT JOIN dirty_status s ON f.WW_STATUS_ID = s.ID)""",
+    "mart_of_dates": _mart("clean"),
+    "mart_of_zoned": _mart("clean"),
+    "mart_of_layouts": _mart("clean"),
+    "stored_kpis": _kpis("dirty", "year_creation IN (1996, 1997)"),
+    "stored_drilldown": _drilldown("dirty", None, "%B"),
+    "stream_mart_joined": _mart("clean"),
     "mart_hot_status": _HOT,
     "events_daily_mart": _STREAM,
     "stream_daily_mart": _STREAM,
@@ -397,13 +414,11 @@ GROUP BY c_nationkey HAVING count(*) > 1""",
     "filter_combined_dirty": _mart(
         "dirty", "NAME IN ('Escalated', 'BUILDING') AND year_creation IN (1996, 1997) "
                  "AND mth_creation IN (1, 2)"),
-    "filter_invalid_year": _mart("clean", "false"),
     "names_totals": _D + """
 SELECT NAME, CAST(sum("Count") AS BIGINT) AS total_count FROM dirty_mart GROUP BY NAME""",
     "kpis": _kpis("clean"),
     "kpis_dirty": _kpis("dirty"),
     "kpis_filtered": _kpis("dirty", "year_creation IN (1996, 1997)"),
-    "kpis_empty": _kpis("clean", "false"),
     "kpis_static": _kpis("dirty", null_label="None"),
     "status_distribution": _status_distribution("clean"),
     "status_distribution_dirty": _status_distribution("dirty"),
@@ -470,10 +485,6 @@ FROM dirty_mart WHERE NAME = 'Escalated' AND year_creation = 1996 GROUP BY ALL""
 SELECT strftime(dt_creation, '%Y-%m-%d') AS date, CAST(sum("Count") AS BIGINT) AS total_count
 FROM dirty_mart WHERE NAME = 'Escalated' AND year_creation = 1996 AND mth_creation = 3
 GROUP BY 1""",
-    "explorer_missing_arg": """
-SELECT CAST(NULL AS VARCHAR) AS month, CAST(NULL AS INTEGER) AS month_number,
-       CAST(NULL AS BIGINT) AS total_count
-WHERE false""",
     "drilldown": _drilldown("dirty", None, "%B"),
     "drilldown_filtered": _drilldown("dirty", "NAME IN ('Escalated', 'New')", "%b"),
     "insight_trend_total": _trend_total_insights("clean"),
@@ -501,3 +512,5 @@ SELECT CAST(count(DISTINCT NAME) AS BIGINT) AS n_names,
        CAST(count(*) AS BIGINT) AS n_rows
 FROM dirty_mart""",
 }
+
+ORACLE_SQL["stored_explorer_dates"] = ORACLE_SQL["explorer_dates"]

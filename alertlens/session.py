@@ -55,7 +55,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset key raises in some versions
             configured = None
     if not configured:
-        # Unset: local mode (tests, bench, the driver's smoke run).
+        # Unset: local mode (tests, bench, the driver's smoke run). Elsewhere every
+        # executor would write to a disk of its own.
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="alertlens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -9,10 +9,11 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import (
-    BooleanType,
+    CharType,
     DataType,
-    NumericType,
+    IntegralType,
     StringType,
+    VarcharType,
 )
 
 from alertlens.config import DIM_LABEL, DIM_REQUIRED, FACT_LABEL, FACT_REQUIRED
@@ -76,10 +77,12 @@ def read_workflow_statuses(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _key_family(t: DataType) -> str:
-    if isinstance(t, StringType):
+    """Types whose values Spark compares exactly: all integer types together; a DECIMAL
+    only with the same DECIMAL; text with text; anything else only with itself."""
+    if isinstance(t, IntegralType):
+        return "integer"
+    if isinstance(t, (StringType, VarcharType, CharType)):
         return "string"
-    if isinstance(t, (NumericType, BooleanType)):
-        return "number"
     return t.simpleString()
 
 
@@ -87,8 +90,9 @@ def check_join_keys(fact: DataFrame, dim: DataFrame,
                     fact_key: str = "WW_STATUS_ID", dim_key: str = "ID") -> None:
     """Both join keys must be of the same family.
 
-    Spark would otherwise cast a string key to a number implicitly, and under
-    ANSI mode a non-numeric id fails mid-job.
+    Spark would otherwise cast implicitly: text to a number (under ANSI mode a
+    non-numeric id fails mid-job), or a BIGINT to DOUBLE, where neighbouring large
+    ids become equal.
     """
     ft = fact.schema[fact_key].dataType
     dt = dim.schema[dim_key].dataType

@@ -21,47 +21,57 @@ Two output modes:
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from alertlens.config import BROADCAST_MAX_ROWS
+from alertlens.config import BROADCAST_MAX_ROWS, TIMESTAMP_FORMATS
 from alertlens.functions.text import as_clean_string
-from alertlens.operators.mart import domain_kept, has_at_most, load_mart, status_names
+from alertlens.functions.timestamps import creation_timestamp
+from alertlens.operators.mart import domain_kept, has_at_most, load_mart, status_names, with_day
 from alertlens.session import scratch_path
+from alertlens.sources.readers import check_join_keys, normalize_headers
 
 
 def daily_counts(alerts: DataFrame, name_col: str, ts_col: str,
                  dim: DataFrame | None = None, status_col: str | None = None,
                  domain_col: str | None = None, excluded_domain: str | None = None,
                  broadcast_max_rows: int = BROADCAST_MAX_ROWS,
-                 watermark: str | None = None) -> DataFrame:
-    """Streaming or batch: count alerts per (day, status name).
+                 watermark: str | None = None,
+                 formats: Sequence[str] = TIMESTAMP_FORMATS) -> DataFrame:
+    """Streaming or batch: count alerts per (day, status name), by the rules of the
+    batch mart: headers stripped, domain excluded, timestamps of any type or listed
+    text layout, join keys of one type.
 
     Without ``dim`` the name is read from ``name_col``; with it, ``status_col``
     is joined to the dimension's ``ID`` (left join, static side). With
     ``watermark`` (e.g. ``"2 days"``) the day is an event-time window, as
     append mode requires.
     """
-    df = alerts
+    df = normalize_headers(alerts)
+    if domain_col is not None and excluded_domain is not None:
+        df = df.filter(domain_kept(excluded_domain, domain_col))
+    parsed = creation_timestamp(df, ts_col, formats)
+    key = as_clean_string(F.col(name_col)).alias("NAME") if dim is None else F.col(status_col).alias("_sid")
     if watermark is not None:
         # Watermarks need TIMESTAMP (with zone); NTZ wall clocks are read in
         # the session zone (UTC in our sessions), so days do not move.
-        df = df.withColumn("_event_ts", F.col(ts_col).cast("timestamp")) \
-            .withWatermark("_event_ts", watermark)
-        ts_col = "_event_ts"
-    if domain_col is not None and excluded_domain is not None:
-        df = df.filter(domain_kept(excluded_domain, domain_col))
-    df = df.filter(F.col(ts_col).isNotNull())
-    day = F.window(F.col(ts_col), "1 day") if watermark is not None else F.to_date(F.col(ts_col))
+        df = df.select(key, parsed.cast("timestamp").alias("_event_ts")) \
+            .withWatermark("_event_ts", watermark).filter(F.col("_event_ts").isNotNull())
+        df = df.withColumn("_d", F.window(F.col("_event_ts"), "1 day")).drop("_event_ts")
+    else:
+        df = with_day(df, ts_col, F.to_date(parsed)).select(key, "_d")
     if dim is None:
-        named = df.select(day.alias("_d"), as_clean_string(F.col(name_col)).alias("NAME"))
+        named = df
     else:
-        right = status_names(dim).withColumnRenamed("ID", "_status_id")
+        names = status_names(dim)
+        check_join_keys(normalize_headers(alerts), names, fact_key=status_col)
+        right = names.withColumnRenamed("ID", "_status_id")
         if has_at_most(right, broadcast_max_rows):
             right = F.broadcast(right)
-        named = df.join(right, F.col(status_col) == F.col("_status_id"), "left") \
-            .select(day.alias("_d"), F.col("NAME"))
+        named = df.join(right, F.col("_sid") == F.col("_status_id"), "left").select("_d", "NAME")
     counted = named.groupBy("_d", "NAME").agg(F.count(F.lit(1)).alias("Count"))
     if watermark is not None:
         counted = counted.withColumn("_d", F.to_date(F.col("_d.start")))
@@ -100,7 +110,10 @@ def start_mart_stream(counts: DataFrame, sink_path: str, checkpoint_path: str,
                   .option("path", sink_path))
     else:
         def write_batch(batch: DataFrame, _batch_id: int) -> None:
-            (batch.repartition("year_creation").write.mode("overwrite")
+            # counts only grow, so no year ever has to be removed: each year is
+            # replaced by its own rename, and readers never see an empty mart
+            (batch.hint("rebalance", "year_creation").write.mode("overwrite")
+                  .option("partitionOverwriteMode", "dynamic")
                   .partitionBy("year_creation").parquet(sink_path))
 
         writer = (counts.writeStream.outputMode("complete")
