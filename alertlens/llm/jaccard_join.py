@@ -15,8 +15,8 @@ copies follow from the class sizes. Components of the forests' edges (alternatin
 contraction) name the groups.
 
 Probability of losing a link: two texts of similarity s share no band with probability
-(1 - s**ROWS)**BANDS, 2.4e-6 at 0.8 and less above, and TOLERANCE bounds the pruning;
-nothing else is lost: buckets have no cap. A large bucket is cut into blocks of about
+(1 - s**ROWS)**BANDS, 2e-6 at 0.8 and less above, and the pruning drops a link with about
+TOLERANCE at each of its HASHES / STEP looks, at 0.8 and less above; nothing else is lost: buckets have no cap. A large bucket is cut into blocks of about
 BLOCK classes, and every pair of blocks is a group of its own, spread over tasks.
 
 Defined results: null, empty and blank texts have no shingle, link to nothing and are
@@ -46,7 +46,7 @@ HASHES = 128
 ROWS = 4
 BANDS = 25
 STEP = 16
-TOLERANCE = 1e-5
+TOLERANCE = 1e-6
 BLOCK = 256
 BROADCAST_KEYS = 1_000_000  # 8 bytes each
 
