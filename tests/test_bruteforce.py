@@ -32,25 +32,15 @@ selections = st.fixed_dictionaries({
 })
 
 
-def _blank(v):
-    return v in (None, "", "ALL")
-
-
 def model_filter(rows, names, years, months):
-    def norm(v):
-        if isinstance(v, (list, tuple, set)):
-            return [x for x in v if not _blank(x)]
-        return [] if _blank(v) else [v]
-
-    n, y, m = norm(names), norm(years), norm(months)
-    out = rows
-    if n:
-        out = [r for r in out if r[3] is not None and r[3] in {str(x).strip() for x in n}]
-    if y:
-        out = [r for r in out if r[0] in {int(x) for x in y}]
-    if m:
-        out = [r for r in out if r[1] in {int(x) for x in m}]
-    return out
+    """Set algebra over the drawn rows: the rows of every selected item united, the
+    dimensions intersected."""
+    chosen = set(rows)
+    for place, items in ((3, names), (0, years), (1, months)):
+        given = set(items or ()) - {"ALL", "", None}
+        if given:
+            chosen &= {r for r in rows for item in given if r[place] == item}
+    return [r for r in rows if r in chosen]
 
 
 def sums(rows, keyf):
