@@ -24,8 +24,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -44,6 +46,9 @@ PIECES = T.ArrayType(T.StructType([
     T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]))
 
 
+_ODD_BLANK = re.compile("[\x1c-\x1f]")  # blanks to str.split alone
+
+
 class WordTokenizer:
     """Ids of a text as little-endian unsigned 32-bit bytes.
 
@@ -55,6 +60,7 @@ class WordTokenizer:
     """
 
     WORDS, MATCHES = 400_000, 500_000  # kept at most; forgotten ones are worked out again
+    TOGETHER = 1 << 18  # characters of texts whose words are looked up at once
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks in parallel
@@ -80,17 +86,24 @@ class WordTokenizer:
 
     def _learn(self, new: set[str]) -> None:
         words, matches = self.words, self.matches
-        if len(words) + len(new) > self.WORDS:
-            words.clear()
         if len(matches) > self.MATCHES:
             matches.clear()
         cut = {}
         for w in new:
             if w.isascii() or max(w) < "\u0250":
-                cut[w] = self.findall(w.lower())
+                low = w.lower()
+                if low.isalpha():  # the commonest words need no pattern: letters alone,
+                    if known := matches.get(low):
+                        words[w] = known
+                    else:
+                        cut[w] = (low,)
+                elif low[:-1].isalpha() and low[-1] in ".,;:!?":  # and with one mark behind
+                    cut[w] = (low[:-1], low[-1])
+                else:
+                    cut[w] = self.findall(low)
             else:
                 words[w] = self._encode(w).tobytes()
-        todo = list({m for own in cut.values() for m in own}.difference(matches))
+        todo = list({m for own in cut.values() for m in own if m not in matches})
         if todo:
             ids = self._encode(" ".join(todo))
             at = np.flatnonzero(self.ends[ids]) + 1
@@ -98,24 +111,53 @@ class WordTokenizer:
             for m, a, b in zip(todo, [0, *at], at, strict=False):
                 matches[m] = data[a:b]
         for w, own in cut.items():
-            words[w] = b"".join([matches[m] for m in own])
+            words[w] = matches[own[0]] if len(own) == 1 else b"".join([matches[m] for m in own])
+
+    def _know(self, words: set[str]) -> None:
+        new = words.difference(self.words)
+        if len(self.words) + len(new) > self.WORDS:
+            self.words.clear()
+            new = words
+        if new:
+            self._learn(new)
 
     def ids(self, text: str) -> bytes:
         if not self.findall:
             return self._encode(text).tobytes()
         parts = []
         for part in slices(text):
-            if any(c in part for c in "\x1c\x1d\x1e\x1f"):  # blanks to str.split alone
+            if _ODD_BLANK.search(part):
                 parts.append(self._encode(part).tobytes())
                 continue
             words = part.split()
-            if new := set(words).difference(self.words):
-                self._learn(new)
-                if len(self.words) <= len(new):  # all was forgotten just now
-                    self._learn(set(words).difference(self.words))
-            parts.append(b"".join([self.words[w] for w in words]))
+            self._know(set(words))
+            parts.append(b"".join(map(self.words.__getitem__, words)))
         return b"".join(parts)
 
+    def many(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text; the new words of successive short texts are learned together."""
+        for group in _groups(texts, self.TOGETHER):
+            if not self.findall or len(group) == 1 or any(map(_ODD_BLANK.search, group)):
+                yield from map(self.ids, group)
+                continue
+            split = [t.split() for t in group]
+            self._know(set(chain.from_iterable(split)))
+            for words in split:
+                yield b"".join(map(self.words.__getitem__, words))
+
+
+def _groups(texts: Iterable[str], size: int) -> Iterator[list[str]]:
+    """Successive texts of ``size`` characters together, a longer one alone."""
+    group, chars = [], 0
+    for t in texts:
+        if group and chars + len(t) > size:
+            yield group
+            group, chars = [], 0
+        group.append(t)
+        chars += len(t)
+    if group:
+        yield group
+
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
@@ -144,7 +186,7 @@ def pieces(spark: SparkSession, docs: DataFrame, definition: str, capacity: int
         tokenizer = tokenizer_of(shared.value)
         end = np.asarray([END_ID], "<u4").tobytes()
         for texts in batches:
-            yield pd.Series([cut(tokenizer.ids(t or "") + end, capacity) for t in texts])
+            yield pd.Series([cut(ids + end, capacity) for ids in tokenizer.many(t or "" for t in texts)])
         tokenizer.words.clear()  # an idle worker keeps the smaller memo only
 
     return docs.select("doc_id", F.explode(split("text")).alias("p")).select("doc_id", "p.*")
