@@ -44,7 +44,7 @@ ROUNDS = 12
 SUBSTRING_BITS = 4
 RECALL = 0.97
 SHARD = 16_384     # vectors of a shard, about
-QUERY_BLOCK = 2_048
+QUERY_BLOCK = 16_384  # as many as vectors of a shard: fewest copies of both
 
 
 @dataclass(frozen=True)
