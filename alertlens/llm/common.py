@@ -38,6 +38,19 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever dots or backticks it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it while ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_crc(doc_id: Column) -> Column:
     """crc32 of the id written as text, the key of the fixed train / held-out folds."""
     return F.crc32(doc_id.cast("string").cast("binary"))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertlens.llm.common import Memo, slices, stored
+from alertlens.llm.common import Memo, quoted, slices, stored, unused
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -348,13 +348,14 @@ def join_documents(spark: SparkSession, docs: DataFrame, threshold: float = THRE
 def keep_one(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each group, that with the smallest doc_id, with all its columns."""
     groups = stored(spark, join_documents(spark, docs, threshold), "join-groups")
-    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("gone_id")).distinct()
-    twice = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("twice_id"))
+    gone_id, twice_id = unused(docs, "gone_id"), unused(docs, "twice_id")
+    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(gone_id)).distinct()
+    twice = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias(twice_id))
     gone, twice = stored(spark, gone, "join-gone"), stored(spark, twice, "join-twice")
     few = gone.count()
     left = docs.join(F.broadcast(gone) if few <= BROADCAST_KEYS else gone,
-                     F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+                     F.col("doc_id").eqNullSafe(F.col(gone_id)), "left_anti")
     if not twice.isEmpty():  # rows that share a doc_id: the id stays once
-        again = F.col("doc_id").eqNullSafe(F.col("twice_id"))
+        again = F.col("doc_id").eqNullSafe(F.col(twice_id))
         left = left.join(twice, again, "left_anti").unionByName(left.join(twice, again, "left_semi").dropDuplicates(["doc_id"]))
-    return left.select(*[f"`{c}`" for c in docs.columns])
+    return left.select(*map(quoted, docs.columns))

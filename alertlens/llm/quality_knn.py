@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertlens.llm.common import Memo, id_crc, slices
+from alertlens.llm.common import Memo, id_crc, slices, unused
 
 SAMPLE = 3000       # labelled rows learned from at most
 SAMPLE_CHARS = 100_000_000  # and characters of their texts
@@ -120,7 +120,7 @@ class Voters:
             left = k - above.sum(1, keepdims=True)
             chosen = above | (ties & (np.cumsum(ties, 1) <= left))
             votes = np.where(chosen, np.maximum(near, 1e-6), 0.0).astype(np.float64)
-            out[known] = votes @ self.labels / votes.sum(1)
+            out[known] = np.minimum(votes @ self.labels / votes.sum(1), 1.0)  # the two sums may round apart
         return out
 
 
@@ -158,8 +158,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Co
     if not y:
         return []
     ids = docs.sparkSession.createDataFrame([(k,) for k in y], "sample_id bigint")
-    texts = docs.join(F.broadcast(ids), docs["doc_id"] == F.col("sample_id"), "left_semi")
-    texts = texts.select("doc_id", "text", *columns).dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", "text", *columns)
+    texts = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("sample_id"), "left_semi").dropDuplicates(["doc_id"])
     rows, chars = [], 0
     for r in sorted(texts.toLocalIterator(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"])):
         chars += len(r["text"] or "")
@@ -197,4 +197,5 @@ def keep_accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame, train
     """The documents whose score is ACCEPT or more, with all their columns."""
     sample = labelled_sample(docs, labels, "quality", training(F.col("doc_id")), SAMPLE)
     score = scorer(spark, fit([r[0] for r in sample], [r[1] for r in sample]))
-    return docs.withColumn("__score", score("text")).filter(F.col("__score") >= ACCEPT).drop("__score")
+    name = unused(docs, "score")
+    return docs.withColumn(name, score("text")).filter(F.col(name) >= ACCEPT).drop(name)

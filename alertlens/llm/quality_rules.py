@@ -20,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertlens.llm.common import byte_slices, stored
+from alertlens.llm.common import byte_slices, quoted, stored, unused
 
 MIN_WORDS = 20          # fewer words fail
 REPEAT_PERCENT = 30     # more words in repeated windows fail
@@ -112,34 +112,35 @@ def host_verdicts(flags: DataFrame, rate: float = HOST_RATE) -> DataFrame:
 
 def rejected_hosts(verdicts: DataFrame) -> tuple[DataFrame, bool]:
     """The rejected hosts, and whether they were checked to be few enough to broadcast."""
-    bad = verdicts.filter("host_rejected").select(F.col("host").alias("__bad_host"))
-    size = bad.agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length("__bad_host"), F.lit(0))).alias("b")).first()
+    bad = verdicts.filter("host_rejected").select(F.col("host").alias("bad_host"))
+    size = bad.agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length("bad_host"), F.lit(0))).alias("b")).first()
     return bad, size["n"] <= BROADCAST_HOSTS and (size["b"] or 0) <= HOST_BYTES
 
 
-def mark_hosts(rows: DataFrame, host: str, key: str, verdicts: DataFrame) -> DataFrame:
-    """``rows`` with boolean ``__host_rejected``; no row is lost or repeated."""
+def mark_hosts(rows: DataFrame, host: str, key: str, verdicts: DataFrame) -> tuple[DataFrame, Column]:
+    """``rows`` joined with the rejected hosts, and the condition that a row's host is
+    rejected; no row is lost or repeated. The joined columns have names unused in ``rows``."""
     bad, small = rejected_hosts(verdicts)
+    name, hit, salt, deal = (unused(rows, x) for x in ("bad_host", "hit", "salt", "deal"))
+    bad = bad.select(F.col("bad_host").alias(name), F.lit(True).alias(hit))  # hit tells a matched null host from no match
+    on = F.col(name).eqNullSafe(F.col(host))
     if small:
-        bad = bad.withColumn("__hit", F.lit(True))  # tells a matched null host from no match
-        marked = rows.join(F.broadcast(bad), F.col("__bad_host").eqNullSafe(F.col(host)), "left")
-        return marked.withColumn("__host_rejected", F.col("__hit").isNotNull()).drop("__bad_host", "__hit")
-    bad = bad.withColumn("__hit", F.lit(True)).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("__deal", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-    on = F.col("__bad_host").eqNullSafe(F.col(host)) & (F.col("__salt") == F.col("__deal"))
-    marked = salted.join(bad, on, "left")
-    return marked.withColumn("__host_rejected", F.col("__hit").isNotNull()).drop("__bad_host", "__hit", "__salt", "__deal")
+        marked = rows.join(F.broadcast(bad), on, "left")
+    else:
+        bad = bad.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn(deal, F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+        marked = rows.join(bad, on & (F.col(salt) == F.col(deal)), "left")
+    return marked, F.col(hit).isNotNull()
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, rate: float = HOST_RATE) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     host_rejected, kept. The counts are stored once and read for both uses."""
     stats = stored(spark, document_stats(docs), "quality-stats")
-    marked = mark_hosts(stats, "host", "doc_id", host_verdicts(stats, rate))
+    marked, rejected = mark_hosts(stats, "host", "doc_id", host_verdicts(stats, rate))
     return marked.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        F.col("__host_rejected").alias("host_rejected"),
-        (~F.col("base_failed") & ~F.col("__host_rejected")).alias("kept"))
+        rejected.alias("host_rejected"), (~F.col("base_failed") & ~rejected).alias("kept"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, rate: float = HOST_RATE) -> DataFrame:
@@ -147,9 +148,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, rate: float = HOST_RATE) ->
     then the filter) rather than shuffled."""
     flags = document_stats(docs).select("host", "base_failed")
     hosts = stored(spark, host_verdicts(stored(spark, flags, "quality-flags"), rate), "quality-hosts")
-    s = docs.withColumn("__s", stats_of("text"))
-    kept = s.filter(~failed(F.col("__s.n_words"), F.col("__s.n_repeat_words")))
-    return mark_hosts(kept, "source", "doc_id", hosts).filter("not __host_rejected").select(*[f"`{c}`" for c in docs.columns])
+    name = unused(docs, "stats")
+    s = docs.withColumn(name, stats_of("text"))
+    kept = s.filter(~failed(F.col(f"{name}.n_words"), F.col(f"{name}.n_repeat_words"))).drop(name)
+    marked, rejected = mark_hosts(kept, "source", "doc_id", hosts)
+    return marked.filter(~rejected).select(*map(quoted, docs.columns))
 
 
 def oracle_sql(rate: float = HOST_RATE) -> str:

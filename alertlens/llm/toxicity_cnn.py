@@ -11,8 +11,7 @@ toxic is calibrated per language on sample rows kept out of training, and scores
 rescaled so that this threshold sits at 0.7 in every language. The language is that
 predicted from the text (naive Bayes learned on the same sample), never the column.
 
-Defined results: null, empty and blank texts get the score of no words at all (never
-toxic); with no labels, or labels of one kind only, every score is 0; repeated rows are
+Defined results: null, empty and blank texts score 0; with no labels, or labels of one kind only, every score is 0; repeated rows are
 scored each; other columns are ignored; no rows give no rows.
 
 Bounds: SAMPLE labelled rows, chosen as in quality_knn.labelled_sample; the broadcast
@@ -111,10 +110,13 @@ class Net:
         return (np.maximum(top, 0), at, x) if where else np.maximum(top, 0)
 
     def raw(self, parts: Iterator[np.ndarray]) -> float:
-        best = np.zeros(len(self.bias), np.float32)
+        """The logistic layer's score; 0 for a text without words."""
+        best, words = np.zeros(len(self.bias), np.float32), 0
         for rows in parts:
             if len(rows):
-                best = np.maximum(best, self.responses(rows))
+                best, words = np.maximum(best, self.responses(rows)), words + len(rows)
+        if not words:
+            return 0.0
         return float(1 / (1 + np.exp(-np.clip(best @ self.out[:-1] + self.out[-1], -30, 30))))
 
     def scaled(self, raw: np.ndarray, langs: np.ndarray) -> np.ndarray:

@@ -19,10 +19,12 @@ def sp(spark):
 def odd_docs(sp):
     """Null, empty, blank, tiny, repeated, multilingual and long texts, with extra columns
     that clash with result names."""
-    rows = [(i, t, None if i % 3 == 0 else "en", None if i == 1 else f"src{i % 2}", 1, 2.0, "x", 5)
-            for i, t in enumerate(ODD_TEXTS)] + [(4, "Hello World", "en", "src0", 1, 2.0, "x", 5)]
+    clash = (1, 2.0, "x", 5, 6, 7, 8, 9, "y", "z")
+    rows = [(i, t, None if i % 3 == 0 else "en", None if i == 1 else f"src{i % 2}", *clash)
+            for i, t in enumerate(ODD_TEXTS)] + [(4, "Hello World", "en", "src0", *clash)]
     return sp.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, "
-                                    "score double, kept string, n_words bigint").cache()
+                                    "score double, kept string, n_words bigint, sample_id bigint, gone_id bigint, "
+                                    "twice_id bigint, stats int, bad_host string, `a.b` string").cache()
 
 
 @pytest.fixture(scope="session")

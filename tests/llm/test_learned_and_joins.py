@@ -171,6 +171,8 @@ def test_classifiers_odd_rows(sp, odd_docs, no_docs, no_labels, classify):
         got = classify(sp, odd_docs, labels, every).collect()
         assert len(got) == odd_docs.count()
         assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+        if classify is toxicity_cnn.classify:
+            assert {r.score for r in got if r.doc_id in (0, 1, 2)} == {0.0}
         assert classify(sp, no_docs, labels, every).collect() == []
 
 

@@ -79,6 +79,17 @@ def test_pieces_equal_tokenizer_and_packing_is_gapless(sp, odd_docs):
     assert max(filled.values()) <= 2048
 
 
+@pytest.mark.parametrize("memo", [400_000, 5])
+def test_words_learned_together_equal_the_tokenizer(monkeypatch, memo):
+    for name, value in (("WORDS", memo), ("MATCHES", memo), ("TOGETHER", 40)):
+        monkeypatch.setattr(packing.WordTokenizer, name, value)
+    with open(WORDS, encoding="utf-8") as f:
+        own = packing.WordTokenizer(f.read())
+    texts = ["\u0130stanbul \u0130.", "", "  ", "a\x1cb c", "don't can't's I'LL", "\xc9t\xe9. x. . ,", "\u4e2d\u6587 word.", "1234.5 a1 1.",
+             "\xaa\xba \ufb01n", "the end. the end."] * 3
+    assert list(own.many(texts)) == [own._encode(t).tobytes() for t in texts]
+
+
 def test_packing_no_rows(sp, no_docs):
     assert packing.pack_documents(sp, no_docs, WORDS).collect() == []
 
@@ -195,6 +206,7 @@ def test_quality_rules_odd_texts(sp, odd_docs, no_docs):
     assert all(r.base_failed and not r.kept for r in got)  # short, null or one word again and again
     assert quality_rules.quality_rules(sp, no_docs).collect() == []
     assert quality_rules.keep_good(sp, odd_docs).columns == odd_docs.columns
+    assert quality_rules.keep_good(sp, odd_docs).collect() == []
 
 
 @pytest.mark.parametrize("broadcast", [50_000, -1])
