@@ -106,18 +106,18 @@ def cmd_report(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def cmd_stream(spark: SparkSession, args: argparse.Namespace) -> None:
-    from alertlens.streaming.mart_stream import daily_counts, read_alert_stream, start_mart_stream
+    from alertlens.streaming.mart_stream import read_alert_stream, start_mart_stream, stream_counts
 
     schema = spark.read.parquet(args.source).schema  # one listing, to fix the schema
     alerts = read_alert_stream(spark, args.source, schema, args.glob, args.max_files_per_trigger)
     dim = read_workflow_statuses(spark, args.statuses) if args.statuses else None
-    counts = daily_counts(alerts, args.name_col, args.ts_col, dim=dim, status_col=args.status_col,
-                          domain_col=args.domain_col, excluded_domain=args.excluded_domain,
-                          watermark=args.watermark, formats=_formats(args))
+    counts, finish = stream_counts(alerts, args.name_col, args.ts_col, dim=dim, status_col=args.status_col,
+                                   domain_col=args.domain_col, excluded_domain=args.excluded_domain,
+                                   watermark=args.watermark, formats=_formats(args))
     query = start_mart_stream(counts, args.out, args.checkpoint,
                               available_now=args.available_now,
                               processing_time=None if args.available_now else args.trigger,
-                              output_mode=args.mode)
+                              output_mode=args.mode, finish=finish)
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()

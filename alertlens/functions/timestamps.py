@@ -23,7 +23,9 @@ _DIGIT_LEADING = ("yyyy", "dd/", "dd-", "MM/", "MM-")
 
 def parse_timestamp_text(c: Column, formats: Sequence[str] = TIMESTAMP_FORMATS,
                          fast_iso: bool | None = None) -> Column:
-    """Non-strict parse of text: first matching layout wins, junk -> NULL.
+    """Non-strict parse of text: first matching layout wins, junk -> NULL. Text that
+    starts with a sign is junk with any list of layouts (``yyyy`` alone would read
+    ``-2024-01-02`` as a year before Christ).
 
     Per-row cost matters here (this runs once per raw alert), so:
 
@@ -45,8 +47,9 @@ def parse_timestamp_text(c: Column, formats: Sequence[str] = TIMESTAMP_FORMATS,
     text = c.cast("string")
     s = strip_ws(text)
     attempts = F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in formats])
-    if all(fmt.startswith(_DIGIT_LEADING) for fmt in formats):
-        attempts = F.when(F.substring(s, 1, 1).between("0", "9"), attempts)
+    first = F.substring(s, 1, 1)
+    digits = all(fmt.startswith(_DIGIT_LEADING) for fmt in formats)
+    attempts = F.when(first.between("0", "9") if digits else ~first.isin("+", "-"), attempts)
     attempts = attempts.cast("timestamp_ntz")
     if not fast_iso:
         return attempts

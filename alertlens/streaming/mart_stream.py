@@ -21,7 +21,7 @@ Two output modes:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +40,7 @@ def daily_counts(alerts: DataFrame, name_col: str, ts_col: str,
                  domain_col: str | None = None, excluded_domain: str | None = None,
                  broadcast_max_rows: int = BROADCAST_MAX_ROWS,
                  watermark: str | None = None,
-                 formats: Sequence[str] = TIMESTAMP_FORMATS) -> DataFrame:
+                 formats: Sequence[str] = TIMESTAMP_FORMATS, named: bool = True) -> DataFrame:
     """Streaming or batch: count alerts per (day, status name), by the rules of the
     batch mart: headers stripped, domain excluded, timestamps of any type or listed
     text layout, join keys of one type.
@@ -48,7 +48,8 @@ def daily_counts(alerts: DataFrame, name_col: str, ts_col: str,
     Without ``dim`` the name is read from ``name_col``; with it, ``status_col``
     is joined to the dimension's ``ID`` (left join, static side). With
     ``watermark`` (e.g. ``"2 days"``) the day is an event-time window, as
-    append mode requires.
+    append mode requires. ``named=False`` leaves the join out and counts per
+    (status id, day), for ``name_counts``.
     """
     df = normalize_headers(alerts)
     if domain_col is not None and excluded_domain is not None:
@@ -68,6 +69,8 @@ def daily_counts(alerts: DataFrame, name_col: str, ts_col: str,
     else:
         names = status_names(dim)
         check_join_keys(normalize_headers(alerts), names, fact_key=status_col)
+        if not named:
+            return df.groupBy("_sid", "_d").agg(F.count(F.lit(1)).alias("_n"))
         right = names.withColumnRenamed("ID", "_status_id")
         if has_at_most(right, broadcast_max_rows):
             right = F.broadcast(right)
@@ -84,6 +87,33 @@ def daily_counts(alerts: DataFrame, name_col: str, ts_col: str,
     )
 
 
+def name_counts(per_id: DataFrame, dim: DataFrame) -> DataFrame:
+    """The mart from counts per (status id, day): a shuffle join with the distinct
+    (id, name) pairs, so that a hot id is one row per day and duplicate ids fan out."""
+    pairs = (status_names(dim).groupBy("ID", "NAME").agg(F.count(F.lit(1)).alias("_mult"))
+             .withColumnRenamed("ID", "_status_id"))
+    total = F.sum(F.col("_n") * F.coalesce(F.col("_mult"), F.lit(1))).cast("bigint")
+    counted = (per_id.join(pairs.hint("merge"), F.col("_sid") == F.col("_status_id"), "left")
+               .groupBy("_d", "NAME").agg(total.alias("Count")))
+    return counted.select(F.year("_d").alias("year_creation"), F.month("_d").alias("mth_creation"),
+                          F.col("_d").alias("dt_creation"), "NAME", "Count")
+
+
+def stream_counts(alerts: DataFrame, name_col: str, ts_col: str, dim: DataFrame | None = None,
+                  broadcast_max_rows: int = BROADCAST_MAX_ROWS, watermark: str | None = None,
+                  **kwargs) -> tuple[DataFrame, Callable[[DataFrame], DataFrame] | None]:
+    """The streaming aggregate, and what is left to do on each micro-batch's result.
+
+    A dimension too large to broadcast is not joined with raw alerts: the stream counts
+    per (status id, day), and each micro-batch joins those counts, with the dimension as
+    it then is. With a watermark the join stays inside the stream.
+    """
+    large = dim is not None and watermark is None and not has_at_most(status_names(dim), broadcast_max_rows)
+    counts = daily_counts(alerts, name_col, ts_col, dim=dim, broadcast_max_rows=broadcast_max_rows,
+                          watermark=watermark, named=not large, **kwargs)
+    return counts, (lambda batch: name_counts(batch, dim)) if large else None
+
+
 def read_alert_stream(spark: SparkSession, source_dir: str, schema: StructType,
                       glob: str | None = None, max_files_per_trigger: int | None = None
                       ) -> DataFrame:
@@ -97,8 +127,9 @@ def read_alert_stream(spark: SparkSession, source_dir: str, schema: StructType,
 
 def start_mart_stream(counts: DataFrame, sink_path: str, checkpoint_path: str,
                       available_now: bool = True, processing_time: str | None = None,
-                      output_mode: str = "complete"):
-    """Start the streaming mart.
+                      output_mode: str = "complete",
+                      finish: Callable[[DataFrame], DataFrame] | None = None):
+    """Start the streaming mart from ``stream_counts``.
 
     ``complete``: each batch overwrites ``sink_path`` with the whole mart.
     ``append``: finalised days are appended to a Parquet sink.
@@ -112,7 +143,8 @@ def start_mart_stream(counts: DataFrame, sink_path: str, checkpoint_path: str,
         def write_batch(batch: DataFrame, _batch_id: int) -> None:
             # counts only grow, so no year ever has to be removed: each year is
             # replaced by its own rename, and readers never see an empty mart
-            (batch.hint("rebalance", "year_creation").write.mode("overwrite")
+            mart = finish(batch) if finish else batch
+            (mart.hint("rebalance", "year_creation").write.mode("overwrite")
                   .option("partitionOverwriteMode", "dynamic")
                   .partitionBy("year_creation").parquet(sink_path))
 
@@ -139,8 +171,8 @@ def stream_daily_mart(spark: SparkSession, source_dir: str, schema: StructType,
     sink = sink_path or scratch_path(spark, "stream-mart")
     ckpt = checkpoint_path or scratch_path(spark, "stream-checkpoint")
     alerts = read_alert_stream(spark, source_dir, schema, glob, max_files_per_trigger)
-    counts = daily_counts(alerts, name_col, ts_col, watermark=watermark, **count_kwargs)
-    query = start_mart_stream(counts, sink, ckpt, available_now=True, output_mode=output_mode)
+    counts, finish = stream_counts(alerts, name_col, ts_col, watermark=watermark, **count_kwargs)
+    query = start_mart_stream(counts, sink, ckpt, available_now=True, output_mode=output_mode, finish=finish)
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()

@@ -7,6 +7,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from alertlens.config import TIMESTAMP_FORMATS
+from alertlens.functions.text import strip_ws
+from alertlens.functions.timestamps import parse_timestamp_text
 from alertlens.operators.filters import apply_filters
 from alertlens.operators.mart import (
     attach_status_name,
@@ -18,7 +21,7 @@ from alertlens.operators.mart import (
     write_mart,
 )
 from alertlens.sources.readers import SchemaError
-from alertlens.streaming.mart_stream import daily_counts
+from alertlens.streaming.mart_stream import daily_counts, stream_daily_mart
 
 FACT = "WW_STATUS_ID bigint, WW_CREATION_TIMESTAMP string, WW_DOMAIN_CODE string"
 LAYOUTS = ["2024-01-02 10:00:00.123456789", "2024-01-02T10:00:00.123456789Z", "02/01/2024 10:00", "02-01-2024 10:00",
@@ -93,6 +96,28 @@ def test_stream_rules_are_those_of_the_batch(spark, dim):
         daily_counts(fact.withColumn("WW_STATUS_ID", F.lit("1")), "NAME", "WW_CREATION_TIMESTAMP", **args)
 
 
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_stream_joins_a_dimension_of_any_size(spark, dim, tmp_path, rows):
+    fact = facts(spark, [(1, "2024-01-02", "A")] * 5 + [(2, "2023-01-03", "A"), (9, "2024-01-03", "A"), (None, "2024-01-03", "A")])
+    fact.write.parquet(str(tmp_path / "in"))
+    twice = dim.unionByName(dim.filter("ID = 1"))  # a repeated id fans out
+    got = stream_daily_mart(spark, str(tmp_path / "in"), fact.schema, "", "WW_CREATION_TIMESTAMP", dim=twice,
+                            status_col="WW_STATUS_ID", broadcast_max_rows=rows)
+    assert sorted(got.collect(), key=str) == sorted(build_mart(fact, twice).collect(), key=str)
+
+
+@pytest.mark.parametrize("more", [(), ("MMM d, yyyy",)])
+def test_digit_switch_only_refuses_signs(spark, more):
+    texts = ["+2024-01-02", "-2024-01-02", "2024-01-02", " 2024-01-02 ", "x2024-01-02", "", None, "02/01/2024", "Jan 2, 2024"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    layouts = (*TIMESTAMP_FORMATS, *more)
+    plain = F.coalesce(*[F.try_to_timestamp(strip_ws(F.col("t")), F.lit(f)) for f in layouts])
+    both = df.select("t", parse_timestamp_text(F.col("t"), layouts).cast("string").alias("a"),
+                     plain.cast("timestamp_ntz").cast("string").alias("b")).collect()
+    assert [r.t for r in both if r.a != r.b] == ["-2024-01-02"]
+    assert all(r.a is None for r in both if r.t and r.t[0] in "+-x")
+
+
 def test_unusable_items_give_no_rows(spark, dim):
     mart = build_mart(facts(spark, [(1, "2024-01-02", "A")]), dim)
     for chosen in ({"years": ["abc"]}, {"months": ["x"]}, {"years": [None, "2023"]}, {"years": 123456}):
