@@ -48,7 +48,7 @@ BANDS = 25
 STEP = 16
 TOLERANCE = 1e-6
 BLOCK = 256
-BROADCAST_KEYS = 1_000_000  # 8 bytes each
+BROADCAST_KEYS = 1_000_000  # a class, an id and a flag each
 
 _MIX1, _MIX2, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 _draw = np.random.default_rng(20)
@@ -276,6 +276,17 @@ def shingle_sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 picked_sets = shingle_sets.asNondeterministic()
 
 
+@F.pandas_udf(T.LongType())
+def text_class(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    shingles = Shingles()
+    for texts in batches:
+        sets = [shingles(t) for t in texts]
+        yield pd.Series([class_key(s) if len(s) else None for s in sets], dtype="Int64")
+
+
+class_of = text_class.asNondeterministic()  # so that no plan moves it below a join
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """cls, root (smallest class of the component) from edges (cls, root), by alternating
     large and small stars until nothing changes; each round is written to the shared folder."""
@@ -296,9 +307,10 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         state = new
 
 
-def join_documents(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of its group of linked documents), n_links (other
-    documents of similarity ``threshold`` or more, copies included)."""
+def _grouped(spark: SparkSession, docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, cls, sig) of every document, and of every class: cls, first_id (its smallest
+    doc_id), copies (its documents), links (linked documents of other classes, null for
+    none), root (the smallest class of its group)."""
     if threshold != THRESHOLD:
         raise ValueError("the bands are laid out for THRESHOLD; choose ROWS, BANDS and THRESHOLD together")
     s = docs.select("doc_id", signed("text").alias("s")).select("doc_id", "s.cls", "s.sig")
@@ -332,11 +344,18 @@ def join_documents(spark: SparkSession, docs: DataFrame, threshold: float = THRE
     pairs = pairs.repartition(*_GROUP_COLUMNS).sortWithinPartitions(*_GROUP_COLUMNS)
     links = stored(spark, pairs.mapInArrow(_verify(threshold), "cls bigint, root bigint, links bigint"), "join-links")
 
-    # groups and counts per class, then back to the documents
+    # groups and counts per class
     roots = components(spark, links.select("cls", "root"))
     counts = links.groupBy("cls").agg(F.sum("links").alias("links"))
     per_class = (classes.select("cls", "first_id", "copies").join(counts, "cls", "left").join(roots, "cls", "left")
                  .withColumn("root", F.coalesce("root", "cls")))
+    return s, stored(spark, per_class, "join-groups")
+
+
+def join_documents(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of its group of linked documents), n_links (other
+    documents of similarity ``threshold`` or more, copies included)."""
+    s, per_class = _grouped(spark, docs, threshold)
     named = per_class.groupBy("root").agg(F.min("first_id").alias("class_id"))
     per_class = per_class.join(named, "root").select(
         "cls", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
@@ -346,16 +365,32 @@ def join_documents(spark: SparkSession, docs: DataFrame, threshold: float = THRE
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each group, that with the smallest doc_id, with all its columns."""
-    groups = stored(spark, join_documents(spark, docs, threshold), "join-groups")
-    gone_id, twice_id = unused(docs, "gone_id"), unused(docs, "twice_id")
-    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(gone_id)).distinct()
-    twice = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias(twice_id))
-    gone, twice = stored(spark, gone, "join-gone"), stored(spark, twice, "join-twice")
-    few = gone.count()
-    left = docs.join(F.broadcast(gone) if few <= BROADCAST_KEYS else gone,
-                     F.col("doc_id").eqNullSafe(F.col(gone_id)), "left_anti")
-    if not twice.isEmpty():  # rows that share a doc_id: the id stays once
-        again = F.col("doc_id").eqNullSafe(F.col(twice_id))
-        left = left.join(twice, again, "left_anti").unionByName(left.join(twice, again, "left_semi").dropDuplicates(["doc_id"]))
-    return left.select(*map(quoted, docs.columns))
+    """One document of each group, that with the smallest doc_id (nulls last; the smallest
+    class among equal ids), with all its columns; texts without words all stay. A row is
+    judged by its own text's class, so rows that share an id or have none are told apart."""
+    s, per_class = _grouped(spark, docs, threshold)
+    order = F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "cls")
+    heads = per_class.groupBy("root").agg(F.sum("copies").alias("size"), F.min(order).alias("head"))
+    marks = per_class.select("cls", "first_id", "root").join(heads.filter("size > 1"), "root")
+    marks = stored(spark, marks.select("cls", "first_id", (F.col("cls") == F.col("head.cls")).alias("stays")), "join-marks")
+    few = marks.count() <= BROADCAST_KEYS
+    own = marks.filter("stays")
+    ids = s.select("doc_id", "cls").join(F.broadcast(own) if few else own, "cls").filter(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    twice = stored(spark, ids.groupBy("cls", "first_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "join-twice")
+
+    cls, mark, first_id, stays = (unused(docs, x) for x in ("cls", "mark", "first_id", "stays"))
+    once = marks.join(twice.select("cls", F.lit(True).alias("more")), "cls", "left").select(
+        F.col("cls").alias(mark), F.col("first_id").alias(first_id), (F.col("stays") & F.col("more").isNull()).alias(stays))
+    left = docs.withColumn(cls, class_of("text")).join(F.broadcast(once) if few else once, F.col(cls) == F.col(mark), "left")
+    left = left.filter(F.col(mark).isNull() | (F.col(stays) & F.col("doc_id").eqNullSafe(F.col(first_id))))
+    left = left.select(*map(quoted, docs.columns))
+    if twice.isEmpty():
+        return left
+    # one of the rows that share text class and id
+    some = twice.select(F.col("first_id").alias(first_id)).distinct()
+    again = docs.join(F.broadcast(some) if few else some, F.col("doc_id").eqNullSafe(F.col(first_id)), "left_semi")
+    pairs = twice.select(F.col("cls").alias(mark), F.col("first_id").alias(first_id))
+    again = again.withColumn(cls, class_of("text")).join(
+        F.broadcast(pairs) if few else pairs,
+        (F.col(cls) == F.col(mark)) & F.col("doc_id").eqNullSafe(F.col(first_id)), "left_semi")
+    return left.unionByName(again.dropDuplicates([cls]).select(*map(quoted, docs.columns)))

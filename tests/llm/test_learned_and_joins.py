@@ -119,6 +119,49 @@ def test_join_odd_rows(sp, odd_docs, no_docs):
     assert jaccard_join.join_documents(sp, no_docs).collect() == []
 
 
+def brute_kept(rows):
+    """(doc_id, text) of the rows that stay: of each group that with the smallest id, nulls
+    last; every text without words."""
+    s = [sets_of(t) for _, t in rows]
+    group = list(range(len(s)))
+    for i in range(len(s)):
+        for j in range(i):
+            if s[i] and len(s[i] & s[j]) * 10 >= 8 * len(s[i] | s[j]) and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    best = {}
+    for i, g in enumerate(group):
+        order = (rows[i][0] is None, rows[i][0] or 0)
+        if g not in best or order < best[g][0]:
+            best[g] = (order, i)
+    return sorted((rows[i] for _, i in best.values()), key=str)
+
+
+def odd_ids():
+    """Near copies; null ids with texts of their own, copies among them; one id of several texts."""
+    near = near_copies(3)[::3]
+    own = [(None, f"only text number {i} of a row without an id") for i in range(30)]
+    first = near[0][1]
+    return near + own + [
+        (None, own[0][1]), (None, own[1][1]), (None, first), (None, None), (None, "  "), (None, ""),
+        (7777, "one text under a shared id"), (7777, "another text under the shared id"), (7777, first),
+        (7777, "another  TEXT under the shared id"), (7777, None), (7777, None)]
+
+
+def test_keep_one_equals_brute_force_for_null_and_shared_ids(sp):
+    rows = odd_ids()
+    docs = sp.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id bigint, text string, cls int, mark int")
+    kept = jaccard_join.keep_one(sp, docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    as_sets = lambda rows: sorted((str(i), sorted(sets_of(t))) for i, t in rows)  # noqa: E731  (copies may differ in blanks)
+    assert as_sets(got) == as_sets(brute_kept(rows))
+
+
+def test_keep_one_without_broadcasts(sp, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BROADCAST_KEYS", -1)
+    test_keep_one_equals_brute_force_for_null_and_shared_ids(sp)
+
+
 def test_least_matches_bound_the_loss():
     rng = np.random.default_rng(4)
     least = jaccard_join.least_matches()
