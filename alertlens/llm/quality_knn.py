@@ -145,15 +145,20 @@ def fit(texts: list[str | None], labels: list[int]) -> Voters:
     return Voters(weights, projection, z[some], y[some], float(y.mean()))
 
 
+def agreed(labels: DataFrame, label: str, training: Column) -> DataFrame:
+    """doc_id, y of the training documents whose labels agree."""
+    own = labels.filter(training & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    own = own.groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("y2"))
+    return own.filter("y = y2").select("doc_id", "y")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Column, size: int,
                     max_chars: int = SAMPLE_CHARS, columns: tuple[str, ...] = ()) -> list:
     """At most ``size`` rows (text, label, *columns) of training documents, those with the
     smallest crc32(doc_id), fewer if their texts exceed ``max_chars``. The ids are chosen
     from the labels alone, so that only the chosen texts are moved; a document labelled
     twice with different labels teaches neither."""
-    own = labels.filter(training & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-    own = own.groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("y2")).filter("y = y2")
-    chosen = own.orderBy(id_crc(F.col("doc_id")), "doc_id").limit(size).collect()
+    chosen = agreed(labels, label, training).orderBy(id_crc(F.col("doc_id")), "doc_id").limit(size).collect()
     y = {r["doc_id"]: int(r["y"]) for r in chosen}
     if not y:
         return []

@@ -7,15 +7,23 @@ over the words, the largest response of each filter over the whole text is kept
 pooling), and a logistic layer gives the raw score. Embeddings start from the words'
 smoothed log-odds in the sample, filters at random; everything is trained by gradient
 steps (Adam) on a bounded labelled sample. The raw score above which a text counts as
-toxic is calibrated per language on sample rows kept out of training, and scores are
+toxic is calibrated per language on all other labelled training rows, and scores are
 rescaled so that this threshold sits at 0.7 in every language. The language is that
 predicted from the text (naive Bayes learned on the same sample), never the column.
 
+Calibration: every document is scored once and its raw score and language are stored;
+those of the labelled training rows that did not teach the net are counted by (language,
+label, bin of the score's log-odds), and only these counts reach the driver. A language's
+threshold is the mean, in log-odds, of its own best one, weighted by its toxic rows, and
+of the common one, weighted as SHRINK toxic rows; so every language with a toxic row has
+a threshold of its own. Rows count as often as they occur. If the sample is so small that
+all of it teaches, its rows calibrate too.
+
 Defined results: null, empty and blank texts score 0; with no labels, or labels of one kind only, every score is 0; repeated rows are
 scored each; other columns are ignored; no rows give no rows.
 
-Bounds: SAMPLE labelled rows, chosen as in quality_knn.labelled_sample; the broadcast
-model is 3 x ROWS x DIM floats plus the filters. Texts of any length are read in slices:
+Bounds: SAMPLE labelled rows teach, chosen as in quality_knn.labelled_sample (a language that
+none of them has is predicted as one of the others and calibrated with it); the broadcast model is 3 x ROWS x DIM floats plus the filters. Texts of any length are read in slices:
 the largest response over slices is that over the text (slices overlap by two words).
 """
 
@@ -23,7 +31,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -32,8 +40,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from alertlens.llm import language_id
-from alertlens.llm.common import Memo, slices
-from alertlens.llm.quality_knn import labelled_sample
+from alertlens.llm.common import Memo, slices, stored
+from alertlens.llm.quality_knn import agreed, labelled_sample
 
 SAMPLE = 6000
 BITS = 18
@@ -45,7 +53,8 @@ FILTERS = 6      # of each width
 EPOCHS = 6
 RATE = 0.02
 TOXIC = 0.7
-MIN_POSITIVE = 15  # fewer toxic rows of a language take the common threshold
+SHRINK = 15      # toxic rows that the common threshold counts for in a language's
+BIN = 0.02       # of log-odds, for calibration
 
 _TRIM = ".,;:!?\"'()[]{}<>#$%&*|`~_-+=/\\"
 
@@ -85,8 +94,6 @@ class Net:
     filters: list[np.ndarray]              # per width: width*TABLES*DIM x FILTERS
     bias: np.ndarray                       # widths*FILTERS
     out: np.ndarray                        # widths*FILTERS + 1
-    thresholds: dict[str, float] = field(default_factory=dict)
-    common: float = 0.5
 
     def embed(self, rows: np.ndarray) -> np.ndarray:
         return np.concatenate([self.tables[k][table_rows(rows, k)] for k in range(TABLES)], axis=1)
@@ -119,13 +126,6 @@ class Net:
             return 0.0
         return float(1 / (1 + np.exp(-np.clip(best @ self.out[:-1] + self.out[-1], -30, 30))))
 
-    def scaled(self, raw: np.ndarray, langs: np.ndarray) -> np.ndarray:
-        """Scores with the language's threshold moved to TOXIC."""
-        t = np.array([self.thresholds.get(x, self.common) for x in langs])
-        low = TOXIC * raw / t
-        high = TOXIC + (1 - TOXIC) * (raw - t) / np.maximum(1 - t, 1e-9)
-        return np.where(raw >= t, np.clip(high, TOXIC, 1.0), np.minimum(low, np.nextafter(TOXIC, 0)))
-
 
 def _start(rows: list[np.ndarray], y: np.ndarray) -> Net:
     """Tables from the words' smoothed log-odds (first number of a row), the rest random."""
@@ -186,66 +186,118 @@ def train(rows: list[np.ndarray], y: np.ndarray) -> Net:
     return net
 
 
-def _threshold(raw: np.ndarray, y: np.ndarray) -> float:
-    """Middle of the gap that gives the best F1, the widest such gap in log-odds."""
-    z = np.log(raw + 1e-9) - np.log(1 - raw + 1e-9)
-    order = np.argsort(-z, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    gap = z[order] - np.r_[z[order][1:], -20.0]
-    f1 = np.where(gap > 0, f1, 0)
+@dataclass(frozen=True)
+class Thresholds:
+    common: float
+    own: dict[str, float]
+
+    def scaled(self, raw: np.ndarray, langs: np.ndarray) -> np.ndarray:
+        """Scores with the language's threshold moved to TOXIC."""
+        t = np.array([self.own.get(x, self.common) for x in langs])
+        low = TOXIC * raw / t
+        high = TOXIC + (1 - TOXIC) * (raw - t) / np.maximum(1 - t, 1e-9)
+        return np.where(raw >= t, np.clip(high, TOXIC, 1.0), np.minimum(low, np.nextafter(TOXIC, 0)))
+
+
+def _cut(bins: np.ndarray, n: np.ndarray, toxic: np.ndarray) -> float:
+    """Log-odds in the middle of the gap that gives the best F1, the widest such gap, from
+    the rows and toxic rows of distinct bins."""
+    order = np.argsort(-bins)
+    hits = np.cumsum(toxic[order])
+    f1 = 2 * hits / (np.cumsum(n[order]) + toxic.sum())
+    low = bins[order] * BIN
+    high = np.r_[low[1:] + BIN, min(-20.0, low[-1])]  # upper edge of the next bin
     best = np.flatnonzero(f1 >= f1.max() - 1e-12)
-    k = best[gap[best].argmax()]
-    return float(1 / (1 + np.exp(-(z[order][k] - gap[k] / 2))))
+    k = best[(low - high)[best].argmax()]
+    return float(low[k] + high[k]) / 2
+
+
+def _probability(z: float) -> float:
+    return min(0.98, max(0.02, float(1 / (1 + np.exp(-z)))))
+
 
+def thresholds(counts: pd.DataFrame) -> Thresholds:
+    """From rows of (lang, bin, n, toxic)."""
+    total = counts.groupby("bin", as_index=False)[["n", "toxic"]].sum()
+    if not total["toxic"].sum():
+        return Thresholds(0.5, {})
+    common = _cut(*(total[c].to_numpy() for c in ("bin", "n", "toxic")))
+    own = {}
+    for lang, rows in counts.groupby("lang"):
+        toxic = rows["toxic"].sum()
+        if toxic:
+            z = _cut(*(rows[c].to_numpy() for c in ("bin", "n", "toxic")))
+            own[lang] = _probability((toxic * z + SHRINK * common) / (toxic + SHRINK))
+    return Thresholds(_probability(common), own)
 
-def fit(sample: list[tuple[str | None, int, str | None]]) -> tuple[Net | None, language_id.Model]:
-    """Net and language model from rows (text, label, lang): three of four rows train,
-    the fourth calibrates."""
+
+def calibrate(raw: DataFrame, labelled: DataFrame) -> Thresholds:
+    """From every row of ``raw`` (doc_id, raw, lang) with a label in ``labelled`` (doc_id, y)."""
+    z = F.log(F.col("raw") + 1e-9) - F.log(1 - F.col("raw") + 1e-9)
+    rows = raw.join(labelled, "doc_id").select("lang", F.floor(z / BIN).alias("bin"), "y")
+    counts = rows.groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("bigint")).alias("toxic"))
+    return thresholds(counts.toPandas())
+
+
+def fit(sample: list[tuple[str | None, int, str | None]]) -> tuple[Net | None, language_id.Model, np.ndarray]:
+    """Net, language model and which rows taught the net, from rows (text, label, lang): three
+    of four teach, all if the rest has one kind of label only."""
     words = Words()
-    texts = [t for t, _, _ in sample]
-    y = np.array([label for _, label, _ in sample], np.float64)
-    counts = language_id.count_grams(texts, [lang for _, _, lang in sample])
+    texts = [s[0] for s in sample]
+    y = np.array([s[1] for s in sample], np.float64)
+    counts = language_id.count_grams(texts, [s[2] for s in sample])
     langs = language_id.model_of(counts, {k: sum(s[2] == k for s in sample) for k in counts})
-    if len(set(y)) < 2:
-        return None, langs
-    rows = [np.concatenate(list(words(t))) for t in texts]
     teach = np.arange(len(y)) % 4 != 3
+    if len(set(y)) < 2:
+        return None, langs, teach
     if len(set(y[teach])) < 2 or len(set(y[~teach])) < 2:
         teach[:] = True
-    net = train([r for r, t in zip(rows, teach, strict=True) if t], y[teach])
-    check = ~teach if not teach.all() else teach
-    raw = np.array([net.raw(words(t)) for t, c in zip(texts, check, strict=True) if c])
-    own = langs.predict(pd.Series([t for t, c in zip(texts, check, strict=True) if c], dtype=object))["lang_pred"].to_numpy()
-    net.common = min(0.98, max(0.02, _threshold(raw, y[check])))
-    for lang in set(own):
-        at = own == lang
-        if y[check][at].sum() >= MIN_POSITIVE:
-            net.thresholds[lang] = min(0.98, max(0.02, _threshold(raw[at], y[check][at])))
-    return net, langs
-
-
-def scorer(spark: SparkSession, net: Net | None, langs: language_id.Model):
-    """Column of texts -> score."""
+    rows = [np.concatenate(list(words(t))) for t, own in zip(texts, teach, strict=True) if own]
+    return train(rows, y[teach]), langs, teach
+
+
+RAW = T.StructType([T.StructField("raw", T.DoubleType()), T.StructField("lang", T.StringType())])
+
+
+def raw_scorer(spark: SparkSession, net: Net, langs: language_id.Model):
+    """Column of texts -> struct(raw, lang)."""
     shared = spark.sparkContext.broadcast((net, langs))
 
-    @F.pandas_udf(T.DoubleType())
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(RAW)
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         net, langs = shared.value
         words = Words()
         for texts in batches:
-            if net is None:
-                yield pd.Series(np.zeros(len(texts)))
-                continue
-            raw = np.array([net.raw(words(t)) for t in texts])
-            yield pd.Series(net.scaled(raw, langs.predict(texts)["lang_pred"].to_numpy()) if len(texts) else raw)
+            yield pd.DataFrame({"raw": np.array([net.raw(words(t)) for t in texts], np.float64),
+                                "lang": langs.predict(texts)["lang_pred"].to_numpy()})
+
+    return score
+
+
+def scaler(limits: Thresholds):
+    """Columns of raw scores and languages -> score."""
+
+    @F.pandas_udf(T.DoubleType())
+    def score(raw: pd.Series, langs: pd.Series) -> pd.Series:
+        return pd.Series(limits.scaled(raw.to_numpy(np.float64), langs.to_numpy()), dtype="float64")
 
     return score
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, training) -> DataFrame:
     """doc_id, held_out, score, predicted. ``training(doc_id column)``: may a row teach?"""
-    sample = labelled_sample(docs, labels, "toxic", training(F.col("doc_id")), SAMPLE, columns=("lang",))
-    score = scorer(spark, *fit(sample))
-    out = docs.select("doc_id", (~training(F.col("doc_id"))).alias("held_out"), score("text").alias("score"))
+    may = training(F.col("doc_id"))
+    own = docs.select("doc_id", "text", "lang", F.col("doc_id").alias("id"))
+    sample = labelled_sample(own, labels, "toxic", may, SAMPLE, columns=("lang", "id"))
+    net, langs, taught = fit(sample)
+    if net is None:
+        return docs.select("doc_id", (~may).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+    raw = docs.select("doc_id", raw_scorer(spark, net, langs)("text").alias("s")).select("doc_id", "s.raw", "s.lang")
+    raw = stored(spark, raw, "toxicity-raw")
+    others = agreed(labels, "toxic", may)
+    if not taught.all():
+        ids = spark.createDataFrame([(r[3],) for r, t in zip(sample, taught, strict=True) if t], "doc_id bigint")
+        others = others.join(F.broadcast(ids), "doc_id", "left_anti")
+    score = scaler(calibrate(raw, others))
+    out = raw.select("doc_id", (~may).alias("held_out"), score("raw", "lang").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= TOXIC).cast("int"))

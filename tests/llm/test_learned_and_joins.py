@@ -219,6 +219,36 @@ def test_classifiers_odd_rows(sp, odd_docs, no_docs, no_labels, classify):
         assert classify(sp, no_docs, labels, every).collect() == []
 
 
+def test_toxicity_thresholds_cover_every_labelled_row_and_language(sp):
+    # en: 40 toxic rows above 0.6; es: 5 above 0.2; unlabelled and held-out rows do not count
+    odds = lambda p: np.log(p / (1 - p))
+    rows = [(i, 0.65 if i < 40 else 0.55, "en", int(i < 40)) for i in range(300)]
+    rows += [(1000 + i, 0.25 if i < 5 else 0.15, "es", int(i < 5)) for i in range(60)]
+    raw = sp.createDataFrame([(i, p, lang) for i, p, lang, _ in rows] + [(5000 + i, 0.9, "es") for i in range(50)],
+                             "doc_id bigint, raw double, lang string")
+    labels = sp.createDataFrame([(i, y) for i, _, _, y in rows], "doc_id bigint, y int")
+    limits = toxicity_cnn.calibrate(raw, labels)
+    assert set(limits.own) == {"en", "es"}
+    assert 0.55 < limits.own["en"] < 0.65
+    own, common = odds(0.2), odds(limits.common)
+    want = (5 * own + toxicity_cnn.SHRINK * common) / (5 + toxicity_cnn.SHRINK)
+    assert abs(odds(limits.own["es"]) - want) < 0.1
+
+
+def test_toxicity_calibrates_rare_languages_on_rows_beyond_the_sample(sp, monkeypatch):
+    docs, labels = sp.read.parquet(f"{SF}/documents.parquet"), sp.read.parquet(f"{SF}/labels.parquet")
+    found = []
+    for name in ("calibrate", "fit"):
+        monkeypatch.setattr(toxicity_cnn, name, lambda *a, f=getattr(toxicity_cnn, name): (found.append((a, f(*a))), found[-1][1])[1])
+    monkeypatch.setattr(toxicity_cnn, "SAMPLE", 200)
+    toxicity_cnn.classify(sp, docs, labels, lambda i: F.lit(True)).collect()
+    (_, (_, _, taught)), ((_, others), limits) = found
+    assert taught.sum() == 150
+    assert others.count() == labels.filter("doc_id is not null and toxic is not null").select("doc_id").distinct().count() - 150
+    toxic = docs.join(labels.filter("toxic = 1"), "doc_id").select("lang").distinct().collect()
+    assert {r.lang for r in toxic if r.lang} <= set(limits.own)
+
+
 # -- pipeline --------------------------------------------------------------------------
 
 def test_pipeline_stages(sp, odd_docs, no_docs):
