@@ -14,8 +14,8 @@ sample row (ordered by its hash and id); repeated rows are scored each; other co
 are ignored; no rows give no rows.
 
 Bounds: at most SAMPLE labelled rows are learned from, those with the smallest
-crc32(doc_id as text), as the contract allows for a classifier; the broadcast is
-SAMPLE x LATENT floats plus the projection. Texts of any length are read in slices.
+crc32(doc_id as text), as the contract allows for a classifier, without the longest if
+they hold over SAMPLE_CHARS characters; the broadcast is SAMPLE x LATENT floats plus the projection. Texts of any length are read in slices.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertlens.llm.common import Memo, id_crc, slices, unused
+from alertlens.llm.common import Memo, id_crc, slices, stored, unused
 
 SAMPLE = 3000       # labelled rows learned from at most
 SAMPLE_CHARS = 100_000_000  # and characters of their texts
@@ -155,23 +155,31 @@ def agreed(labels: DataFrame, label: str, training: Column) -> DataFrame:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Column, size: int,
                     max_chars: int = SAMPLE_CHARS, columns: tuple[str, ...] = ()) -> list:
     """At most ``size`` rows (text, label, *columns) of training documents, those with the
-    smallest crc32(doc_id), fewer if their texts exceed ``max_chars``. The ids are chosen
-    from the labels alone, so that only the chosen texts are moved; a document labelled
-    twice with different labels teaches neither."""
+    smallest crc32(doc_id). If their texts exceed ``max_chars``, each label's longest ones are
+    left out until the rest fits its share (by rows) of the bound; the shortest one stays. The
+    ids are chosen from the labels alone, so that only the chosen texts are moved; a document
+    labelled twice with different labels teaches neither."""
     chosen = agreed(labels, label, training).orderBy(id_crc(F.col("doc_id")), "doc_id").limit(size).collect()
     y = {r["doc_id"]: int(r["y"]) for r in chosen}
     if not y:
         return []
-    ids = docs.sparkSession.createDataFrame([(k,) for k in y], "sample_id bigint")
+    spark = docs.sparkSession
+    ids = spark.createDataFrame([(k,) for k in y], "sample_id bigint")
     texts = docs.select("doc_id", "text", *columns)
     texts = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("sample_id"), "left_semi").dropDuplicates(["doc_id"])
-    rows, chars = [], 0
-    for r in sorted(texts.toLocalIterator(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"])):
-        chars += len(r["text"] or "")
-        if rows and chars > max_chars:
-            break
-        rows.append((r["text"], y[r["doc_id"]], *(r[c] for c in columns)))
-    return rows
+    texts = stored(spark, texts, "labelled-sample")
+    sizes = [(r["n"], r["doc_id"]) for r in texts.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).collect()]
+    fit_in = set()
+    for kind in set(y.values()):
+        own = sorted(s for s in sizes if y[s[1]] == kind)
+        sums = np.cumsum([n for n, _ in own])
+        share = max_chars if sum(n for n, _ in sizes) <= max_chars else max_chars * len(own) / len(sizes)
+        fit_in |= {i for k, (_, i) in enumerate(own) if k == 0 or sums[k] <= share}
+    if len(fit_in) < len(sizes):
+        picked = spark.createDataFrame([(k,) for k in fit_in], "sample_id bigint")
+        texts = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("sample_id"), "left_semi")
+    rows = sorted(texts.toLocalIterator(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
+    return [(r["text"], y[r["doc_id"]], *(r[c] for c in columns)) for r in rows]
 
 
 def scorer(spark: SparkSession, voters: Voters):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -249,6 +251,19 @@ def test_toxicity_calibrates_rare_languages_on_rows_beyond_the_sample(sp, monkey
     assert {r.lang for r in toxic if r.lang} <= set(limits.own)
 
 
+@pytest.mark.parametrize("long_rows", [1, 30])
+def test_a_long_labelled_text_does_not_end_the_sample(sp, long_rows):
+    first = sorted(range(40), key=lambda i: zlib.crc32(str(i).encode()))
+    long = set(first[:long_rows])
+    docs = sp.createDataFrame([(i, ("w " * (5000 if i in long else 10)).strip()) for i in range(40)], "doc_id bigint, text string")
+    labels = sp.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    rows = quality_knn.labelled_sample(docs, labels, "toxic", F.lit(True), 40, max_chars=6000)
+    assert sum(len(t) < 100 for t, _ in rows) == 40 - long_rows
+    assert {y for _, y in rows} == {0, 1}
+    assert sum(len(t) for t, _ in rows) <= 6000
+    assert len(quality_knn.labelled_sample(docs, labels, "toxic", F.lit(True), 40)) == 40
+
+
 # -- pipeline --------------------------------------------------------------------------
 
 def test_pipeline_stages(sp, odd_docs, no_docs):
