@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -277,3 +279,65 @@ def test_pipeline_stages(sp, odd_docs, no_docs):
         assert kept.count() > 0.8 * n, name
     packed = corpus_pipeline.run(sp, SF)
     assert packed.select("doc_id").distinct().count() > 0.6 * n
+
+
+def plain_quality(rows, labels):
+    """The quality stage in plain Python: the sample, then votes of the nearest by full sorts."""
+    key = lambda i: zlib.crc32(str(i).encode())
+    text = dict(rows)
+    ids = sorted((i for i, _ in labels if key(i) % 4 != 2), key=lambda i: (key(i), i))[: quality_knn.SAMPLE]
+    y = dict(labels)
+    voters = quality_knn.fit([text[i] for i in ids if i in text], [y[i] for i in ids if i in text])
+    kept = []
+    for i, t in rows:
+        counts = quality_knn.Terms().counts(t)
+        score = voters.share
+        if counts.any():
+            near = voters.vectors @ voters.latent(counts[None])[0]
+            best = np.argsort(-near, kind="stable")[: quality_knn.NEIGHBOURS]
+            votes = np.maximum(near[best], 1e-6).astype(np.float64)
+            score = votes @ voters.labels[best] / votes.sum()
+        if score >= quality_knn.ACCEPT:
+            kept.append((i, t))
+    return kept
+
+
+def plain_rules(rows):
+    """The rules stage in plain Python, rows of (doc_id, text, host)."""
+    bad, hosts = [], {}
+    for _, t, host in rows:
+        w = re.findall("[^ \t\n\x0b\x0c\r]+", t or "")
+        windows = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
+        often = Counter(windows)
+        inside = {p for k, x in enumerate(windows) if often[x] > 1 for p in range(k, k + 8)}
+        bad.append(len(w) < 20 or 100 * len(inside) > 30 * len(w))
+        n, f = hosts.get(host, (0, 0))
+        hosts[host] = (n + 1, f + bad[-1])
+    total = sum(n for n, _ in hosts.values())
+    mean = sum(f for _, f in hosts.values()) / total
+    spread = sum(f * f / n for n, f in hosts.values()) / total - mean * mean
+    weight = min(200.0, max(2.0, mean * (1 - mean) / spread - 1)) if spread > 1e-12 else 200.0
+    out = {h for h, (n, f) in hosts.items() if (f + mean * weight) / (n + weight) > 0.5}
+    return [(i, t) for (i, t, host), b in zip(rows, bad, strict=True) if not b and host not in out]
+
+
+def test_stages_keep_what_plain_python_keeps(sp):
+    small = "/root/testdata/sf0.001"
+    given = sp.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "source").orderBy("doc_id").collect()
+    rows = [tuple(r) for r in given]
+    text = [t for _, t, _ in rows if t and 50 < len(t.split()) < 2000]
+    own = [f"{t} with an end of its own number {k}" for k, t in enumerate(text[:12])]
+    # null, repeated and clashing ids, null hosts; none of these ids has a label
+    rows += [(None, t, None) for t in own[:4]] + [(None, None, "src"), (None, "", None), (10**9, own[4], "src"), (10**9, own[4], "src")]
+    rows += [(10**9 + 1, own[5], None), (10**9 + 1, text[20], "src"), (10**9 + 1, None, None), (None, text[21], None)]
+    docs = sp.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    labels = [(r.doc_id, r.quality) for r in sp.read.parquet(f"{small}/labels.parquet").collect() if r.quality is not None]
+    pairs = [(i, t) for i, t, _ in rows]
+    want = {"quality_classifier": plain_quality(pairs, labels), "quality_rules": plain_rules(rows), "near_duplicates": brute_kept(pairs)}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = [(r.doc_id, r.text) for r in stage(sp, docs, small).collect()]
+        if name == "near_duplicates":  # equal sets of shingles may differ in blanks and capitals
+            got, want[name] = ([(i, sorted(sets_of(t))) for i, t in x] for x in (got, want[name]))
+        assert sorted(got, key=str) == sorted(want[name], key=str), name
+    packed = corpus_pipeline.STAGES[-1][1](sp, docs, small).filter("piece = 0").select("doc_id").collect()
+    assert sorted((r.doc_id for r in packed), key=str) == sorted((i for i, _ in pairs), key=str)
