@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertlens.llm import ann_mih, byte_bpe, chat_format, jaccard_join, language_id, license_scan, packing, quality_knn, quality_rules, toxicity_cnn
+from alertlens.llm import ann_mih, byte_bpe, chat_format, jaccard_join, language_id, license_scan, packing, quality_knn, quality_rules, toxicity_cnn, vector_codes
 from alertlens.llm.common import id_crc, prepare, table
 
 
@@ -69,10 +69,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann_mih, op2_license_scan, op3_jaccard_join, op4_byte_bpe, op5_quality_knn, op7_toxicity_cnn, op6_language_id, op8_best_fit_packing, op9_chat_format, op10_quality_rules)}
+def op11_limb_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return vector_codes.digests(spark, table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ann_mih, op2_license_scan, op3_jaccard_join, op4_byte_bpe, op5_quality_knn, op7_toxicity_cnn, op6_language_id, op8_best_fit_packing, op9_chat_format, op10_quality_rules, op11_limb_codes)}
 
 ORACLE_SQL = {
     "op2_license_scan": license_scan.oracle_sql(),
     "op9_chat_format": chat_format.ORACLE_SQL,
     "op10_quality_rules": quality_rules.oracle_sql(),
+    "op11_limb_codes": vector_codes.ORACLE_SQL,
 }
