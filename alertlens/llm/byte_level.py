@@ -1,13 +1,13 @@
 """Ids of byte-level BPE texts by the ``tokenizers`` library, with a memo of words.
 
-A byte-level tokenizer's pattern never matches across the place between a character that is
-no white space and a blank behind it. So a text is cut at such blanks into chunks, each is
-encoded once per worker, and a text's ids are its chunks' ids in order. New chunks are cut
-further into the pattern's matches, and only new matches go to the library, many in one call;
-the ids' byte widths cut the result again. Chunks with characters beyond Latin, where
-two libraries may know different letters, go to the library whole, and so do texts that
-hold an added token's string (unless such strings are ordinary text) and all texts of a
-tokenizer that is not byte-level.
+A byte-level tokenizer's pattern never matches across certain places, so a text is cut there
+into chunks, each chunk is encoded once per worker, and a text's ids are its chunks' ids in
+order. Safe cuts are: before a blank that follows a character other than white space; and, in
+texts without runs of white space, around a line end and between a letter or digit and
+the one mark of ``MARKS`` before a blank. New chunks go to the library many at once, joined at
+such cuts; the ids' byte widths tell where each one ends. Texts with an added token's string
+(unless such strings are ordinary text), with the sign that marks chunks here, and all
+texts of a tokenizer that is not byte-level go to the library whole.
 """
 
 from __future__ import annotations
@@ -20,21 +20,26 @@ from itertools import chain
 
 import numpy as np
 
+#: In front of a chunk that no blank leads.
+BARE = "\x01"
+MARKS = ".,;:!?"
 #: White space, or what some library may take for it, or a blank's mark; no cut behind these.
-_UNSAFE = "\\s\u180e\u200b\ufeff\u2581"
-_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
-_UNSAFE_PAIRS = [c + " " for c in [*_SPACES, *"\u180e\u200b\u2581", "\ufeff"]]
-_ASCII_PAIRS = [p for p in _UNSAFE_PAIRS if p.isascii()]
+_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()] + ["᠎", "​", "﻿", "▁"]
+_UNSAFE = "".join(_SPACES)
 _LAST_UNSAFE = re.compile(f"[{_UNSAFE}]$")
 _SAFE_CUT = re.compile(f"[^{_UNSAFE}](?= )")
-_CONTROL = re.compile("[\x1c-\x1f\x85]")
+_PAIRS = [c + " " for c in _SPACES]
+_ASCII_PAIRS = [p for p in _PAIRS if p.isascii()]
+_PLAIN_RUNS = ["  ", "\n\n", " \n", "\n "]
+_OTHER = [c for c in _SPACES if c not in " \n"] + _PLAIN_RUNS
+_ASCII_OTHER = [c for c in _OTHER if c.isascii()]
 
 
 def chunks(text: str) -> list[str]:
-    """The text's chunks without the blank that begins each of them; the first one begins
-    the text, as if a blank stood before it."""
+    """The text cut before blanks behind other characters than white space; the chunks
+    come without that blank, and the first one as if it had had one."""
     parts = text.split(" ")
-    if parts[0] and parts[-1] and not any(p in text for p in (_ASCII_PAIRS if text.isascii() else _UNSAFE_PAIRS)):
+    if parts[0] and parts[-1] and not any(p in text for p in (_ASCII_PAIRS if text.isascii() else _PAIRS)):
         return parts
     out, own = [], [parts[0]]
     for k, p in enumerate(parts[1:], 1):
@@ -46,6 +51,17 @@ def chunks(text: str) -> list[str]:
     return [*out, " ".join(own)]
 
 
+def marked(text: str) -> list[str] | None:
+    """The chunks of a text without runs of white space, at all kinds of cuts, BARE before
+    those that no blank leads; None for other texts."""
+    if any(c in text for c in (_ASCII_OTHER if text.isascii() else _OTHER)):
+        return None
+    text = BARE + text.replace("\n", f" {BARE}\n {BARE}") + " "
+    for m in MARKS:
+        text = text.replace(m + " ", f" {BARE}{m} ")
+    return text[:-1].split(" ")
+
+
 def pieces(text: str, size: int = 1 << 20) -> Iterator[str]:
     """``text`` in pieces of about ``size`` characters, each but the first led by a blank
     at which a cut is safe, so that memory stays bounded for a text of any length."""
@@ -80,139 +96,154 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(other)}
 
 
+class Numbers(dict):
+    """word -> its number, in the order of first meeting; ``fresh`` are those not learned yet."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.fresh.append(word)
+        return number
+
+
 class ByteLevelIds:
     """Ids of texts as arrays of unsigned integers of ``kind``, as bytes."""
 
-    WORDS, MATCHES = 600_000, 700_000  # kept at most; forgotten ones are worked out again
-    TOGETHER = 4_000  # matches a call
+    WORDS = 1_200_000  # kept at most; forgotten ones are worked out again
+    TOGETHER = 4_000  # chunks a call of the library
 
-    def __init__(self, definition: str, specials_as_text: bool, pattern: str, kind: str = "<u4"):
+    def __init__(self, definition: str, specials_as_text: bool, kind: str = "<u4"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks in parallel
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = specials_as_text
         spec = json.loads(definition)
         model, cut, self.kind = spec["model"], spec.get("pre_tokenizer") or {}, kind
-        vocab = model.get("vocab")
+        added = spec.get("added_tokens") or []
         self.chunked = (cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
                         and not spec.get("normalizer") and model["type"] == "BPE" and not model.get("dropout"))
-        added = [t["content"] for t in spec.get("added_tokens") or []]
-        self.special = re.compile("|".join(map(re.escape, added))) if added and not specials_as_text else None
-        self.vocabulary = max([*vocab.values(), *(t["id"] for t in spec.get("added_tokens") or [])]) + 1
+        self.special = None if specials_as_text or not added else re.compile("|".join(re.escape(t["content"]) for t in added))
+        self.vocabulary = max([*model["vocab"].values(), *(t["id"] for t in added)]) + 1
+        byte = byte_of_char()
+        self.bytes = [b""] * self.vocabulary
         if self.chunked:
-            self.findall = regex.compile(pattern).findall
-            byte = byte_of_char()
-            self.widths = np.zeros(self.vocabulary, np.int64)
-            self.bytes = [b""] * self.vocabulary
-            for token, i in vocab.items():
-                if all(c in byte for c in token):
-                    self.bytes[i] = bytes(byte[c] for c in token)
-            for t in spec.get("added_tokens") or []:
+            for token, i in model["vocab"].items():
+                self.bytes[i] = bytes(byte.get(c, 0) for c in token)
+            for t in added:
                 self.bytes[t["id"]] = t["content"].encode()
-            self.widths[:] = [len(b) for b in self.bytes]
-        self.words: dict[str, bytes] = {}
-        self.matches: dict[str, bytes] = {}
+        self.widths = np.array([len(b) for b in self.bytes], np.int64)
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers = Numbers()
+        self.known: list[bytes] = []
+        self.ends_word: list[bool] = []
 
     def whole(self, text: str) -> np.ndarray:
         """The library's ids of the text."""
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
 
-    def _matches_of(self, chunk: str) -> list[str] | tuple[str, ...] | None:
-        """The pattern's matches in a chunk; None where only the library should cut. Most
-        chunks are a blank and letters, with or without one mark behind."""
-        if not chunk.isascii() and max(chunk) >= "\u0250":
+    def learn(self, new: list[str]) -> list[bytes]:
+        """The ids of chunks. A chunk that ends in white space, or begins with other white space
+        than a blank, stands for itself; others follow a blank of their own, or a line end
+        whose id is dropped again."""
+        if len(new) > self.TOGETHER:
+            return [x for k in range(0, len(new), self.TOGETHER) for x in self.learn(new[k : k + self.TOGETHER])]
+        step = np.dtype(self.kind).itemsize
+        alone = [not c or bool(_LAST_UNSAFE.search(c)) or c[0] != " " and c[0] in _UNSAFE for c in new]
+        led = [c if c[0] == " " else "\n" + c for c, a in zip(new, alone, strict=True) if not a]
+        text = "".join(led)
+        ids = self.whole(text)
+        want = np.cumsum([*map(len, led)] if text.isascii() else [len(c.encode()) for c in led], dtype=np.int64)
+        ends = np.r_[0, np.cumsum(self.widths[ids])]
+        at = np.searchsorted(ends, want)
+        if (ends[np.minimum(at, len(ids))] != want).any():
+            raise ValueError("a token of this vocabulary crosses the places that are cut")
+        data, at = ids.astype(self.kind).tobytes(), iter((at * step).tolist())
+        out, a = [], 0
+        for c, single in zip(new, alone, strict=True):
+            if single:
+                out.append(self.whole(c).astype(self.kind).tobytes())
+                continue
+            b = next(at)
+            out.append(data[a:b] if c[0] == " " else data[a + step : b])
+            a = b
+        return out
+
+    def _cut(self, text: str) -> list[str] | None:
+        """The chunks by the memo's words; None for what the library takes whole."""
+        if BARE in text or self.special and self.special.search(text):
             return None
-        word = chunk[1:] if chunk[:1] == " " else chunk
-        if word.isalpha():
-            return (chunk,)
-        if word[-1:] in ".,;:!?" and word[:-1].isalpha():
-            return chunk[:-1], word[-1]
-        return None if _CONTROL.search(chunk) else self.findall(chunk)
-
-    def _learn(self, new: list[str]) -> None:
-        """The library's ids of matches, one call for all of them. White space stands for
-        itself; other matches follow a blank of their own, or a line end at which the
-        pattern cuts and whose id is dropped again."""
-        led = [m if m[0] == " " else "\n" + m for m in new if not m.isspace()]
-        for m in new:
-            if m.isspace():
-                self.matches[m] = self.whole(m).astype(self.kind).tobytes()
-        if led:
-            text = "".join(led)
-            ids = self.whole(text)
-            ends, want = np.cumsum(self.widths[ids]), np.cumsum(
-                [*map(len, led)] if text.isascii() else [len(m.encode()) for m in led])
-            at = np.searchsorted(ends, want)
-            if len(ends) == 0 or (ends[np.minimum(at, len(ends) - 1)] != want).any():
-                raise ValueError("a token of this vocabulary crosses the pattern's matches")
-            at, step = ((at + 1) * np.dtype(self.kind).itemsize).tolist(), np.dtype(self.kind).itemsize
-            data = ids.astype(self.kind).tobytes()
-            for m, a, b in zip(led, [0, *at], at, strict=False):
-                if m[0] == " ":
-                    self.matches[m] = data[a:b]
-                else:
-                    self.matches[m[1:]] = data[a + step : b]
-
-    def chunk_ids(self, chunks: list[str]) -> list[bytes]:
-        """The ids of whole chunks (with their leading blank, if any)."""
-        known = self.matches
-        if len(known) > self.MATCHES:
-            known.clear()
-        cut = list(map(self._matches_of, chunks))
-        new = list(set(chain.from_iterable(filter(None, cut))).difference(known))
-        for k in range(0, len(new), self.TOGETHER):
-            self._learn(new[k : k + self.TOGETHER])
-        return [self.whole(c).astype(self.kind).tobytes() if own is None
-                else known[own[0]] if len(own) == 1 else b"".join([known[m] for m in own])
-                for c, own in zip(chunks, cut, strict=True)]
-
-    def know(self, words: set[str]) -> None:
-        new = words.difference(self.words)
-        if len(self.words) + len(new) > self.WORDS:
-            self.words.clear()
-            new = words
-        if new:
-            new = list(new)
-            self.words.update(zip(new, self.chunk_ids([" " + w for w in new]), strict=True))
+        if found := marked(text):
+            return found
+        first, *rest = chunks(text)
+        return [BARE + first, *rest]
 
-    def ids(self, text: str) -> bytes:
-        """The ids of a text of any length."""
-        if not self.chunked or self.special and self.special.search(text):
-            return self.whole(text).astype(self.kind).tobytes()
-        out = []
-        for k, piece in enumerate(pieces(text)):
-            own = chunks(piece)
-            self.know(set(own[1:]))
-            # a later piece begins with a blank: its first chunk is empty or led by blanks
-            out += self.chunk_ids([own[0]]) if own[0] else []
-            out += map(self.words.__getitem__, own[1:])
-        return b"".join(out)
+    def _numbered(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+
+    def _catch_up(self) -> None:
+        fresh, self.numbers.fresh = self.numbers.fresh, []
+        self.known += self.learn([w[1:] if w[:1] == BARE else " " + w for w in fresh])
+        # 0: a mark, 1: a mark may follow, 2: a mark would belong to the chunk
+        self.ends_word += [0 if w[:1] == BARE and w[1:] in MARKS and w != BARE else 1 if w[-1:].isalnum() else 2 for w in fresh]
 
     def many(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text; the new words of successive texts are learned together."""
+        if not self.chunked:
+            yield from (self.whole(t).astype(self.kind).tobytes() for t in texts)
+            return
         for group in groups(texts):
-            if not self.chunked or len(group) == 1:
-                yield from map(self.ids, group)
+            if len(group) == 1 and len(group[0]) > 1 << 21:
+                yield self.ids(group[0])
                 continue
-            cut = [None if self.special and self.special.search(t) else chunks(t) for t in group]
-            self.know(set(chain.from_iterable(c[1:] for c in cut if c)))
-            firsts = iter(self.chunk_ids([c[0] for c in cut if c and c[0]]))
+            if len(self.known) > self.WORDS:
+                self.forget()
+            cut = [self._cut(t) for t in group]
+            numbers = self._numbered(list(chain.from_iterable(filter(None, cut))))
+            self._catch_up()
+            ends = np.fromiter(map(self.ends_word.__getitem__, numbers.tolist()), np.int8, len(numbers))
+            # a mark directly behind a mark or another sign: the cut before it was not safe
+            wrong, at = np.flatnonzero((ends[1:] == 0) & (ends[:-1] != 1)) + 1, 0
+            flat, get = numbers.tolist(), self.known.__getitem__
             for t, own in zip(group, cut, strict=True):
                 if own is None:
                     yield self.whole(t).astype(self.kind).tobytes()
+                    continue
+                a, at = at, at + len(own)
+                if np.searchsorted(wrong, a + 1) < np.searchsorted(wrong, at):
+                    first, *rest = chunks(t)
+                    own = self._numbered([BARE + first, *rest]).tolist()
+                    self._catch_up()
+                    yield b"".join(map(get, own))
                 else:
-                    head = next(firsts) if own[0] else b""
-                    yield head + b"".join(map(self.words.__getitem__, own[1:]))
+                    yield b"".join(map(get, flat[a:at]))
+
+    def ids(self, text: str) -> bytes:
+        """The ids of one text of any length."""
+        if not self.chunked or BARE in text or self.special and self.special.search(text):
+            return self.whole(text).astype(self.kind).tobytes()
+        out = []
+        for piece in pieces(text):
+            if len(self.known) > self.WORDS:
+                self.forget()
+            first, *rest = chunks(piece)
+            own = self._numbered([BARE + first, *rest])
+            self._catch_up()
+            out += map(self.known.__getitem__, own.tolist())
+        return b"".join(out)
 
 
 _kept: dict[tuple, ByteLevelIds] = {}
 
 
-def encoder_of(definition: str, specials_as_text: bool, pattern: str, kind: str = "<u4") -> ByteLevelIds:
+def encoder_of(definition: str, specials_as_text: bool, kind: str = "<u4") -> ByteLevelIds:
     """One encoder per Python worker: its memo serves all tasks that the worker runs."""
-    key = (definition, specials_as_text, pattern, kind)
+    key = (definition, specials_as_text, kind)
     if key not in _kept:
         _kept.clear()
         _kept[key] = ByteLevelIds(*key)

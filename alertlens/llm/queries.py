@@ -77,7 +77,7 @@ def op11_limb_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return token_files.digests(spark, table(spark, sf_dir, "documents"),
-                               public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+                               public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES = {f.__name__: f for f in (op1_ann_mih, op2_license_scan, op3_jaccard_join, op4_byte_bpe, op5_quality_knn, op7_toxicity_cnn, op6_language_id, op8_best_fit_packing, op9_chat_format, op10_quality_rules, op11_limb_codes, op13_token_files)}

@@ -44,7 +44,8 @@ from alertlens.session import scratch_path
 END_ID = 0
 LIMIT = 18
 STEP = 256
-BLOCK = 1 << 18  # ids of a block, exceeded only by one longer document
+BLOCK = 1 << 20  # ids of a block, exceeded only by one longer document
+PART = 1 << 17  # ids encoded together
 
 BLOCKS = ("file int, block int, first bigint, n bigint, doc_ids array<bigint>, counts array<bigint>, "
           "crcs array<bigint>, marks binary, payload binary")
@@ -119,10 +120,10 @@ class Code:
                 for a, b, s, t in zip(byte[:-1].tolist(), byte[1:].tolist(), start.tolist(), stop.tolist(), strict=True)]
 
     def encode_document(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """A document of any length, in parts of BLOCK ids."""
+        """A document of any length, in parts of PART ids."""
         parts, marks, size = [], [], 0
-        for a in range(0, len(ids), BLOCK):
-            part = ids[a : a + BLOCK]
+        for a in range(0, len(ids), PART):
+            part = ids[a : a + PART]
             (data, own), = self.encode(part, np.array([len(part)]))
             parts.append(data)
             marks.append(own + 8 * size)
@@ -158,13 +159,13 @@ def lane_counts(counts: np.ndarray) -> np.ndarray:
 
 # -- writing ------------------------------------------------------------------------
 
-def tokenised(docs: DataFrame, definition: str, pattern: str) -> DataFrame:
+def tokenised(docs: DataFrame, definition: str) -> DataFrame:
     """doc_id, row, n, crc, ids of each document, the end id included (ids of two bytes, if
     they fit). ``crc``: of the ids as little-endian unsigned 32-bit integers."""
     shared = docs.sparkSession.sparkContext.broadcast(definition)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(shared.value, False, pattern, _kind(shared.value))
+        encoder = encoder_of(shared.value, False, _kind(shared.value))
         end = np.array([END_ID], encoder.kind).tobytes()
         for batch in batches:
             texts = (t or "" for t in batch.column(2).to_pylist())
@@ -216,7 +217,7 @@ def coded(tokens: DataFrame, kind: str, code: Code) -> DataFrame:
             ids = batch.column(4).to_pylist()
             out, group, size = [], [], 0
             for x in [np.frombuffer(x, kind) for x in ids] + [None]:
-                if x is None or group and size + len(x) > BLOCK:
+                if x is None or group and size + len(x) > PART:
                     if len(group) == 1:
                         out.append(code.encode_document(group[0]))
                     elif group:
@@ -267,13 +268,13 @@ def blocks(documents: DataFrame) -> DataFrame:
     return documents.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, BLOCKS)
 
 
-def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, pattern: str, path: str) -> None:
+def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, path: str) -> None:
     """Tokenise ``docs`` and write the folder ``path`` in the format above."""
     with open(tokenizer_path, encoding="utf-8") as f:
         definition = f.read()
     kind = _kind(definition)
     first, second = scratch_path(spark, "token-ids"), scratch_path(spark, "token-codes")
-    tokenised(docs, definition, pattern).write.option("compression", "zstd").parquet(first)
+    tokenised(docs, definition).write.option("compression", "zstd").parquet(first)
     tokens = spark.read.parquet(first)
     met = id_counts(tokens, kind).collect()  # at most a row for each id of the vocabulary
     counts = np.zeros(max([r["id"] for r in met], default=0) + 1, np.int64)
@@ -366,8 +367,8 @@ def read_range(spark: SparkSession, path: str, start: int, stop: int) -> DataFra
     return rows.mapInArrow(run, "start bigint, ids array<bigint>")
 
 
-def digests(spark: SparkSession, docs: DataFrame, tokenizer_path: str, pattern: str) -> DataFrame:
+def digests(spark: SparkSession, docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, read back from the files."""
     path = scratch_path(spark, "token-files")
-    write_tokens(spark, docs, tokenizer_path, pattern, path)
+    write_tokens(spark, docs, tokenizer_path, path)
     return read_tokens(spark, path, lambda ids: (zlib.crc32(ids),), "ids_crc32 bigint")
