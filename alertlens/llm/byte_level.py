@@ -102,17 +102,19 @@ class Numbers(dict):
     def __init__(self) -> None:
         super().__init__()
         self.fresh: list[str] = []
+        self.chars = 0
 
     def __missing__(self, word: str) -> int:
         number = self[word] = len(self)
         self.fresh.append(word)
+        self.chars += len(word)
         return number
 
 
 class ByteLevelIds:
     """Ids of texts as arrays of unsigned integers of ``kind``, as bytes."""
 
-    WORDS = 1_200_000  # kept at most; forgotten ones are worked out again
+    WORDS, CHARS = 1_200_000, 32_000_000  # kept at most; forgotten ones are worked out again
     TOGETHER = 4_000  # chunks a call of the library
 
     def __init__(self, definition: str, specials_as_text: bool, kind: str = "<u4"):
@@ -201,7 +203,7 @@ class ByteLevelIds:
             if len(group) == 1 and len(group[0]) > 1 << 21:
                 yield self.ids(group[0])
                 continue
-            if len(self.known) > self.WORDS:
+            if len(self.known) > self.WORDS or self.numbers.chars > self.CHARS:
                 self.forget()
             cut = [self._cut(t) for t in group]
             numbers = self._numbered(list(chain.from_iterable(filter(None, cut))))
@@ -229,7 +231,7 @@ class ByteLevelIds:
             return self.whole(text).astype(self.kind).tobytes()
         out = []
         for piece in pieces(text):
-            if len(self.known) > self.WORDS:
+            if len(self.known) > self.WORDS or self.numbers.chars > self.CHARS:
                 self.forget()
             first, *rest = chunks(piece)
             own = self._numbered([BARE + first, *rest])

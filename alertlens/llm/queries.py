@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertlens.llm import ann_mih, byte_bpe, chat_format, jaccard_join, language_id, license_scan, packing, quality_knn, quality_rules, token_files, toxicity_cnn, vector_codes
+from alertlens.llm import ann_mih, byte_bpe, chat_format, jaccard_join, language_id, license_scan, packing, quality_knn, quality_rules, token_alignment, token_files, toxicity_cnn, vector_codes
 from alertlens.llm.common import id_crc, prepare, table
 
 
@@ -74,13 +74,19 @@ def op11_limb_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.digests(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return token_alignment.digests(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                   public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return token_files.digests(spark, table(spark, sf_dir, "documents"),
                                public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann_mih, op2_license_scan, op3_jaccard_join, op4_byte_bpe, op5_quality_knn, op7_toxicity_cnn, op6_language_id, op8_best_fit_packing, op9_chat_format, op10_quality_rules, op11_limb_codes, op13_token_files)}
+QUERIES = {f.__name__: f for f in (op1_ann_mih, op2_license_scan, op3_jaccard_join, op4_byte_bpe, op5_quality_knn, op7_toxicity_cnn, op6_language_id, op8_best_fit_packing, op9_chat_format, op10_quality_rules, op11_limb_codes, op12_token_alignment, op13_token_files)}
 
 ORACLE_SQL = {
     "op2_license_scan": license_scan.oracle_sql(),
