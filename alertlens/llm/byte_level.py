@@ -23,6 +23,9 @@ import numpy as np
 #: In front of a chunk that no blank leads.
 BARE = "\x01"
 MARKS = ".,;:!?"
+#: How a chunk ends: in a letter or digit, it is a mark, or another sign or white space.
+_WORD, _MARK, _SIGN = 1, 0, 2
+_MARK_SET = set(MARKS)
 #: White space, or what some library may take for it, or a blank's mark; no cut behind these.
 _SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()] + ["᠎", "​", "﻿", "▁"]
 _UNSAFE = "".join(_SPACES)
@@ -143,7 +146,7 @@ class ByteLevelIds:
     def forget(self) -> None:
         self.numbers = Numbers()
         self.known: list[bytes] = []
-        self.ends_word: list[bool] = []
+        self.ends = bytearray()
 
     def whole(self, text: str) -> np.ndarray:
         """The library's ids of the text."""
@@ -156,7 +159,7 @@ class ByteLevelIds:
         if len(new) > self.TOGETHER:
             return [x for k in range(0, len(new), self.TOGETHER) for x in self.learn(new[k : k + self.TOGETHER])]
         step = np.dtype(self.kind).itemsize
-        alone = [not c or bool(_LAST_UNSAFE.search(c)) or c[0] != " " and c[0] in _UNSAFE for c in new]
+        alone = [c[-1:] in _UNSAFE or c[0] != " " and c[0] in _UNSAFE for c in new]  # "" is in every text
         led = [c if c[0] == " " else "\n" + c for c, a in zip(new, alone, strict=True) if not a]
         text = "".join(led)
         ids = self.whole(text)
@@ -185,14 +188,13 @@ class ByteLevelIds:
         first, *rest = chunks(text)
         return [BARE + first, *rest]
 
-    def _numbered(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-
-    def _catch_up(self) -> None:
+    def _numbered(self, words: Iterable[str]) -> list[int]:
+        """The words' numbers; those met first are learned."""
+        numbers = list(map(self.numbers.__getitem__, words))
         fresh, self.numbers.fresh = self.numbers.fresh, []
         self.known += self.learn([w[1:] if w[:1] == BARE else " " + w for w in fresh])
-        # 0: a mark, 1: a mark may follow, 2: a mark would belong to the chunk
-        self.ends_word += [0 if w[:1] == BARE and w[1:] in MARKS and w != BARE else 1 if w[-1:].isalnum() else 2 for w in fresh]
+        self.ends += bytes([_WORD if w[-1:].isalnum() else _MARK if w[:1] == BARE and w[1:] in _MARK_SET else _SIGN for w in fresh])
+        return numbers
 
     def many(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text; the new words of successive texts are learned together."""
@@ -206,22 +208,19 @@ class ByteLevelIds:
             if len(self.known) > self.WORDS or self.numbers.chars > self.CHARS:
                 self.forget()
             cut = [self._cut(t) for t in group]
-            numbers = self._numbered(list(chain.from_iterable(filter(None, cut))))
-            self._catch_up()
-            ends = np.fromiter(map(self.ends_word.__getitem__, numbers.tolist()), np.int8, len(numbers))
-            # a mark directly behind a mark or another sign: the cut before it was not safe
-            wrong, at = np.flatnonzero((ends[1:] == 0) & (ends[:-1] != 1)) + 1, 0
-            flat, get = numbers.tolist(), self.known.__getitem__
+            flat = self._numbered(chain.from_iterable(filter(None, cut)))
+            # a mark behind another sign or mark: the cut before it was not safe
+            ends = np.frombuffer(self.ends, np.uint8)[np.array(flat, np.int64)]
+            wrong, at = np.flatnonzero((ends[1:] == _MARK) & (ends[:-1] != _WORD)) + 1, 0
+            get = self.known.__getitem__
             for t, own in zip(group, cut, strict=True):
                 if own is None:
                     yield self.whole(t).astype(self.kind).tobytes()
                     continue
                 a, at = at, at + len(own)
-                if np.searchsorted(wrong, a + 1) < np.searchsorted(wrong, at):
+                if len(wrong) and np.searchsorted(wrong, a + 1) < np.searchsorted(wrong, at):
                     first, *rest = chunks(t)
-                    own = self._numbered([BARE + first, *rest]).tolist()
-                    self._catch_up()
-                    yield b"".join(map(get, own))
+                    yield b"".join(map(get, self._numbered([BARE + first, *rest])))
                 else:
                     yield b"".join(map(get, flat[a:at]))
 
@@ -234,9 +233,7 @@ class ByteLevelIds:
             if len(self.known) > self.WORDS or self.numbers.chars > self.CHARS:
                 self.forget()
             first, *rest = chunks(piece)
-            own = self._numbered([BARE + first, *rest])
-            self._catch_up()
-            out += map(self.known.__getitem__, own.tolist())
+            out += map(self.known.__getitem__, self._numbered([BARE + first, *rest]))
         return b"".join(out)
 
 

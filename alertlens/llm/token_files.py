@@ -136,16 +136,18 @@ class Code:
         wide = (words[:-1] << np.uint64(32)) | words[1:]
         order = np.argsort(-counts, kind="stable")  # the lanes still running are the first ones
         at, n = marks[order].astype(np.int64), counts[order]
-        place = (np.cumsum(counts) - counts)[order]
-        out = np.empty(int(counts.sum()), np.uint32)
+        out = np.empty((int(n[0]) if len(n) else 0, len(n)), np.uint32)  # by step, then lane
         shift, mask = 64 - self.limit, np.uint64((1 << self.limit) - 1)
-        for k in range(int(n[0]) if len(n) else 0):
-            running = int(np.searchsorted(-n, -k, "left"))
-            own = at[:running]
-            found = self.table[(wide[own >> 5] >> (shift - (own & 31)).astype(np.uint64)) & mask]
-            out[place[:running] + k] = found >> np.uint32(5)
-            own += (found & np.uint32(31)).astype(np.int64)
-        return out
+        running = np.searchsorted(-n, -np.arange(len(out)), "left")
+        for k, lanes in enumerate(running.tolist()):
+            own = at[:lanes]
+            found = self.table[(wide[own >> 5] >> (shift - (own & 31)).view(np.uint64)) & mask]
+            out[k, :lanes] = found
+            own += found & np.uint32(31)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        ids = out.T[back] >> np.uint32(5)
+        return ids[np.arange(len(out)) < counts[:, None]] if len(out) else np.zeros(0, np.uint32)
 
 
 def lane_counts(counts: np.ndarray) -> np.ndarray:
