@@ -1,7 +1,9 @@
 """Batch jobs: ``python -m alertlens <command> ...`` (or ``spark-submit`` this file).
 
     mart    build the daily mart from the two inputs and store it (Parquet,
-            partitioned by year)
+            partitioned by year), or rebuild some years of it
+    absorb  add the alert files that a stored mart has not counted yet
+    vacuum  remove what no recent version of a stored mart needs
     export  write the payload (rows, names, years, months, summary) as JSON
             directories, from the inputs or from a stored mart
     report  show KPIs, the status distribution and the insights for a
@@ -22,6 +24,7 @@ from pyspark.sql import SparkSession
 
 from alertlens.config import EXCLUDED_DOMAIN, TIMESTAMP_FORMATS
 from alertlens.operators.mart import (
+    absorb_files,
     build_mart,
     load_mart,
     mart_quality,
@@ -29,6 +32,7 @@ from alertlens.operators.mart import (
     refresh_mart,
     write_mart,
 )
+from alertlens.operators.store import MartStore
 from alertlens.plans.dashboard import AlertDashboard
 from alertlens.sources.export import export_summary, write_export
 from alertlens.sources.readers import read_alert_header, read_workflow_statuses
@@ -54,8 +58,12 @@ def _mart_from_args(spark: SparkSession, args: argparse.Namespace):
     fact = read_alert_header(spark, args.alert_header)
     dim = read_workflow_statuses(spark, args.statuses)
     # stored first: the payload and its summary read it six times
-    return materialize_mart(spark, build_mart(fact, dim, excluded_domain=args.excluded_domain,
-                                              formats=_formats(args)))
+    return materialize_mart(spark, build_mart(fact, dim, **_rules(args)))
+
+
+def _rules(args: argparse.Namespace) -> dict:
+    """How alerts are read: text timestamps by the layouts that the whole column votes for."""
+    return {"excluded_domain": args.excluded_domain, "formats": _formats(args), "elect": not args.no_election}
 
 
 def _formats(args: argparse.Namespace) -> tuple[str, ...]:
@@ -66,17 +74,32 @@ def cmd_mart(spark: SparkSession, args: argparse.Namespace) -> None:
     fact = read_alert_header(spark, args.alert_header)
     dim = read_workflow_statuses(spark, args.statuses)
     years = _csv(args.years)
-    if years:
-        refresh_mart(fact, dim, args.out, [int(y) for y in years],
-                     excluded_domain=args.excluded_domain, formats=_formats(args))
+    wanted = [int(y) for y in years] if years else None
+    if wanted:
+        refresh_mart(fact, dim, args.out, wanted, **_rules(args))
     else:
-        write_mart(build_mart(fact, dim, excluded_domain=args.excluded_domain,
-                              formats=_formats(args)), args.out)
-    quality = mart_quality(fact, dim, excluded_domain=args.excluded_domain, formats=_formats(args))
-    print("all years: " + ", ".join(f"{k} {v:,}" for k, v in quality.first().asDict().items()))
-    s = export_summary(load_mart(spark, args.out)).first()
-    print(f"mart written to {args.out}: {s.n_rows:,} rows, {s.n_names} statuses, "
-          f"{s.n_years} years")
+        write_mart(build_mart(fact, dim, **_rules(args)), args.out)
+    if args.quality:
+        quality = mart_quality(fact, dim, years=wanted, **_rules(args)).first().asDict()
+        print(f"{args.years or 'all years'}: " + ", ".join(f"{k} {v:,}" for k, v in quality.items()))
+    _say(spark, args.out)
+
+
+def _say(spark: SparkSession, path: str) -> None:
+    s = export_summary(load_mart(spark, path)).first()
+    print(f"mart at {path}: {s.n_rows:,} rows, {s.n_names} statuses, {s.n_years} years")
+
+
+def cmd_absorb(spark: SparkSession, args: argparse.Namespace) -> None:
+    new = absorb_files(spark, args.alert_header, read_workflow_statuses(spark, args.statuses), args.out, **_rules(args))
+    done = MartStore(spark, args.out).compact(args.compact_over)
+    print(f"{len(new)} new files absorbed, {len(done)} years compacted")
+    _say(spark, args.out)
+
+
+def cmd_vacuum(spark: SparkSession, args: argparse.Namespace) -> None:
+    gone = MartStore(spark, args.mart).vacuum(args.keep, args.older_than_hours)
+    print(f"{gone} folders removed")
 
 
 def cmd_export(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -110,7 +133,8 @@ def cmd_stream(spark: SparkSession, args: argparse.Namespace) -> None:
 
     schema = spark.read.parquet(args.source).schema  # one listing, to fix the schema
     alerts = read_alert_stream(spark, args.source, schema, args.glob, args.max_files_per_trigger)
-    dim = read_workflow_statuses(spark, args.statuses) if args.statuses else None
+    # read again in each micro-batch: the table may change, or grow beyond a broadcast
+    dim = (lambda: read_workflow_statuses(spark, args.statuses)) if args.statuses else None
     counts, finish = stream_counts(alerts, args.name_col, args.ts_col, dim=dim, status_col=args.status_col,
                                    domain_col=args.domain_col, excluded_domain=args.excluded_domain,
                                    watermark=args.watermark, formats=_formats(args))
@@ -134,8 +158,22 @@ def parser() -> argparse.ArgumentParser:
     m.add_argument("--statuses", required=True)
     m.add_argument("--excluded-domain", default=EXCLUDED_DOMAIN)
     m.add_argument("--years", help="comma-separated years: rebuild and replace only these")
+    m.add_argument("--quality", action="store_true",
+                   help="also count what was left out (one more pass over the same years)")
     m.add_argument("--out", required=True)
 
+    ab = sub.add_parser("absorb", help="add alert files that a stored mart has not counted yet")
+    ab.add_argument("--alert-header", required=True, help="folder that alert files arrive in, each written once")
+    ab.add_argument("--statuses", required=True)
+    ab.add_argument("--excluded-domain", default=EXCLUDED_DOMAIN)
+    ab.add_argument("--compact-over", type=int, default=20, help="rewrite years of more deltas than this as one")
+    ab.add_argument("--out", required=True)
+
+    v = sub.add_parser("vacuum", help="remove old versions of a stored mart")
+    v.add_argument("--mart", required=True)
+    v.add_argument("--keep", type=int, default=3, help="versions kept, whatever their age")
+    v.add_argument("--older-than-hours", type=float, default=24.0)
+
     e = sub.add_parser("export", help="write the JSON payload")
     src = e.add_mutually_exclusive_group(required=True)
     src.add_argument("--mart", help="a stored mart")
@@ -171,7 +209,10 @@ def parser() -> argparse.ArgumentParser:
                     help="process what is there, then stop")
     st.add_argument("--out", required=True)
     st.add_argument("--checkpoint", required=True, help="streaming checkpoint (shared storage)")
-    for job in (m, e, st):
+    for job in (m, ab, e):
+        job.add_argument("--no-election", action="store_true",
+                         help="try text layouts in their listed order, day before month")
+    for job in (m, ab, e, st):
         job.add_argument("--timestamp-format", action="append",
                          help="a text layout to try before the built-in ones (repeatable)")
     return p
@@ -184,7 +225,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "stream" and args.mode == "append" and not args.watermark:
         parser().error("--watermark is required with --mode append")
     spark = _session(args.local)
-    commands = {"mart": cmd_mart, "export": cmd_export, "report": cmd_report, "stream": cmd_stream}
+    commands = {"mart": cmd_mart, "absorb": cmd_absorb, "vacuum": cmd_vacuum, "export": cmd_export, "report": cmd_report, "stream": cmd_stream}
     commands[args.command](spark, args)
     return 0
 

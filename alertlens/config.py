@@ -91,9 +91,24 @@ TIMESTAMP_FORMATS = (
     "yyyyMMdd HHmmss",
 )
 
+# Layouts that only stand for election against the ones above (day and month swapped): per row
+# alone they would turn the same text into two different days.
+MONTH_FIRST_FORMATS = (
+    "MM/dd/yyyy HH:mm:ss[.SSSSSSSSS]",
+    "MM/dd/yyyy HH:mm",
+    "MM/dd/yyyy",
+    "MM-dd-yyyy HH:mm:ss[.SSSSSSSSS]",
+    "MM-dd-yyyy HH:mm",
+    "MM-dd-yyyy",
+)
+
 # The status dimension is broadcast only when it provably holds at most this
 # many rows (checked with a bounded count); beyond it the fact is
 # pre-aggregated per (status id, day) and joined with a shuffle.
 BROADCAST_MAX_ROWS = 200_000
 # ... and when its rows total at most this many bytes (ids plus name text).
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+
+# In a row-level join with a larger dimension, a status id with over one HOT_IDS-th of the alerts is
+# hot: there are fewer than HOT_IDS such ids, and their rows are joined without a shuffle.
+HOT_IDS = 200

@@ -1,8 +1,8 @@
 """Explorer levels and the hierarchical drill-down.
 
 The per-level lookups mirror the explorer's lazy loading (one status, then a
-year, then a month); ``drilldown`` computes all four levels in one
-grouping-sets aggregation for any set of statuses.
+year, then a month); ``drilldown`` computes all four levels,
+each from the finer one, for any set of statuses.
 """
 
 from __future__ import annotations
@@ -53,32 +53,29 @@ def explorer_dates(mart: DataFrame, name: Any, year: Any, month: Any) -> DataFra
     )
 
 
-# grouping_id() over (NAME, year, month, date): a set bit means "aggregated
-# away". Status level 0b0111, year 0b0011, month 0b0001, day 0b0000; there is
-# no grand-total set. grouping_id, not NULL tests, tells levels apart because
-# NAME itself may be NULL.
-
-
 def drilldown(mart: DataFrame, names: Any = None, month_labels: str = "full") -> DataFrame:
-    """Totals at status / year / month / day depth in one pass.
+    """Totals at status / year / month / day depth, each from the finer one.
 
     Output is in tree (pre-order) order: status ascending, year descending,
     month and day ascending, each parent before its children.
     ``month_labels`` picks 'full' (explorer) or 'abbr' (static page) names.
     """
-    df = filter_statuses(mart, names)
-    sets = [[N], [N, Y], [N, Y, M], [N, Y, M, D]]
-    agg = df.groupingSets(sets, N, Y, M, D).agg(
-        F.sum(C).cast("bigint").alias("total_count"),
-        F.grouping_id().alias("_gid"),
-    )
-    level = F.when(F.col("_gid") == 7, 1).when(F.col("_gid") == 3, 2) \
-        .when(F.col("_gid") == 1, 3).otherwise(4)
+    # Each level is the sum of the finer one, so a mart row is read once and never multiplied.
+    # Dealt by name (a name has a row a day at most), no level needs a shuffle of its own.
+    rows = filter_statuses(mart, names).select(N, Y, M, D, C).repartition(N)
+    total = F.sum(C).cast("bigint").alias(C)
+    days = rows.groupBy(N, Y, M, D).agg(total)
+    months = days.groupBy(N, Y, M).agg(total)
+    years = months.groupBy(N, Y).agg(total)
+    statuses = years.groupBy(N).agg(total)
+    tree = days.withColumn("level", F.lit(4))
+    for level, part in ((3, months), (2, years), (1, statuses)):
+        tree = tree.unionByName(part.withColumn("level", F.lit(level)), allowMissingColumns=True)
     label_fn = month_abbr if month_labels == "abbr" else month_full
-    return agg.select(
-        level.cast("int").alias("level"), N, Y, M,
+    return tree.select(
+        "level", N, Y, M,
         F.when(F.col(M).isNotNull(), label_fn(F.col(M))).alias("month_label"),
         F.date_format(D, "yyyy-MM-dd").alias("date"),
-        "total_count",
+        F.col(C).alias("total_count"),
     ).orderBy(F.asc_nulls_first(N), F.desc_nulls_first(Y), F.asc_nulls_first(M),
               F.asc_nulls_first("date"))

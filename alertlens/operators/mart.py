@@ -19,39 +19,24 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import (
-    DateType,
-    IntegerType,
-    LongType,
-    StringType,
-    StructField,
-    StructType,
-    TimestampNTZType,
-)
+from pyspark.sql.types import DateType, StringType, TimestampNTZType
 
 from alertlens.config import (
     BROADCAST_MAX_BYTES,
     BROADCAST_MAX_ROWS,
     EXCLUDED_DOMAIN,
+    HOT_IDS,
     TIMESTAMP_FORMATS,
 )
 from alertlens.functions.text import as_clean_string, strip_ws
+from alertlens.functions.layouts import elect_layouts, parse_elected
 from alertlens.functions.timestamps import creation_timestamp, is_typed_time
+from alertlens.operators.store import MART_COLUMNS, MART_SCHEMA, MartStore, listed_files  # noqa: F401
 from alertlens.session import scratch_path
 from alertlens.sources.readers import check_join_keys, prepare_dim, prepare_fact
 
-MART_COLUMNS = ("year_creation", "mth_creation", "dt_creation", "NAME", "Count")
-MART_SCHEMA = StructType([
-    StructField("year_creation", IntegerType(), True),
-    StructField("mth_creation", IntegerType(), True),
-    StructField("dt_creation", DateType(), True),
-    StructField("NAME", StringType(), True),
-    StructField("Count", LongType(), False),
-])
-
-
 # -- P1 ---------------------------------------------------------------------
 
 def domain_kept(excluded: str = EXCLUDED_DOMAIN, column: str = "WW_DOMAIN_CODE") -> Column:
@@ -91,6 +76,13 @@ def with_day(df: DataFrame, ts_col: str, day: Column, name: str = "_d") -> DataF
     return df.withColumn(name, F.explode(F.array_compact(F.array(day))))
 
 
+def _creation(alerts: DataFrame, formats: Sequence[str], elect: bool) -> Column:
+    """The parsed creation column; with ``elect`` by the layouts that its text votes for."""
+    if not elect or is_typed_time(alerts):
+        return creation_timestamp(alerts, formats=formats)
+    return parse_elected(F.col("WW_CREATION_TIMESTAMP"), elect_layouts(alerts, formats=formats))
+
+
 def year_range_predicate(ts: Column, years: Iterable[int], kind: str = "timestamp_ntz") -> Column:
     """``ts`` within any of the calendar years, written as half-open ranges.
 
@@ -146,24 +138,48 @@ def has_at_most(df: DataFrame, max_rows: int,
     return r["n"] <= max_rows and (r["b"] or 0) <= max_bytes
 
 
+def hot_status_ids(fact: DataFrame, most: int = HOT_IDS) -> list:
+    """The non-null status ids with over one ``most``-th of the rows (so fewer than ``most``),
+    found by one counted aggregate."""
+    total = Observation()
+    counts = (prepare_fact(fact).groupBy("WW_STATUS_ID").agg(F.count(F.lit(1)).alias("_n"))
+              .observe(total, F.sum("_n").alias("rows")))
+    top = counts.orderBy(F.desc("_n")).limit(most).collect()
+    rows = total.get["rows"] or 0
+    return [r["WW_STATUS_ID"] for r in top if r["WW_STATUS_ID"] is not None and r["_n"] * most > rows]
+
+
 def attach_status_name(fact: DataFrame, dim: DataFrame,
-                       broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                       broadcast_max_rows: int = BROADCAST_MAX_ROWS, hot_ids: int = HOT_IDS) -> DataFrame:
     """Row-level left join fact -> dimension (J1); unmatched ids keep NULL names.
 
     Only the fact's own columns plus the dimension ``NAME`` come out; a
     ``NAME`` column already on the fact is replaced by the dimension's.
+
+    A dimension too large to broadcast meets the alerts in two ways. Ids with over one
+    ``hot_ids``-th of all alerts, and NULL ids, are joined where they lie with the few
+    dimension rows of these ids, broadcast if they are small too (only a hot id that the
+    dimension repeats very often is not). All other ids are shuffled to a sort-merge join, where
+    no id is more than a ``hot_ids``-th of the rows.
     """
     fact = prepare_fact(fact)
     names = status_names(dim)
     check_join_keys(fact, names)
     fact_cols = [F.col("`" + c.replace("`", "``") + "`") for c in fact.columns if c.upper() != "NAME"]
+    alerts = fact.select(*fact_cols)
     right = names.withColumnRenamed("ID", "_status_id")
+    on = F.col("WW_STATUS_ID") == F.col("_status_id")
     if has_at_most(names, broadcast_max_rows):
-        right = F.broadcast(right)
-    joined = fact.select(*fact_cols).join(
-        right, F.col("WW_STATUS_ID") == F.col("_status_id"), "left"
-    )
-    return joined.drop("_status_id")
+        return alerts.join(F.broadcast(right), on, "left").drop("_status_id")
+    hot = hot_status_ids(fact, hot_ids)
+    if not hot and not fact.schema["WW_STATUS_ID"].nullable:
+        return alerts.join(right.hint("merge"), on, "left").drop("_status_id")
+    few = right.filter(F.col("_status_id").isin(hot))
+    few = F.broadcast(few) if has_at_most(few, max(broadcast_max_rows, len(hot))) else few.hint("merge")
+    is_hot = F.col("WW_STATUS_ID").isNull() | F.col("WW_STATUS_ID").isin(hot)
+    rest = F.col("WW_STATUS_ID").isNotNull() & ~F.col("WW_STATUS_ID").isin(hot)
+    return (alerts.filter(is_hot).join(few, on, "left")
+            .unionByName(alerts.filter(rest).join(right.hint("merge"), on, "left")).drop("_status_id"))
 
 
 # -- A1 ---------------------------------------------------------------------
@@ -171,12 +187,13 @@ def attach_status_name(fact: DataFrame, dim: DataFrame,
 def build_mart(fact: DataFrame, dim: DataFrame, excluded_domain: str = EXCLUDED_DOMAIN,
                broadcast_max_rows: int = BROADCAST_MAX_ROWS,
                years: Iterable[int] | None = None,
-               formats: Sequence[str] = TIMESTAMP_FORMATS) -> DataFrame:
+               formats: Sequence[str] = TIMESTAMP_FORMATS, elect: bool = False) -> DataFrame:
     """Daily alert counts per (year, month, date, status name).
 
     ``years`` optionally restricts the mart to some calendar years; on a
     date/timestamp column this is pushed into the fact scan. ``formats`` are
-    the layouts tried on text timestamps.
+    the layouts tried on text timestamps, in this order, or with ``elect`` in the
+    order that the whole column votes for (``layouts``; one more pass over text).
     """
     fact = prepare_fact(fact)
     names = status_names(dim)
@@ -186,8 +203,8 @@ def build_mart(fact: DataFrame, dim: DataFrame, excluded_domain: str = EXCLUDED_
     if years is not None and is_typed_time(alerts):
         alerts = alerts.filter(year_range_predicate(
             F.col("WW_CREATION_TIMESTAMP"), years, _raw_kind(alerts, "WW_CREATION_TIMESTAMP")))
-    day = F.to_date(creation_timestamp(alerts, formats=formats))
-    alerts = with_day(alerts.filter(domain_kept(excluded_domain)), "WW_CREATION_TIMESTAMP", day)
+    alerts = alerts.filter(domain_kept(excluded_domain))
+    alerts = with_day(alerts, "WW_CREATION_TIMESTAMP", F.to_date(_creation(alerts, formats, elect)))
     alerts = alerts.select(F.col("WW_STATUS_ID").alias("_sid"), "_d")
     if years is not None and not is_typed_time(fact):
         alerts = alerts.filter(F.year("_d").isin([int(y) for y in years]))
@@ -243,15 +260,26 @@ def duplicate_status_ids(dim: DataFrame) -> DataFrame:
 
 def mart_quality(fact: DataFrame, dim: DataFrame, excluded_domain: str = EXCLUDED_DOMAIN,
                  broadcast_max_rows: int = BROADCAST_MAX_ROWS,
-                 formats: Sequence[str] = TIMESTAMP_FORMATS) -> DataFrame:
+                 formats: Sequence[str] = TIMESTAMP_FORMATS, elect: bool = False,
+                 years: Iterable[int] | None = None) -> DataFrame:
     """What the mart leaves out, one row: rows read, dropped by domain, with a NULL
-    timestamp, with unparseable text, counted, and counted without a status name."""
+    timestamp, with unparseable text, counted, and counted without a status name.
+
+    ``years`` restricts the report to rows created in these years; on a date or timestamp
+    column the range reaches the scan, so nothing else is read. Rows without a usable
+    timestamp belong to no year: they are then neither read nor reported."""
     fact = prepare_fact(fact)
     names = status_names(dim)
     check_join_keys(fact, names)
+    elected = _creation(fact.filter(domain_kept(excluded_domain)), formats, elect)
+    if years is not None:
+        years = [int(y) for y in years]
+        fact = fact.filter(
+            year_range_predicate(F.col("WW_CREATION_TIMESTAMP"), years, _raw_kind(fact, "WW_CREATION_TIMESTAMP"))
+            if is_typed_time(fact) else F.year(elected).isin(years))
     kept = F.coalesce(domain_kept(excluded_domain), F.lit(False))
     raw = F.col("WW_CREATION_TIMESTAMP").isNotNull()
-    parsed = creation_timestamp(fact, formats=formats).isNotNull()
+    parsed = elected.isNotNull()
     fate = (F.when(~kept, "domain").when(~raw, "null").when(~parsed, "text").otherwise("counted"))
     per_id = fact.select(F.col("WW_STATUS_ID").alias("_sid"), fate.alias("fate"))
     per_id = per_id.groupBy("_sid", "fate").agg(F.count(F.lit(1)).alias("n"))
@@ -269,61 +297,51 @@ def mart_quality(fact: DataFrame, dim: DataFrame, excluded_domain: str = EXCLUDE
 
 # -- persistence --------------------------------------------------------------
 
-def write_mart(mart: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Parquet, one directory per year, so year filters prune whole folders.
-
-    The mart is bounded by days x statuses; one shuffle by year gives one
-    file per year instead of one per (task, year), and a year too large for
-    one task is split (rebalance).
-    """
-    (mart.hint("rebalance", "year_creation")
-         .write.mode(mode)
-         .partitionBy("year_creation")
-         .parquet(path))
+def write_mart(mart: DataFrame, path: str) -> None:
+    """Publish ``mart`` as the whole stored mart (see ``store``): Parquet, one directory per
+    year, so year filters prune whole folders. Readers see the old mart until it is whole."""
+    MartStore(mart.sparkSession, path).publish(mart)
 
 
 def refresh_mart(fact: DataFrame, dim: DataFrame, path: str, years: Iterable[int],
                  excluded_domain: str = EXCLUDED_DOMAIN,
                  broadcast_max_rows: int = BROADCAST_MAX_ROWS,
-                 formats: Sequence[str] = TIMESTAMP_FORMATS) -> None:
+                 formats: Sequence[str] = TIMESTAMP_FORMATS, elect: bool = False) -> None:
     """Recompute only some years of a stored mart and replace just those.
 
-    The year range reaches the fact scan (row groups and date partitions of
-    other years are skipped), and dynamic partition overwrite rewrites only
-    the year directories present in the new rows; every other year is left
-    as it is. A requested year without any alert left loses its directory, so
-    that the stored mart equals a full rebuild in the requested years.
+    The year range reaches the fact scan (row groups and date partitions of other years are
+    skipped). The new rows go to fresh folders and one manifest switches all years at
+    once; a requested year without any alert left goes, so that the stored mart equals a
+    full rebuild in the requested years. Deltas absorbed in these years are replaced too.
     """
-    spark = fact.sparkSession
     years = sorted({int(y) for y in years})
-    part = materialize_mart(spark, build_mart(
+    MartStore(fact.sparkSession, path).replace_years(build_mart(
         fact, dim, excluded_domain=excluded_domain, broadcast_max_rows=broadcast_max_rows,
-        years=years, formats=formats))
-    there = {r[0] for r in part.select("year_creation").distinct().collect()}  # at most ``years``
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    for year in years:
-        if year not in there:
-            files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"year_creation={year}"), True)
-    if not there:
-        return
-    (part.hint("rebalance", "year_creation")
-         .write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic")
-         .partitionBy("year_creation")
-         .parquet(path))
+        years=years, formats=formats, elect=elect), years)
+
+
+def absorb_files(spark: SparkSession, source: str, dim: DataFrame, path: str, **mart_args) -> list[str]:
+    """Count the files under ``source`` that the stored mart has not absorbed yet.
+
+    They become a delta mart of their own, whose counts are added to the stored ones, so no
+    file and no year is read twice; the ledger remembers them, and a repeated call adds nothing.
+    Files are taken to be written once: name, not content, tells whether one is new. Names
+    are those of the status table as it is now. Returns the files absorbed.
+    """
+    store = MartStore(spark, path)
+    new = store.new_files(listed_files(spark.read.parquet(source)))
+    if new:
+        store.append(build_mart(prepare_fact(spark.read.parquet(*new)), dim, **mart_args), files=new)
+    return new
 
 
 def load_mart(spark: SparkSession, path: str) -> DataFrame:
-    """Read a stored mart back in the canonical column order and types."""
-    df = spark.read.schema(MART_SCHEMA).parquet(path)
-    return df.select(
-        F.col("year_creation").cast("int").alias("year_creation"),
-        F.col("mth_creation").cast("int").alias("mth_creation"),
-        F.col("dt_creation").cast("date").alias("dt_creation"),
-        F.col("NAME").cast("string").alias("NAME"),
-        F.col("Count").cast("bigint").alias("Count"),
-    )
+    """Read a stored mart back in the canonical column order and types: the newest published
+    one, or the plain Parquet folder of a stream's file sink."""
+    store = MartStore(spark, path)
+    if store.exists():
+        return store.load()
+    return spark.read.schema(MART_SCHEMA).parquet(path).select(*MART_COLUMNS)
 
 
 def materialize_mart(spark: SparkSession, mart: DataFrame, path: str | None = None) -> DataFrame:

@@ -14,8 +14,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alertlens.functions.layouts import layout_votes
 from alertlens.operators import explorer, filters, insights, metrics, windows
 from alertlens.operators.mart import (
+    absorb_files,
     attach_status_name,
     build_mart,
     daily_mart,
@@ -27,6 +29,7 @@ from alertlens.operators.mart import (
     with_creation_ts,
     write_mart,
 )
+from alertlens.operators.store import MartStore
 from alertlens.session import scratch_path
 from alertlens.sources import export
 from alertlens.sources import fixtures as fx
@@ -176,6 +179,88 @@ def q_mart_of_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mart_of_days(spark, sf_dir, text)
 
 
+def _month_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.clean_fact(spark, sf_dir).withColumn(
+        "WW_CREATION_TIMESTAMP", F.date_format("WW_CREATION_TIMESTAMP", "MM/dd/yyyy HH:mm:ss"))
+
+
+def q_mart_of_month_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fact whose text timestamps put the month first: the column elects that layout."""
+    return build_mart(_month_first(spark, sf_dir), fx.clean_dim(spark, sf_dir),
+                      excluded_domain=fx.CLEAN_EXCLUDED_DOMAIN, elect=True)
+
+
+def q_mart_of_mixed_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mostly month-first text, with ISO and other layouts between: rows fall back."""
+    ts, k = F.col("WW_CREATION_TIMESTAMP"), F.col("alert_id") % 10
+    text = (F.when(k < 2, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k < 4, F.date_format(ts, "MM-dd-yyyy HH:mm"))
+            .when(k < 5, F.date_format(ts, "yyyy/M/d")).otherwise(F.date_format(ts, " MM/dd/yyyy ")))
+    fact = fx.clean_fact(spark, sf_dir).withColumn("WW_CREATION_TIMESTAMP", text)
+    return build_mart(fact, fx.clean_dim(spark, sf_dir), excluded_domain=fx.CLEAN_EXCLUDED_DOMAIN, elect=True)
+
+
+def q_layout_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that each layout parses in the month-first column."""
+    return layout_votes(_month_first(spark, sf_dir)).filter("votes > 0").select("layout", "votes")
+
+
+def q_mart_quality_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mart_quality(fx.dirty_fact(spark, sf_dir), fx.dirty_dim(spark), years=FILTER_YEARS,
+                        excluded_domain=fx.DIRTY_EXCLUDED_DOMAIN)
+
+
+def q_mart_absorbed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored mart that three arrivals of alert files were added to, with one call too many."""
+    source, path = scratch_path(spark, "arrivals"), scratch_path(spark, "absorbed-mart")
+    dim, rules = fx.clean_dim(spark, sf_dir), {"excluded_domain": fx.CLEAN_EXCLUDED_DOMAIN}
+    fact = fx.clean_fact(spark, sf_dir)
+    for arrival in range(3):
+        fact.filter(F.col("alert_id") % 3 == arrival).write.mode("append").parquet(source)
+        absorb_files(spark, source, dim, path, **rules)
+        if arrival == 1:
+            absorb_files(spark, source, dim, path, **rules)  # nothing new
+            MartStore(spark, path).compact()
+    return load_mart(spark, path)
+
+
+def q_mart_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader from before a rebuild and one from after it see."""
+    path = scratch_path(spark, "versioned-mart")
+    mart = clean_mart(spark, sf_dir)
+    write_mart(filters.apply_filters(mart, years=FILTER_YEARS), path)
+    before = load_mart(spark, path).withColumn("seen", F.lit("before"))
+    write_mart(mart, path)
+    return before.unionByName(load_mart(spark, path).withColumn("seen", F.lit("after")))
+
+
+def q_joined_alerts_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row-level join with a large dimension, one status id on every third alert."""
+    joined = attach_status_name(hot_status_fact(spark, sf_dir), fx.clean_dim(spark, sf_dir), broadcast_max_rows=0)
+    return joined.select("alert_id", "WW_STATUS_ID", "NAME")
+
+
+def q_stream_mart_append_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Watermarked stream over ``orders`` with a dimension that is not broadcast: closed days."""
+    schema = fx.table(spark, sf_dir, "orders").schema
+    return stream_daily_mart(spark, sf_dir, schema, "", "o_orderdate", glob="orders.parquet",
+                             dim=fx.clean_dim(spark, sf_dir), status_col="o_custkey",
+                             domain_col="o_orderpriority", excluded_domain=fx.CLEAN_EXCLUDED_DOMAIN,
+                             output_mode="append", watermark=STREAM_WATERMARK, broadcast_max_rows=0)
+
+
+def q_stream_mart_new_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that goes on after half of the statuses were added to the status table."""
+    source, dim, sink, ckpt = (scratch_path(spark, n) for n in ("arrivals", "statuses", "stream-mart", "stream-checkpoint"))
+    orders, names = fx.table(spark, sf_dir, "orders"), fx.clean_dim(spark, sf_dir)
+    for arrival in range(2):
+        orders.filter(F.col("o_orderkey") % 2 == arrival).write.mode("append").parquet(source)
+        names.filter(F.col("ID") % 2 == arrival).write.mode("append").parquet(dim)
+        mart = stream_daily_mart(spark, source, orders.schema, "", "o_orderdate", sink_path=sink, checkpoint_path=ckpt,
+                                 dim=lambda: spark.read.parquet(dim), status_col="o_custkey",
+                                 domain_col="o_orderpriority", excluded_domain=fx.CLEAN_EXCLUDED_DOMAIN)
+    return mart
+
+
 def stored_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "stored-mart")
     write_mart(dirty_mart(spark, sf_dir), path)
@@ -330,6 +415,15 @@ QUERIES: dict[str, Query] = {
     "daily_mart_refreshed": q_daily_mart_refreshed,
     "mart_fanout": q_mart_fanout,
     "mart_quality": q_mart_quality,
+    "mart_quality_years": q_mart_quality_years,
+    "mart_absorbed": q_mart_absorbed,
+    "mart_versions": q_mart_versions,
+    "mart_of_month_first": q_mart_of_month_first,
+    "mart_of_mixed_layouts": q_mart_of_mixed_layouts,
+    "layout_votes": q_layout_votes,
+    "joined_alerts_hot": q_joined_alerts_hot,
+    "stream_mart_append_joined": q_stream_mart_append_joined,
+    "stream_mart_new_statuses": q_stream_mart_new_statuses,
     "mart_of_dates": q_mart_of_dates,
     "mart_of_zoned": q_mart_of_zoned,
     "mart_of_layouts": q_mart_of_layouts,

@@ -14,6 +14,7 @@ from typing import Any
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from alertlens.config import BROADCAST_MAX_ROWS, CLOSED_PREFIX, ESCALATED_NAME, EXCLUDED_DOMAIN, TIMESTAMP_FORMATS
 from alertlens.operators import explorer, insights, metrics, windows
@@ -23,6 +24,12 @@ from alertlens.sources import export
 from alertlens.sources.readers import read_alert_header, read_workflow_statuses
 
 
+def months_of(mart: DataFrame) -> DataFrame:
+    """The mart by (name, year, month), the finest grain that any panel shows."""
+    return mart.groupBy("year_creation", "mth_creation", "NAME").agg(
+        F.sum("Count").cast("bigint").alias("Count"))
+
+
 class AlertDashboard:
     def __init__(self, mart: DataFrame, closed_prefix: str = CLOSED_PREFIX,
                  escalated_name: str = ESCALATED_NAME):
@@ -37,15 +44,16 @@ class AlertDashboard:
                     excluded_domain: str = EXCLUDED_DOMAIN, materialize: bool = True,
                     path: str | None = None, broadcast_max_rows: int = BROADCAST_MAX_ROWS,
                     cache: bool = True, formats: Sequence[str] = TIMESTAMP_FORMATS,
-                    **kwargs) -> "AlertDashboard":
-        """Build the mart once; store it (``materialize``) and keep it in memory.
+                    elect: bool = True, **kwargs) -> "AlertDashboard":
+        """Build the mart once; store it (``materialize``) and keep it in memory. Text
+        timestamps are read by the layouts that the whole column votes for (``elect``).
 
         The in-memory copy (days x statuses rows) plays the role of the
         original's in-process cache; its lineage is only the stored files, so
         a lost block is re-read from them, never recomputed from raw alerts.
         """
         mart = build_mart(fact, dim, excluded_domain=excluded_domain,
-                          broadcast_max_rows=broadcast_max_rows, formats=formats)
+                          broadcast_max_rows=broadcast_max_rows, formats=formats, elect=elect)
         if materialize:
             mart = materialize_mart(spark, mart, path)
             if cache:
@@ -157,13 +165,17 @@ class AlertDashboard:
                 max_workers: int = 4, max_rows: int = 100_000) -> dict[str, list]:
         """Run every panel concurrently and return their rows.
 
-        Panels are independent Spark jobs over the (small) mart, submitted
-        from a few driver threads so the scheduler overlaps them. Rows come to
+        All panels work on months: the selection is aggregated once to (name, year, month)
+        and kept in memory, so the mart is scanned once, and the panels are small jobs over
+        that, submitted from a few driver threads so the scheduler overlaps them. Rows come to
         the driver only for a panel of at most ``max_rows`` rows, which is more
         than a dashboard can show; beyond it an error names the panel, and
         ``panels`` gives its DataFrame. Nothing is cut.
         """
-        frames = self.panels(names, years, months, trend_mode, dense)
+        by_month = months_of(self.filtered(names, years, months)).persist(StorageLevel.MEMORY_AND_DISK)
+        by_month.count()  # kept before the panels run side by side
+        frames = AlertDashboard(by_month, self.closed_prefix, self.escalated_name).panels(
+            trend_mode=trend_mode, dense=dense)
 
         def rows(name: str) -> list:
             found = frames[name].limit(max_rows + 1).collect()
@@ -171,9 +183,12 @@ class AlertDashboard:
                 raise ValueError(f"{name} has over {max_rows} rows: use panels() and write it")
             return found
 
-        with ThreadPoolExecutor(max_workers=max_workers) as pool:
-            futures = {name: pool.submit(rows, name) for name in frames}
-            return {name: fut.result() for name, fut in futures.items()}
+        try:
+            with ThreadPoolExecutor(max_workers=max_workers) as pool:
+                futures = {name: pool.submit(rows, name) for name in frames}
+                return {name: fut.result() for name, fut in futures.items()}
+        finally:
+            by_month.unpersist()
 
     # -- lifecycle ----------------------------------------------------------------
 

@@ -360,6 +360,23 @@ _STREAM_APPEND = _STREAM.replace(
 _D = _with(_DIRTY)
 _C = _with(_CLEAN)
 
+
+
+def _quality(where: str) -> str:
+    return _D + f"""
+SELECT CAST(count(*) AS BIGINT) AS rows_read,
+       CAST(count(*) FILTER (NOT kept) AS BIGINT) AS dropped_domain,
+       CAST(count(*) FILTER (kept AND raw IS NULL) AS BIGINT) AS null_timestamp,
+       CAST(count(*) FILTER (kept AND raw IS NOT NULL AND ts IS NULL) AS BIGINT) AS unparseable,
+       CAST(count(*) FILTER (kept AND ts IS NOT NULL) AS BIGINT) AS counted,
+       CAST(count(*) FILTER (kept AND ts IS NOT NULL AND ID IS NULL) AS BIGINT) AS unmatched_id
+FROM (SELECT coalesce(trim(f.WW_DOMAIN_CODE) <> 'SUSPICIOUS ACTIVITY', false) AS kept,
+             f.WW_CREATION_TIMESTAMP AS raw, s.ID,
+             try_strptime(trim(f.WW_CREATION_TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS ts
+      FROM dirty_fact f LEFT JOIN dirty_status s ON f.WW_STATUS_ID = s.ID)
+WHERE {where}"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "normalized_headers": _D + """
 SELECT alert_id, WW_STATUS_ID, WW_CREATION_TIMESTAMP, WW_DOMAIN_CODE FROM dirty_fact""",
@@ -384,17 +401,28 @@ GROUP BY c_nationkey HAVING count(*) > 1""",
     "daily_mart_years": _mart("clean", "year_creation IN (1996, 1997)"),
     "daily_mart_refreshed": _mart("clean"),
     "mart_fanout": _FANOUT,
-    "mart_quality": _D + """
-SELECT CAST(count(*) AS BIGINT) AS rows_read,
-       CAST(count(*) FILTER (NOT kept) AS BIGINT) AS dropped_domain,
-       CAST(count(*) FILTER (kept AND raw IS NULL) AS BIGINT) AS null_timestamp,
-       CAST(count(*) FILTER (kept AND raw IS NOT NULL AND ts IS NULL) AS BIGINT) AS unparseable,
-       CAST(count(*) FILTER (kept AND ts IS NOT NULL) AS BIGINT) AS counted,
-       CAST(count(*) FILTER (kept AND ts IS NOT NULL AND ID IS NULL) AS BIGINT) AS unmatched_id
-FROM (SELECT coalesce(trim(f.WW_DOMAIN_CODE) <> 'SUSPICIOUS ACTIVITY', false) AS kept,
-             f.WW_CREATION_TIMESTAMP AS raw, s.ID,
-             try_strptime(trim(f.WW_CREATION_TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS ts
-      FROM dirty_fact f LEFT JOIN dirty_status s ON f.WW_STATUS_ID = s.ID)""",
+    "mart_quality": _quality("true"),
+    "mart_quality_years": _quality("year(ts) IN (1996, 1997)"),
+    "mart_absorbed": _mart("clean"),
+    "mart_versions": _C + """
+SELECT *, 'after' AS seen FROM clean_mart
+UNION ALL SELECT *, 'before' AS seen FROM clean_mart WHERE year_creation IN (1996, 1997)""",
+    "mart_of_month_first": _mart("clean"),
+    "mart_of_mixed_layouts": _mart("clean"),
+    "layout_votes": """
+WITH t AS (SELECT strftime(o_orderdate, '%m/%d/%Y %H:%M:%S') AS text FROM orders)
+SELECT * FROM (
+  SELECT 'MM/dd/yyyy HH:mm:ss[.SSSSSSSSS]' AS layout, count(try_strptime(text, '%m/%d/%Y %H:%M:%S')) AS votes FROM t
+  UNION ALL SELECT 'dd/MM/yyyy HH:mm:ss[.SSSSSSSSS]', count(try_strptime(text, '%d/%m/%Y %H:%M:%S')) FROM t)
+WHERE votes > 0""",
+    "joined_alerts_hot": """
+SELECT o.o_orderkey AS alert_id, CASE WHEN o.o_orderkey % 3 = 0 THEN 1 ELSE o.o_custkey END AS WW_STATUS_ID,
+       trim(c.c_mktsegment) AS NAME
+FROM orders o LEFT JOIN customer c
+  ON c.c_custkey = CASE WHEN o.o_orderkey % 3 = 0 THEN 1 ELSE o.o_custkey END""",
+    "stream_mart_append_joined": _mart("clean", """dt_creation + INTERVAL 1 DAY <=
+      (SELECT max(o_orderdate) FROM orders WHERE trim(o_orderpriority) <> '5-LOW') - INTERVAL 2 DAY"""),
+    "stream_mart_new_statuses": _mart("clean"),
     "mart_of_dates": _mart("clean"),
     "mart_of_zoned": _mart("clean"),
     "mart_of_layouts": _mart("clean"),

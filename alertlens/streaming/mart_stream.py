@@ -8,15 +8,22 @@ New alert files landing in a folder update the mart incrementally:
 Two output modes:
 
 * ``complete`` (default): one state row per (day, status) - bounded by days x
-  statuses, never by alert volume - and every micro-batch rewrites the whole
-  (small) mart. The write is idempotent when a batch is retried after an
-  executor loss, and alerts arriving late, even days late, are still counted,
-  so the streamed mart always equals the batch mart over the same files.
+  statuses, never by alert volume - and every micro-batch publishes the whole
+  (small) mart as the stored mart's next version. The write is idempotent when a
+  batch is retried after an executor loss, and alerts arriving late, even days late,
+  are still counted, so the streamed mart always equals the batch mart over the same files.
 * ``append`` with a watermark: the count runs per event-time day window;
-  a day is written once, to a Parquet file sink (exactly-once through the
-  sink's commit log), when the watermark passes its end, and its state is
+  a day is written once, when the watermark passes its end, and its state is
   dropped. State then stays bounded by the watermark delay. Alerts later
   than the watermark are not counted - the usual trade for bounded state.
+  Without a join of its own the sink is Parquet (exactly-once through its commit
+  log); with one, closed days are a delta of the stored mart, which remembers the
+  last batch of each stream and so takes each of them once.
+
+A status table that is too large to broadcast, or that is given as a function which
+reads it, doesn't meet raw alerts in the stream: the state counts per (status id, day),
+so a hot id is one row a day, and each micro-batch joins its counts with the table as it
+then is, by broadcast or by shuffle as its size then asks.
 """
 
 from __future__ import annotations
@@ -31,6 +38,7 @@ from alertlens.config import BROADCAST_MAX_ROWS, TIMESTAMP_FORMATS
 from alertlens.functions.text import as_clean_string
 from alertlens.functions.timestamps import creation_timestamp
 from alertlens.operators.mart import domain_kept, has_at_most, load_mart, status_names, with_day
+from alertlens.operators.store import MartStore
 from alertlens.session import scratch_path
 from alertlens.sources.readers import check_join_keys, normalize_headers
 
@@ -70,7 +78,8 @@ def daily_counts(alerts: DataFrame, name_col: str, ts_col: str,
         names = status_names(dim)
         check_join_keys(normalize_headers(alerts), names, fact_key=status_col)
         if not named:
-            return df.groupBy("_sid", "_d").agg(F.count(F.lit(1)).alias("_n"))
+            per_id = df.groupBy("_sid", "_d").agg(F.count(F.lit(1)).alias("_n"))
+            return per_id if watermark is None else per_id.withColumn("_d", F.to_date(F.col("_d.start")))
         right = names.withColumnRenamed("ID", "_status_id")
         if has_at_most(right, broadcast_max_rows):
             right = F.broadcast(right)
@@ -87,31 +96,44 @@ def daily_counts(alerts: DataFrame, name_col: str, ts_col: str,
     )
 
 
-def name_counts(per_id: DataFrame, dim: DataFrame) -> DataFrame:
-    """The mart from counts per (status id, day): a shuffle join with the distinct
-    (id, name) pairs, so that a hot id is one row per day and duplicate ids fan out."""
-    pairs = (status_names(dim).groupBy("ID", "NAME").agg(F.count(F.lit(1)).alias("_mult"))
+def name_counts(per_id: DataFrame, dim: DataFrame, broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """The mart from counts per (status id, day), joined with the distinct (id, name)
+    pairs, so that a hot id is one row per day and duplicate ids fan out. The pairs are
+    broadcast if they are small, else both sides are shuffled."""
+    names = status_names(dim)
+    pairs = (names.groupBy("ID", "NAME").agg(F.count(F.lit(1)).alias("_mult"))
              .withColumnRenamed("ID", "_status_id"))
+    pairs = F.broadcast(pairs) if has_at_most(names, broadcast_max_rows) else pairs.hint("merge")
     total = F.sum(F.col("_n") * F.coalesce(F.col("_mult"), F.lit(1))).cast("bigint")
-    counted = (per_id.join(pairs.hint("merge"), F.col("_sid") == F.col("_status_id"), "left")
+    counted = (per_id.join(pairs, F.col("_sid") == F.col("_status_id"), "left")
                .groupBy("_d", "NAME").agg(total.alias("Count")))
     return counted.select(F.year("_d").alias("year_creation"), F.month("_d").alias("mth_creation"),
                           F.col("_d").alias("dt_creation"), "NAME", "Count")
 
 
-def stream_counts(alerts: DataFrame, name_col: str, ts_col: str, dim: DataFrame | None = None,
+def stream_counts(alerts: DataFrame, name_col: str, ts_col: str,
+                  dim: DataFrame | Callable[[], DataFrame] | None = None, status_col: str | None = None,
                   broadcast_max_rows: int = BROADCAST_MAX_ROWS, watermark: str | None = None,
                   **kwargs) -> tuple[DataFrame, Callable[[DataFrame], DataFrame] | None]:
     """The streaming aggregate, and what is left to do on each micro-batch's result.
 
-    A dimension too large to broadcast is not joined with raw alerts: the stream counts
-    per (status id, day), and each micro-batch joins those counts, with the dimension as
-    it then is. With a watermark the join stays inside the stream.
+    With ``dim`` as a function the table is read, checked and measured again in each
+    micro-batch, so a status added meanwhile gets its name; as a DataFrame it is joined in the
+    stream if it is small, and per micro-batch otherwise, with or without a watermark.
     """
-    large = dim is not None and watermark is None and not has_at_most(status_names(dim), broadcast_max_rows)
-    counts = daily_counts(alerts, name_col, ts_col, dim=dim, broadcast_max_rows=broadcast_max_rows,
-                          watermark=watermark, named=not large, **kwargs)
-    return counts, (lambda batch: name_counts(batch, dim)) if large else None
+    read = dim if callable(dim) else lambda: dim
+    later = callable(dim) or dim is not None and not has_at_most(status_names(dim), broadcast_max_rows)
+    counts = daily_counts(alerts, name_col, ts_col, dim=read(), status_col=status_col,
+                          broadcast_max_rows=broadcast_max_rows, watermark=watermark, named=not later, **kwargs)
+    if not later:
+        return counts, None
+
+    def finish(batch: DataFrame) -> DataFrame:
+        now = read()
+        check_join_keys(batch, status_names(now), fact_key="_sid")
+        return name_counts(batch, now, broadcast_max_rows)
+
+    return counts, finish
 
 
 def read_alert_stream(spark: SparkSession, source_dir: str, schema: StructType,
@@ -131,22 +153,28 @@ def start_mart_stream(counts: DataFrame, sink_path: str, checkpoint_path: str,
                       finish: Callable[[DataFrame], DataFrame] | None = None):
     """Start the streaming mart from ``stream_counts``.
 
-    ``complete``: each batch overwrites ``sink_path`` with the whole mart.
-    ``append``: finalised days are appended to a Parquet sink.
+    ``complete``: each batch publishes the whole mart under ``sink_path``; versions older than
+    an hour, but for the last ten, are removed. ``append``: finalised days are appended, to
+    a Parquet sink or, where the join is left to ``finish``, as deltas of the stored mart.
     """
-    if output_mode == "append":
+    spark = counts.sparkSession
+    if output_mode == "append" and finish is not None:
+        def append_batch(batch: DataFrame, batch_id: int) -> None:
+            MartStore(spark, sink_path).append(finish(batch), stream=checkpoint_path, batch_id=batch_id)
+
+        writer = (counts.writeStream.outputMode("append")
+                  .option("checkpointLocation", checkpoint_path)
+                  .foreachBatch(append_batch))
+    elif output_mode == "append":
         writer = (counts.writeStream.outputMode("append").format("parquet")
                   .partitionBy("year_creation")
                   .option("checkpointLocation", checkpoint_path)
                   .option("path", sink_path))
     else:
         def write_batch(batch: DataFrame, _batch_id: int) -> None:
-            # counts only grow, so no year ever has to be removed: each year is
-            # replaced by its own rename, and readers never see an empty mart
-            mart = finish(batch) if finish else batch
-            (mart.hint("rebalance", "year_creation").write.mode("overwrite")
-                  .option("partitionOverwriteMode", "dynamic")
-                  .partitionBy("year_creation").parquet(sink_path))
+            store = MartStore(spark, sink_path)
+            store.publish(finish(batch) if finish else batch)
+            store.vacuum(keep=10, older_than_hours=1.0)
 
         writer = (counts.writeStream.outputMode("complete")
                   .option("checkpointLocation", checkpoint_path)
