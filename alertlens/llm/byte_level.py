@@ -23,9 +23,7 @@ import numpy as np
 #: In front of a chunk that no blank leads.
 BARE = "\x01"
 MARKS = ".,;:!?"
-#: How a chunk ends: in a letter or digit, it is a mark, or another sign or white space.
-_WORD, _MARK, _SIGN = 1, 0, 2
-_MARK_SET = set(MARKS)
+_MARKED = {BARE + m for m in MARKS}
 #: White space, or what some library may take for it, or a blank's mark; no cut behind these.
 _SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()] + ["᠎", "​", "﻿", "▁"]
 _UNSAFE = "".join(_SPACES)
@@ -33,7 +31,7 @@ _LAST_UNSAFE = re.compile(f"[{_UNSAFE}]$")
 _SAFE_CUT = re.compile(f"[^{_UNSAFE}](?= )")
 _PAIRS = [c + " " for c in _SPACES]
 _ASCII_PAIRS = [p for p in _PAIRS if p.isascii()]
-_PLAIN_RUNS = ["  ", "\n\n", " \n", "\n "]
+_PLAIN_RUNS = ["  ", "\n\n", " \n", "\n ", *["\n" + m for m in MARKS]]
 _OTHER = [c for c in _SPACES if c not in " \n"] + _PLAIN_RUNS
 _ASCII_OTHER = [c for c in _OTHER if c.isascii()]
 
@@ -56,8 +54,8 @@ def chunks(text: str) -> list[str]:
 
 def marked(text: str) -> list[str] | None:
     """The chunks of a text without runs of white space, at all kinds of cuts, BARE before
-    those that no blank leads; None for other texts."""
-    if any(c in text for c in (_ASCII_OTHER if text.isascii() else _OTHER)):
+    those that no blank leads; None for other texts, and for those where a mark begins a line."""
+    if text[:1] in MARKS or any(c in text for c in (_ASCII_OTHER if text.isascii() else _OTHER)):
         return None
     text = BARE + text.replace("\n", f" {BARE}\n {BARE}") + " "
     for m in MARKS:
@@ -114,6 +112,35 @@ class Numbers(dict):
         return number
 
 
+class Words(dict):
+    """word -> its ids. Words that a mark must not be cut from (they end in no letter or
+    digit) are kept in ``signs``, so that meeting one is noticed: ``met_sign``. New words are
+    listed in ``fresh`` and stand for None until they are learned: ``met_fresh``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.signs: dict[str, bytes] = {}
+        self.fresh: dict[str, bool] = {}
+        self.met_sign = self.met_fresh = False
+        self.chars = 0
+
+    def __missing__(self, word: str) -> bytes | None:
+        if word in self.signs:
+            self.met_sign = True
+            return self.signs[word]
+        self.fresh[word] = self.met_fresh = True
+        return None
+
+    def add(self, words: list[str], ids: list[bytes]) -> None:
+        for word, own in zip(words, ids, strict=True):
+            known = self if word[-1:].isalnum() or word in _MARKED or word == BARE + "\n" else self.signs
+            known[word] = own
+            self.chars += len(word)
+
+    def full(self, most: int, chars: int) -> bool:
+        return len(self) + len(self.signs) > most or self.chars > chars
+
+
 class ByteLevelIds:
     """Ids of texts as arrays of unsigned integers of ``kind``, as bytes."""
 
@@ -144,9 +171,7 @@ class ByteLevelIds:
         self.forget()
 
     def forget(self) -> None:
-        self.numbers = Numbers()
-        self.known: list[bytes] = []
-        self.ends = bytearray()
+        self.words = Words()
 
     def whole(self, text: str) -> np.ndarray:
         """The library's ids of the text."""
@@ -188,13 +213,18 @@ class ByteLevelIds:
         first, *rest = chunks(text)
         return [BARE + first, *rest]
 
-    def _numbered(self, words: Iterable[str]) -> list[int]:
-        """The words' numbers; those met first are learned."""
-        numbers = list(map(self.numbers.__getitem__, words))
-        fresh, self.numbers.fresh = self.numbers.fresh, []
-        self.known += self.learn([w[1:] if w[:1] == BARE else " " + w for w in fresh])
-        self.ends += bytes([_WORD if w[-1:].isalnum() else _MARK if w[:1] == BARE and w[1:] in _MARK_SET else _SIGN for w in fresh])
-        return numbers
+    def _learn_fresh(self) -> None:
+        fresh = list(self.words.fresh)
+        self.words.fresh = {}
+        self.words.add(fresh, self.learn([w[1:] if w[:1] == BARE else " " + w for w in fresh]))
+
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """The words' ids; those met first are learned."""
+        found = list(map(self.words.__getitem__, words))
+        if self.words.fresh:
+            self._learn_fresh()
+            found = list(map(self.words.__getitem__, words))
+        return found
 
     def many(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text; the new words of successive texts are learned together."""
@@ -205,24 +235,29 @@ class ByteLevelIds:
             if len(group) == 1 and len(group[0]) > 1 << 21:
                 yield self.ids(group[0])
                 continue
-            if len(self.known) > self.WORDS or self.numbers.chars > self.CHARS:
+            if self.words.full(self.WORDS, self.CHARS):
                 self.forget()
-            cut = [self._cut(t) for t in group]
-            flat = self._numbered(chain.from_iterable(filter(None, cut)))
-            # a mark behind another sign or mark: the cut before it was not safe
-            ends = np.frombuffer(self.ends, np.uint8)[np.array(flat, np.int64)]
-            wrong, at = np.flatnonzero((ends[1:] == _MARK) & (ends[:-1] != _WORD)) + 1, 0
-            get = self.known.__getitem__
-            for t, own in zip(group, cut, strict=True):
+            words, get, found = self.words, self.words.__getitem__, []
+            cut = list(map(self._cut, group))
+            for own in cut:
+                words.met_sign = words.met_fresh = False
+                ids = list(map(get, own or ()))
+                found.append((ids, words.met_fresh, words.met_sign))
+            self._learn_fresh()
+            for t, own, (ids, fresh, sign) in zip(group, cut, found, strict=True):
                 if own is None:
                     yield self.whole(t).astype(self.kind).tobytes()
                     continue
-                a, at = at, at + len(own)
-                if len(wrong) and np.searchsorted(wrong, a + 1) < np.searchsorted(wrong, at):
-                    first, *rest = chunks(t)
-                    yield b"".join(map(get, self._numbered([BARE + first, *rest])))
-                else:
-                    yield b"".join(map(get, flat[a:at]))
+                if fresh:
+                    words.met_sign, at = False, -1
+                    for _ in range(ids.count(None)):
+                        at = ids.index(None, at + 1)
+                        ids[at] = words[own[at]]
+                    sign = sign or words.met_sign
+                if sign and any(b in _MARKED and a in words.signs for a, b in zip(own, own[1:])):
+                    first, *rest = chunks(t)  # a mark was cut from a sign before it
+                    ids = self._ids_of([BARE + first, *rest])
+                yield b"".join(ids)
 
     def ids(self, text: str) -> bytes:
         """The ids of one text of any length."""
@@ -230,10 +265,10 @@ class ByteLevelIds:
             return self.whole(text).astype(self.kind).tobytes()
         out = []
         for piece in pieces(text):
-            if len(self.known) > self.WORDS or self.numbers.chars > self.CHARS:
+            if self.words.full(self.WORDS, self.CHARS):
                 self.forget()
             first, *rest = chunks(piece)
-            out += map(self.known.__getitem__, self._numbered([BARE + first, *rest]))
+            out += self._ids_of([BARE + first, *rest])
         return b"".join(out)
 
 

@@ -172,10 +172,14 @@ def tokenised(docs: DataFrame, definition: str) -> DataFrame:
         for batch in batches:
             texts = (t or "" for t in batch.column(2).to_pylist())
             ids = [x + end for x in encoder.many(texts)]
-            wide = [np.frombuffer(x, encoder.kind).astype("<u4") for x in ids]
+            n = [len(x) // len(end) for x in ids]
+            crcs, at = [], 0
+            wide = memoryview(np.frombuffer(b"".join(ids), encoder.kind).astype("<u4").tobytes())
+            for k in n:
+                crcs.append(zlib.crc32(wide[4 * at : 4 * (at + k)]))
+                at += k
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(x) for x in wide], pa.int64()),
-                 pa.array([zlib.crc32(x) for x in wide], pa.int64()), pa.array(ids, pa.binary())],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(crcs, pa.int64()), pa.array(ids, pa.binary())],
                 names=["doc_id", "row", "n", "crc", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")

@@ -166,7 +166,8 @@ def train(spark: SparkSession, rows: DataFrame, d: int, small: bool, first: np.n
             own = total.setdefault((r["part"], r["entry"]), [0] * width)
             for i in range(width):
                 own[i] += r[f"s{i}"] << (limb_bits(1) * r["limb"])
-            counts[r["part"], r["entry"]] = r["n"]
+            if r["limb"] == 0:  # every task has this one
+                counts[r["part"], r["entry"]] = r["n"]
         books = [b.copy() for b in books]
         for (p, k), s in total.items():
             books[p][k] = [x // counts[p, k] for x in s[: books[p].shape[1]]]
