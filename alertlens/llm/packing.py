@@ -56,7 +56,8 @@ class WordTokenizer:
     marks word ends, a text is cut at blanks, each word not met yet into the pattern's
     matches, and only new matches go to the tokenizer, many at a time; the word-end marks
     cut its ids again. Words with characters outside Latin, which normalising may change,
-    go to the tokenizer as they are; so do whole texts for any other kind of tokenizer.
+    go to the tokenizer as they are; so do whole texts that hold an added token's string, which
+    the library then makes that token's id, and whole texts for any other kind of tokenizer.
     """
 
     WORDS, MATCHES = 400_000, 500_000  # kept at most; forgotten ones are worked out again
@@ -68,8 +69,11 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
         spec = json.loads(definition)
+        added = spec.get("added_tokens") or []
+        self.added = [t["content"] for t in added if not t["normalized"]]
+        #: Sought in the normalised text, which is lower case wherever a text is cut here.
+        self.added_low = [t["content"].lower() for t in added if t["normalized"]]
         self.words: dict[str, bytes] = {}
         self.matches: dict[str, bytes] = {}
         mark = spec["model"].get("end_of_word_suffix")
@@ -121,8 +125,13 @@ class WordTokenizer:
         if new:
             self._learn(new)
 
+    def _uncut(self, text: str) -> bool:
+        """Whether the library should see the text as it is."""
+        return (not self.findall or any(t in text for t in self.added)
+                or bool(self.added_low) and any(t in text.lower() for t in self.added_low))
+
     def ids(self, text: str) -> bytes:
-        if not self.findall:
+        if self._uncut(text):
             return self._encode(text).tobytes()
         parts = []
         for part in slices(text):
@@ -137,7 +146,7 @@ class WordTokenizer:
     def many(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text; the new words of successive short texts are learned together."""
         for group in _groups(texts, self.TOGETHER):
-            if not self.findall or len(group) == 1 or any(map(_ODD_BLANK.search, group)):
+            if len(group) == 1 or any(map(self._uncut, group)) or any(map(_ODD_BLANK.search, group)):
                 yield from map(self.ids, group)
                 continue
             split = [t.split() for t in group]

@@ -48,7 +48,7 @@ _CLASS = {}
 def _shape(word: str) -> str:
     """Character classes of a word with runs shortened: 'Abc!!' -> 'Xx!!'."""
     out = []
-    for c in word[:64]:
+    for c in word:
         k = "x" if c.islower() else "X" if c.isupper() else "9" if c.isdigit() else "o" if c.isalpha() else c
         if len(out) < 2 or not (out[-1] == k and (k in "xXo9" or out[-2] == k)):
             out.append(k)
@@ -166,7 +166,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Co
     spark = docs.sparkSession
     ids = spark.createDataFrame([(k,) for k in y], "sample_id bigint")
     texts = docs.select("doc_id", "text", *columns)
-    texts = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("sample_id"), "left_semi").dropDuplicates(["doc_id"])
+    texts = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("sample_id"), "left_semi")
+    # of rows that share an id, the one with the least text teaches (null before any text)
+    texts = texts.groupBy("doc_id").agg(F.min(F.struct("text", *columns)).alias("least")).select("doc_id", "least.*")
     texts = stored(spark, texts, "labelled-sample")
     sizes = [(r["n"], r["doc_id"]) for r in texts.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).collect()]
     fit_in = set()

@@ -268,6 +268,20 @@ def test_a_long_labelled_text_does_not_end_the_sample(sp, long_rows):
 
 # -- pipeline --------------------------------------------------------------------------
 
+def test_whole_words_have_shapes():
+    start = "ab" * 40
+    assert quality_knn.word_code(start + "!" * 10_000) & 1023 != quality_knn.word_code(start + "9Z" * 5_000) & 1023
+
+
+def test_of_rows_sharing_an_id_the_least_text_teaches(sp):
+    labels = sp.createDataFrame([(1, 0, 1), (2, 1, 0)], "doc_id bigint, quality int, toxic int")
+    rows = [(1, "b text"), (1, "a text"), (2, "c"), (2, None)]
+    for own in (rows, rows[::-1]):
+        docs = sp.createDataFrame(own, "doc_id bigint, text string").repartition(3)
+        got = quality_knn.labelled_sample(docs, labels, "quality", F.lit(True), 10)
+        assert sorted(got, key=str) == [("a text", 0), (None, 1)]
+
+
 def test_pipeline_stages(sp, odd_docs, no_docs):
     docs = sp.read.parquet(f"{SF}/documents.parquet")
     n = docs.count()

@@ -62,11 +62,13 @@ def test_finder_equals_pattern():
 # -- packing ---------------------------------------------------------------------------
 
 def test_pieces_equal_tokenizer_and_packing_is_gapless(sp, odd_docs):
-    tok = Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
-    rows = packing.pack_documents(sp, odd_docs, WORDS).collect()
+    tok = Tokenizer.from_file(WORDS)  # as it is: added tokens' strings are added tokens
+    docs = odd_docs.select("doc_id", "text").unionByName(sp.createDataFrame(
+        [(90, "a <|endoftext|> b"), (91, "<|startoftext|>x<|ENDOFTEXT|> <|endoftext|"), (92, "a b " * 900 + "<|endoftext|>")],
+        "doc_id bigint, text string"))
+    rows = packing.pack_documents(sp, docs, WORDS).collect()
     want = []
-    for r in odd_docs.collect():
+    for r in docs.collect():
         ids = tok.encode(r.text or "", add_special_tokens=False).ids + [0]
         for k, s in enumerate(range(0, len(ids), 2048)):
             part = np.array(ids[s : s + 2048], "<u4").tobytes()
