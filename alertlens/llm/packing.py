@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -46,7 +45,11 @@ PIECES = T.ArrayType(T.StructType([
     T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]))
 
 
-_ODD_BLANK = re.compile("[\x1c-\x1f]")  # blanks to str.split alone
+_ODD_BLANKS = "\x1c\x1d\x1e\x1f"  # blanks to str.split alone
+
+
+def _odd_blank(text: str) -> bool:
+    return any(c in text for c in _ODD_BLANKS)
 
 
 class WordTokenizer:
@@ -135,7 +138,7 @@ class WordTokenizer:
             return self._encode(text).tobytes()
         parts = []
         for part in slices(text):
-            if _ODD_BLANK.search(part):
+            if _odd_blank(part):
                 parts.append(self._encode(part).tobytes())
                 continue
             words = part.split()
@@ -146,7 +149,7 @@ class WordTokenizer:
     def many(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text; the new words of successive short texts are learned together."""
         for group in _groups(texts, self.TOGETHER):
-            if len(group) == 1 or any(map(self._uncut, group)) or any(map(_ODD_BLANK.search, group)):
+            if len(group) == 1 or any(map(self._uncut, group)) or any(map(_odd_blank, group)):
                 yield from map(self.ids, group)
                 continue
             split = [t.split() for t in group]
