@@ -66,7 +66,15 @@ def layout_votes(df: DataFrame, column: str = "WW_CREATION_TIMESTAMP",
 
 def elect_layouts(df: DataFrame, column: str = "WW_CREATION_TIMESTAMP",
                   formats: Sequence[str] = TIMESTAMP_FORMATS) -> tuple[str, ...]:
-    """The layouts with votes, most votes first; one small job over the column."""
+    """The layouts with votes, most votes first; one small job over the column.
+
+    Of the built-in layouts only those with a separator behind two digits can read one text in
+    two ways. A column without such text needs no vote and keeps the listed order.
+    """
+    if set(formats) <= set(TIMESTAMP_FORMATS):
+        third = F.substring(strip_ws(F.col(column).cast("string")), 3, 1)
+        if df.filter(third.isin("/", "-")).select(F.lit(1)).isEmpty():
+            return tuple(formats)
     votes = layout_votes(df, column, formats).collect()  # a row for each layout
     return tuple(r["layout"] for r in sorted(votes, key=lambda r: (-r["votes"], r["position"])) if r["votes"])
 

@@ -72,8 +72,9 @@ def test_votes_count_rows_by_layout(spark):
     votes = {r.layout: r.votes for r in layout_votes(fact).collect() if r.votes}
     assert votes == {"MM/dd/yyyy": 2, "dd/MM/yyyy": 1}
     assert elect_layouts(fact) == ("MM/dd/yyyy", "dd/MM/yyyy")
-    assert elect_layouts(texts(spark, ["junk", None])) == ()
-    assert elect_layouts(texts(spark, [])) == ()
+    assert elect_layouts(texts(spark, ["99/99/2024", None])) == ()
+    assert elect_layouts(texts(spark, ["2024-01-02", "junk", None])) == TIMESTAMP_FORMATS  # nothing to decide
+    assert elect_layouts(texts(spark, []), formats=["yyyy|MM|dd"]) == ()
 
 
 def test_excluded_rows_do_not_vote(spark, dim):
