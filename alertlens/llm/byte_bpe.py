@@ -39,9 +39,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LONG_BYTES = 96
-WORDS = 600_000
-COMMON = 150_000       # matches folded once for all tasks, at most
-COMMON_DOCS = 3_000    # documents they are taken from, about
+WORDS = 900_000
+COMMON = 350_000       # matches folded once for all tasks, at most
+COMMON_DOCS = 16_000   # documents they are taken from, about
+FOLD_TASKS = 24        # tasks that fold them
 NO_RANK = 1 << 20  # ranks are below; no pair has this or more
 EMPTY = 1 << 40
 GONE = -1
@@ -251,7 +252,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, ranks_path: str, patt
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * COMMON_DOCS // max(1, total)
     often = (docs.filter(share).select("text").mapInArrow(count, "match string, n bigint, ids array<bigint>")
              .groupBy("match").agg(F.sum("n").alias("n"), F.first("ids").alias("ids"))
-             .orderBy(F.desc("n"), "match").limit(COMMON))
+             .orderBy(F.desc("n"), "match").limit(COMMON).select("match", "ids").repartition(FOLD_TASKS))
     often = often.select("match", _let(rank_map, lambda ranks: fold(F.col("ids"), ranks)).alias("ids")).toArrow()
     common = spark.sparkContext.broadcast((often.column(0).to_pylist(),
                                            [np.array(x, "<u4").tobytes() for x in often.column(1).to_pylist()]))
