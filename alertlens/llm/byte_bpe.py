@@ -254,8 +254,11 @@ def encode_documents(spark: SparkSession, docs: DataFrame, ranks_path: str, patt
              .groupBy("match").agg(F.sum("n").alias("n"), F.first("ids").alias("ids"))
              .orderBy(F.desc("n"), "match").limit(COMMON).select("match", "ids").repartition(FOLD_TASKS))
     often = often.select("match", _let(rank_map, lambda ranks: fold(F.col("ids"), ranks)).alias("ids")).toArrow()
+    ids = often.column(1).combine_chunks()
+    data, ends = ids.flatten().to_numpy().astype("<u4").tobytes(), np.r_[0, np.cumsum(ids.value_lengths().to_numpy())] * 4
     common = spark.sparkContext.broadcast((often.column(0).to_pylist(),
-                                           [np.array(x, "<u4").tobytes() for x in often.column(1).to_pylist()]))
+                                           [data[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]))
+    del often, ids, data, ends
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A document's matches become numbers in the task's list of distinct matches;
