@@ -11,9 +11,11 @@ nothing learned every text is ``und``; equal scores go to the first language by
 rows with a null lang teach nothing but are predicted; repeated rows count as often as
 they occur; other columns are ignored.
 
-Memory: texts of any length are read in slices; the matrix is languages x BUCKETS
-floats, and more than MAX_LANGUAGES languages are refused. Counts are summed per task
-before the shuffle, so a hot language is one row per bucket and task.
+Memory: texts of any length are read in slices; a matrix is BLOCK_LANGUAGES languages x
+BUCKETS floats at most. More languages are scored block by block, with the best language so
+far kept per row, so their number has no bound. Counts are summed per task before the
+shuffle, so a hot language is one row per bucket and task; a task passes its sums on
+once they are those of over BLOCK_LANGUAGES languages.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,7 +37,7 @@ from alertlens.llm.common import stored
 
 BUCKETS = 1 << 14
 SMOOTHING = 0.5
-MAX_LANGUAGES = 200
+BLOCK_LANGUAGES = 200  # of a broadcast matrix (64 KB each)
 UNKNOWN = "und"
 SLICE = 1 << 19  # characters at a time
 
@@ -122,17 +125,31 @@ class Model:
                 np.add.at(out[:, k], rows, np.add.reduceat(total, at, dtype=np.float64))
         return out + self.log_prior, count, letters
 
+    def best(self, texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per row: best language, its log score, the sum of all languages' likelihoods as a
+        multiple of the best one's, and whether the text has a letter."""
+        scores, _, letters = self.scores(texts, len(texts))
+        top = scores.max(1)
+        return np.array(self.languages, object)[scores.argmax(1)], top, np.exp(scores - top[:, None]).sum(1), letters > 0
+
     def predict(self, texts: pd.Series) -> pd.DataFrame:
         n = len(texts)
         if not self.languages or not n:
             return pd.DataFrame({"lang_pred": [UNKNOWN] * n, "score": [0.0] * n})
-        scores, _, letters = self.scores(texts, n)
-        best = scores.argmax(1)
-        shifted = np.exp(scores - scores.max(1, keepdims=True))
-        sure = 1.0 / shifted.sum(1)
-        known = letters > 0
-        return pd.DataFrame({"lang_pred": np.where(known, np.array(self.languages, object)[best], UNKNOWN),
-                             "score": np.where(known, sure, 0.0)})
+        langs, _, total, known = self.best(texts)
+        return pd.DataFrame({"lang_pred": np.where(known, langs, UNKNOWN), "score": np.where(known, 1.0 / total, 0.0)})
+
+    def further(self, texts: pd.Series, so_far: pd.DataFrame) -> pd.DataFrame:
+        """STATE after this block of languages; ``so_far`` is that of the blocks before (their
+        names are smaller, so an equal score changes nothing)."""
+        if not len(texts):
+            return pd.DataFrame({"lang": [], "top": [], "total": []})
+        langs, top, total, known = self.best(texts)
+        old = so_far["top"].to_numpy(np.float64, na_value=-np.inf)
+        high = np.maximum(old, top)
+        total = so_far["total"].to_numpy(np.float64, na_value=0.0) * np.exp(old - high) + total * np.exp(top - high)
+        return pd.DataFrame({"lang": np.where(known, np.where(top > old, langs, so_far["lang"]), None),
+                             "top": high, "total": total})
 
 
 def count_grams(texts: Iterable[str | None], langs: Iterable[str | None]) -> dict[str, np.ndarray]:
@@ -152,25 +169,35 @@ def count_grams(texts: Iterable[str | None], langs: Iterable[str | None]) -> dic
     return counts
 
 
-def model_of(counts: dict[str, np.ndarray], docs: dict[str, int]) -> Model:
+def model_of(counts: dict[str, np.ndarray], docs: dict[str, int], all_docs: float | None = None) -> Model:
+    """``all_docs``: sum of the languages' documents, one more each (by default of ``counts``)."""
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros(0))
     m = np.stack([counts[k] for k in languages]) + SMOOTHING
     prior = np.array([docs.get(k, 0) + 1.0 for k in languages])
-    return Model(languages, np.log(m / m.sum(1, keepdims=True)).astype(np.float32), np.log(prior / prior.sum()))
+    return Model(languages, np.log(m / m.sum(1, keepdims=True)).astype(np.float32), np.log(prior / (all_docs or prior.sum())))
 
 
 def _task_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per language and bucket met in the task; bucket -1 holds the documents."""
+    """Sums per language and bucket met in the task; bucket -1 holds the documents."""
     total: dict[str, np.ndarray] = {}
     docs: dict[str, int] = {}
     for batch in batches:
         texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for lang in langs:
-            docs[lang] = docs.get(lang, 0) + 1
-        for lang, counts in count_grams(texts, langs).items():
-            total[lang] = total[lang] + counts if lang in total else counts
+        for at in range(0, len(langs), BLOCK_LANGUAGES):  # so that a batch too brings few new languages at once
+            some = langs[at : at + BLOCK_LANGUAGES]
+            for lang in some:
+                docs[lang] = docs.get(lang, 0) + 1
+            for lang, counts in count_grams(texts[at : at + BLOCK_LANGUAGES], some).items():
+                total[lang] = total[lang] + counts if lang in total else counts
+            if len(docs) > BLOCK_LANGUAGES:
+                yield from _sums(docs, total)
+                total, docs = {}, {}
+    yield from _sums(docs, total)
+
+
+def _sums(docs: dict[str, int], total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for lang, n in docs.items():
         counts = total.get(lang, np.zeros(BUCKETS, np.int64))
         used = np.flatnonzero(counts)
@@ -179,22 +206,28 @@ def _task_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(np.r_[n, counts[used]].astype(np.int64))], names=["lang", "bucket", "n"])
 
 
-def train(spark: SparkSession, docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """Learns from every row of ``docs`` with a language; the sums that come to the
-    driver are languages x BUCKETS, checked against MAX_LANGUAGES first."""
+def train(spark: SparkSession, docs: DataFrame, text: str = "text", lang: str = "lang") -> Iterator[Model]:
+    """Learns from every row of ``docs`` with a language. One model per BLOCK_LANGUAGES
+    languages in the order of their names (none for no language); the sums of one block at
+    a time come to the driver."""
     rows = docs.filter(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     sums = stored(spark, rows.mapInArrow(_task_counts, "lang string, bucket int, n bigint")
                   .groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "gram-counts")
-    n_docs = {r["lang"]: r["n"] for r in sums.filter("bucket = -1").limit(MAX_LANGUAGES + 1).collect()}
-    if len(n_docs) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages: the matrix would not be small enough to broadcast")
-    counts = {k: np.zeros(BUCKETS, np.int64) for k in n_docs}
-    found = sums.filter("bucket >= 0").toArrow()
-    langs, buckets, n = (found.column(c).to_numpy() for c in ("lang", "bucket", "n"))
-    for k in counts:
-        own = langs == k
-        counts[k][buckets[own]] = n[own]
-    return model_of(counts, n_docs)
+    languages = sums.filter("bucket = -1").select("lang", "n")
+    all_docs = languages.agg(F.sum(F.col("n") + 1)).first()[0]
+    while own := {r["lang"]: r["n"] for r in languages.orderBy("lang").limit(BLOCK_LANGUAGES).collect()}:
+        last = max(own, key=lambda k: k.encode("utf-8", "surrogatepass"))  # Spark's order
+        block = sums.filter((F.col("lang") >= min(own, key=lambda k: k.encode("utf-8", "surrogatepass"))) & (F.col("lang") <= last))
+        counts = {k: np.zeros(BUCKETS, np.int64) for k in own}
+        found = block.filter("bucket >= 0").toArrow()
+        langs, buckets, n = (found.column(c).to_numpy() for c in ("lang", "bucket", "n"))
+        for k in counts:
+            mine = langs == k
+            counts[k][buckets[mine]] = n[mine]
+        yield model_of(counts, own, float(all_docs))
+        if len(own) < BLOCK_LANGUAGES:
+            return
+        languages = languages.filter(F.col("lang") > last)
 
 
 PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -212,9 +245,36 @@ def predictor(spark: SparkSession, model: Model):
     return predict
 
 
+STATE = T.StructType([T.StructField("lang", T.StringType()), T.StructField("top", T.DoubleType()),
+                      T.StructField("total", T.DoubleType())])
+
+
+def block_scorer(spark: SparkSession, model: Model):
+    """Columns of texts and states -> STATE with the model's languages."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf(STATE)
+    def score(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+        for texts, so_far in batches:
+            yield shared.value.further(texts, so_far)
+
+    return score
+
+
 def identify(spark: SparkSession, docs: DataFrame, training: Column) -> DataFrame:
-    """doc_id, held_out, lang_pred, score; learns from the rows where ``training`` holds."""
-    model = train(spark, docs.filter(training))
-    predict = predictor(spark, model)
-    out = docs.select("doc_id", (~training).alias("held_out"), predict("text").alias("p"))
-    return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
+    """doc_id, held_out, lang_pred, score; learns from the rows where ``training`` holds.
+    With more than one block of languages each is a pass over the texts, written to the
+    shared folder."""
+    models = train(spark, docs.filter(training))
+    first, second = next(models, None), next(models, None)
+    own = docs.select("doc_id", (~training).alias("held_out"), "text")
+    if second is None:
+        predict = predictor(spark, first or model_of({}, {}))
+        out = own.select("doc_id", "held_out", predict("text").alias("p"))
+        return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
+    own = own.withColumn("s", F.lit(None).cast(STATE))
+    for model in chain((first, second), models):
+        own = stored(spark, own.withColumn("s", block_scorer(spark, model)("text", "s")), "language-block")
+    known = F.col("s.lang").isNotNull()
+    return own.select("doc_id", "held_out", F.when(known, F.col("s.lang")).otherwise(UNKNOWN).alias("lang_pred"),
+                      F.when(known, 1 / F.col("s.total")).otherwise(0.0).alias("score"))

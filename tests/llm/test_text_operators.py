@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections import Counter
 
@@ -170,6 +171,35 @@ def test_chat_no_rows(sp):
     assert chat_format.digests(chat_format.format_conversations(chat_format.with_probe(sp, sp.createDataFrame([], CHAT)))).count() == 1
 
 
+def test_many_languages_are_scored_in_blocks(sp, monkeypatch):
+    rng = np.random.default_rng(5)
+    names = [f"l{i:02d}" for i in range(11)] + ["Z", "é", "und"]
+    letters = {k: "".join(chr(0x61 + c) for c in rng.permutation(26)[:7]) for k in names}
+    word = lambda k: "".join(rng.choice(list(letters[k]), 5))
+    rows = [(i, " ".join(word(names[i % 14]) for _ in range(6)), names[i % 14]) for i in range(140)]
+    rows += [(200, None, "l01"), (201, "", "l02"), (202, "12 !?", None), (203, rows[0][1], None), (204, "x" * 3000, "l03")]
+    docs = sp.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    whole = sorted(language_id.identify(sp, docs, F.lit(True)).collect())
+    monkeypatch.setattr(language_id, "BLOCK_LANGUAGES", 4)
+    blocks = sorted(language_id.identify(sp, docs, F.lit(True)).collect())
+    assert [r[:3] for r in blocks] == [r[:3] for r in whole]
+    np.testing.assert_allclose([r.score for r in blocks], [r.score for r in whole], rtol=1e-9)
+    assert {r.lang_pred for r in blocks if r.doc_id in (200, 201, 202)} == {"und"}
+
+    # a text's score worked out by hand, from the counts of all training texts
+    counts = {k: language_id.count_grams([t for _, t, g in rows if g == k], [k] * sum(g == k for *_, g in rows))[k] for k in names}
+    n_docs = {k: sum(g == k for *_, g in rows) for k in names}
+    own = language_id.count_grams([rows[17][1]], ["x"])["x"]
+    total = sum(n + 1 for n in n_docs.values())
+    logs = {k: math.log((n_docs[k] + 1) / total) + sum(
+        own[b] * math.log((counts[k][b] + 0.5) / (counts[k].sum() + 0.5 * language_id.BUCKETS)) for b in np.flatnonzero(own))
+        for k in names}
+    top = max(logs.values())
+    got = next(r for r in blocks if r.doc_id == 17)
+    assert logs[got.lang_pred] == top
+    assert abs(got.score - 1 / sum(math.exp(v - top) for v in logs.values())) < 1e-3
+
+
 # -- licences --------------------------------------------------------------------------
 
 def test_every_known_sentence_has_an_anchor():
