@@ -8,12 +8,14 @@ most (the sample is thinner than the corpus, so its neighbours are farther: the
 errs on the wide side).
 
 Index: distinct vectors are dealt into shards of bounded size; in its shard each code is
-split into SUBSTRINGS substrings, each with its own table from value to rows. A query
-goes to all shards. There it probes every table for the values within
-floor(radius / SUBSTRINGS) of its own: by the pigeonhole principle a code within the radius
-is in at least one of these lists. The codes met are checked for the full distance, and
-those within the radius are ranked by exact cosines of the original vectors in double
-precision. A query that meets too few codes in a shard widens its radius there, up to all.
+split into substrings of SUBSTRING_BITS bits (about the logarithm of a shard's size), each
+with its own table from value to rows. A query goes to all shards. There it probes every
+table for the values within floor(radius / substrings) of its own: by the pigeonhole
+principle a code within the radius is in at least one of these lists. Where these values
+outnumber the shard's codes (a wide radius), the codes' own values are compared with that
+reach instead. The codes met are checked for the full distance, and those within the radius
+are ranked by exact cosines of the original vectors in double precision. A query that meets
+too few codes in a shard widens its radius there, up to all.
 
 Equal vectors are one entry with their KEEP smallest ids, so a vector held by a third of
 all rows costs one code; copies of a query are searched once. Queries (a stated subset)
@@ -41,7 +43,7 @@ from alertlens.llm.common import stored
 SAMPLE = 4000      # vectors that rotations and radius are learned from, at most
 ROTATIONS = 2
 ROUNDS = 12
-SUBSTRING_BITS = 4
+SUBSTRING_BITS = 16
 RECALL = 0.97
 SHARD = 16_384     # vectors of a shard, about
 QUERY_BLOCK = 16_384  # as many as vectors of a shard: fewest copies of both
@@ -58,14 +60,14 @@ class Coder:
         return max(1, self.turns.shape[1] // SUBSTRING_BITS)
 
     def codes(self, unit: np.ndarray) -> np.ndarray:
-        """Substring values (rows x substrings, each below 2**SUBSTRING_BITS)."""
-        bits = ((unit - self.mean) @ self.turns > 0).reshape(len(unit), self.substrings, -1)
-        return (bits * (1 << np.arange(bits.shape[2]))).sum(2).astype(np.uint8)
+        """Substring values (rows x substrings)."""
+        return np.packbits((unit - self.mean) @ self.turns > 0, axis=1).view("<u2")
 
 
-def _distance(value_bits: int) -> np.ndarray:
-    values = np.arange(1 << value_bits)
-    return np.bitwise_count(values[:, None] ^ values[None, :]).astype(np.int16)
+#: All differences of two values, those of fewest bits first, and how many have at most r bits.
+_BITS = np.bitwise_count(np.arange(1 << SUBSTRING_BITS))
+_FLIPS = np.argsort(_BITS, kind="stable")
+_WITHIN = np.cumsum(np.bincount(_BITS))
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -86,8 +88,7 @@ def learn(sample: np.ndarray, k: int) -> Coder:
             turn = u @ v
         turns.append(turn)
     bits = -(-ROTATIONS * d // SUBSTRING_BITS) * SUBSTRING_BITS
-    all_turns = np.concatenate(turns, axis=1)
-    all_turns = np.concatenate([all_turns, all_turns[:, : bits - all_turns.shape[1]]], axis=1)[:, :bits]
+    all_turns = np.concatenate(turns, axis=1)[:, np.arange(bits) % (ROTATIONS * d)]
     coder = Coder(mean, all_turns, bits)
     if len(unit) < 2:
         return coder
@@ -96,8 +97,8 @@ def learn(sample: np.ndarray, k: int) -> Coder:
     near[np.arange(len(asked)), asked] = -2
     k = min(k, len(unit) - 1)
     best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    codes, table = coder.codes(unit), _distance(SUBSTRING_BITS)
-    far = sum(table[codes[asked, j][:, None], codes[best, j]] for j in range(coder.substrings))
+    codes = coder.codes(unit)
+    far = np.bitwise_count(codes[asked][:, None, :] ^ codes[best]).sum(2)
     return Coder(mean, all_turns, int(np.quantile(far, RECALL)))
 
 
@@ -108,24 +109,31 @@ class Shard:
         self.coder, self.vectors = coder, vectors
         self.norms = np.sqrt((vectors * vectors).sum(1))
         self.codes = coder.codes(vectors / self.norms[:, None])
-        self.table = _distance(SUBSTRING_BITS)
+        self.columns = np.ascontiguousarray(self.codes.T)
         self.lists = []  # per substring: rows ordered by value, and where each value starts
-        for j in range(coder.substrings):
-            order = np.argsort(self.codes[:, j], kind="stable")
-            self.lists.append((order, np.searchsorted(self.codes[order, j], np.arange((1 << SUBSTRING_BITS) + 1))))
+        for values in self.columns:
+            order = np.argsort(values, kind="stable")
+            self.lists.append((order, np.searchsorted(values[order], np.arange((1 << SUBSTRING_BITS) + 1)).astype(np.int32)))
 
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows whose codes are within the radius, by probing the substring tables."""
-        reach = radius // self.coder.substrings
+    def probe(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows met in the substring tables: every code within the radius is among them."""
+        reach = min(radius // self.coder.substrings, SUBSTRING_BITS)
         met = np.zeros(len(self.codes), bool)
-        for (order, starts), value in zip(self.lists, code, strict=True):
-            for probe in np.flatnonzero(self.table[value] <= reach):
-                met[order[starts[probe] : starts[probe + 1]]] = True
-        rows = np.flatnonzero(met)
-        far = np.zeros(len(rows), np.int16)
-        for j, value in enumerate(code):
-            far += self.table[value][self.codes[rows, j]]
-        return rows[far <= radius]
+        wide = _WITHIN[reach] >= len(self.codes)
+        for values, (order, starts), value in zip(self.columns, self.lists, code, strict=True):
+            if wide:
+                met |= np.bitwise_count(values ^ value) <= reach
+                continue
+            probes = _FLIPS[: _WITHIN[reach]] ^ int(value)
+            first, last = starts[probes], starts[probes + 1]
+            for x, y in zip(first[last > first].tolist(), last[last > first].tolist(), strict=True):
+                met[order[x:y]] = True
+        return np.flatnonzero(met)
+
+    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows whose codes are within the radius."""
+        rows = self.probe(code, radius)
+        return rows[np.bitwise_count(self.codes[rows] ^ code).sum(1) <= radius]
 
     def nearest(self, query: np.ndarray, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the (at least) k nearest found, all ties of the last included."""

@@ -56,13 +56,28 @@ def test_ann_few_and_no_rows(sp):
     assert ann_mih.search(sp, few, F.lit(False)).collect() == []
 
 
+def test_probing_meets_few_codes_where_vectors_have_near_neighbours():
+    draw = np.random.default_rng(8)
+    centres = draw.normal(size=(300, 32))
+    x = centres[draw.integers(0, 300, 6000)] + 0.15 * draw.normal(size=(6000, 32))
+    coder = ann_mih.learn(x[:3000], 5)
+    shard = ann_mih.Shard(coder, x)
+    met = hit = 0
+    for q in range(0, 6000, 200):
+        code = shard.codes[q]
+        met += len(shard.probe(code, coder.radius))
+        near = np.argsort(-(x @ x[q]) / (shard.norms * shard.norms[q]), kind="stable")[:6]
+        hit += len(set(near.tolist()) & set(shard.nearest(x[q], code, 6)[0].tolist()))
+    assert met < 0.1 * 30 * len(x)
+    assert hit >= 0.9 * 30 * 6
+
+
 def test_shard_probing_finds_every_code_within_the_radius():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 16))
     coder = ann_mih.learn(x, 5)
     shard = ann_mih.Shard(coder, x)
-    table = ann_mih._distance(ann_mih.SUBSTRING_BITS)
-    far = sum(table[shard.codes[:, j][:, None], shard.codes[:, j][None, :]] for j in range(coder.substrings))
+    far = np.bitwise_count(shard.codes[:, None, :] ^ shard.codes[None, :, :]).sum(2)
     for q in range(0, 400, 37):
         for radius in (0, 3, 9, coder.radius):
             assert shard.within(shard.codes[q], radius).tolist() == np.flatnonzero(far[q] <= radius).tolist()
