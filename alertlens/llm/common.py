@@ -104,6 +104,21 @@ class Memo(dict):
         return value
 
 
+HOT = 200
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], total: int, how: str = "inner", n: str = "n") -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key and in ``n`` how many of the
+    ``total`` rows of ``left`` hold that key. The rows of ``right`` for keys of over a HOT-th
+    of these, fewer than HOT, are broadcast; the other keys meet in a shuffle. ``how``: inner or left."""
+    hot = right.filter(F.col(n) * HOT > total)
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    rest = rest.join(right.filter(F.col(n) * HOT <= total), keys, how)
+    return left.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; the count is a per-task partial sum."""
     return df.count() <= rows

@@ -10,8 +10,9 @@ threshold is P(Bin(n + 1, threshold) <= m), and the pair is dropped once this fa
 TOLERANCE. The rest are verified exactly on the shingle sets.
 
 The results are links counted per class and a spanning forest of each bucket's links,
-never a list of all pairs: a group of g near copies gives g rows a bucket. Links between
-copies follow from the class sizes. Components of the forests' edges (alternating star
+never a list of all pairs: what is stored of a group of g near copies is g rows for each pair
+of its blocks, and the pairs, found from the signatures, live only inside the task that
+prunes or verifies them. Links between copies follow from the class sizes. Components of the forests' edges (alternating star
 contraction) name the groups.
 
 Probability of losing a link: two texts of similarity s share no band with probability
@@ -21,7 +22,11 @@ BLOCK classes, and every pair of blocks is a group of its own, spread over tasks
 
 Defined results: null, empty and blank texts have no shingle, link to nothing and are
 groups of their own; equal doc_ids are separate rows; a group is named by its smallest
-doc_id (nulls last); no rows give no rows; other columns are ignored.
+doc_id (nulls last); no rows give no rows; other columns are ignored; very long texts are
+read in slices, and their shingles are compared whole.
+
+Hot keys (a class with very many copies, a bucket, a group or a star's centre with very many
+members) are told by counts already made and joined by broadcast, apart from the others.
 """
 
 from __future__ import annotations
@@ -38,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertlens.llm.common import Memo, quoted, slices, stored, unused
+from alertlens.llm.common import Memo, hot_join, quoted, slices, stored, unused
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -154,41 +159,37 @@ _GROUP = "band int, bucket bigint, i int, j int"
 _GROUP_COLUMNS = ["band", "bucket", "i", "j"]
 
 
+def _survivors(run: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of the surviving pairs of one candidate group, sorted by a."""
+    band, i, j = (run.column(c)[0].as_py() for c in ("band", "i", "j"))
+    block = run.column("block").to_numpy()
+    sig = np.frombuffer(b"".join(run.column("sig").to_pylist()), "<u2").reshape(-1, HASHES)
+    if i == j:
+        a, b = surviving_pairs(sig, sig, band, True)
+    else:
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        a, b = surviving_pairs(sig[left], sig[right], band, False)
+        a, b = left[a], right[b]
+    order = np.argsort(a, kind="stable")
+    return a[order], b[order]
+
+
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate groups (with block and signature of each class) -> the classes that have
-    a surviving pair in the group, each with its partners of larger place."""
-    out: list[tuple] = []
+    a surviving pair in the group: the pairs themselves are found again where they are verified."""
+    out, rows = [], 0
     for run in _runs(batches, 4):
         if run.num_rows < 2:
             continue
-        band, bucket, i, j = (run.column(c)[0].as_py() for c in range(4))
-        cls = run.column("cls").to_numpy()
-        block = run.column("block").to_numpy()
-        sig = np.frombuffer(b"".join(run.column("sig").to_pylist()), "<u2").reshape(-1, HASHES)
-        if i == j:
-            a, b = surviving_pairs(sig, sig, band, True)
-        else:
-            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            a, b = surviving_pairs(sig[left], sig[right], band, False)
-            a, b = left[a], right[b]
+        a, b = _survivors(run)
         if len(a):
-            order = np.argsort(a, kind="stable")
-            a, b = a[order], b[order]
-            own, starts = np.unique(a, return_index=True)
-            partners = dict(zip(own.tolist(), np.split(cls[b], starts[1:]), strict=True))
-            for x in np.union1d(own, b).tolist():
-                out.append((band, bucket, i, j, int(cls[x]), partners.get(x, cls[:0])))
-        if len(out) >= 2000:
-            yield _pruned(out)
-            out = []
+            out.append(run.select([*_GROUP_COLUMNS, "cls", "block"]).take(np.union1d(a, b)))
+            rows += out[-1].num_rows
+        if rows >= 10_000:
+            yield from pa.concat_tables(out).combine_chunks().to_batches()
+            out, rows = [], 0
     if out:
-        yield _pruned(out)
-
-
-def _pruned(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
-                                      names=[*_GROUP_COLUMNS, "cls", "partners"])
+        yield from pa.concat_tables(out).combine_chunks().to_batches()
 
 
 def linked_partners(own: np.ndarray, others: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -204,13 +205,12 @@ def linked_partners(own: np.ndarray, others: list[np.ndarray], threshold: float)
 
 def _verify(threshold: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Groups of surviving pairs with the sets -> per class its linked documents in the
-        group and the smallest class it reaches there."""
+        """Groups of classes with their signatures and sets -> per class its linked documents
+        in the group and the smallest class it reaches there."""
         rows: list[tuple[int, int, int]] = []
         for run in _runs(batches, 4):
-            cls = run.column("cls").to_pylist()
-            copies = dict(zip(cls, run.column("copies").to_pylist(), strict=True))
-            sets = {c: np.frombuffer(s, "<u8") for c, s in zip(cls, run.column("shingles").to_pylist(), strict=True)}
+            cls, copies = run.column("cls").to_pylist(), run.column("copies").to_pylist()
+            sets = [np.frombuffer(s, "<u8") for s in run.column("shingles").to_pylist()]
             links = dict.fromkeys(cls, 0)
             root = {c: c for c in cls}
 
@@ -219,15 +219,15 @@ def _verify(threshold: float):
                     root[c] = c = root[root[c]]
                 return c
 
-            for c, partners in zip(cls, run.column("partners").to_pylist(), strict=True):
-                if not partners:
-                    continue
-                good = linked_partners(sets[c], [sets[p] for p in partners], threshold)
-                for p in (p for p, g in zip(partners, good.tolist(), strict=True) if g):
-                    links[c] += copies[p]
-                    links[p] += copies[c]
-                    x, y = find(c), find(p)
-                    root[max(x, y)] = min(x, y)
+            a, b = _survivors(run)
+            own, starts = np.unique(a, return_index=True)
+            for x, partners in zip(own.tolist(), np.split(b, starts[1:]), strict=len(own) > 0):
+                good = linked_partners(sets[x], [sets[p] for p in partners.tolist()], threshold)
+                for p in partners[good].tolist():
+                    links[cls[x]] += copies[p]
+                    links[cls[p]] += copies[x]
+                    u, v = find(cls[x]), find(cls[p])
+                    root[max(u, v)] = min(u, v)
             rows += [(c, find(c), n) for c, n in links.items() if n]
             if len(rows) >= 10_000:
                 yield _links(rows)
@@ -289,16 +289,18 @@ class_of = text_class.asNondeterministic()  # so that no plan moves it below a j
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """cls, root (smallest class of the component) from edges (cls, root), by alternating
-    large and small stars until nothing changes; each round is written to the shared folder."""
+    large and small stars until nothing changes; each round is written to the shared folder.
+    A star's centre with many neighbours is joined apart from the others."""
     edges = edges.select(F.greatest("cls", "root").alias("u"), F.least("cls", "root").alias("v")).filter("u != v").distinct()
     edges = stored(spark, edges, "cc-edges")
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = hot_join(both, stored(spark, least, "cc-least"), ["u"], 2 * edges.count()).filter("v > u")
+        large = stored(spark, large.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), "cc-large")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = hot_join(large, stored(spark, low, "cc-low"), ["u"], large.count())
         small = small.select("u", "m").union(small.filter("v != m").select("v", "m")).toDF("u", "v").filter("u != v").distinct()
         edges = stored(spark, small, "cc-edges")
         new = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -322,7 +324,7 @@ def _grouped(spark: SparkSession, docs: DataFrame, threshold: float) -> tuple[Da
     # candidates: buckets of two classes or more, cut into pairs of blocks
     members = classes.select("cls", "sig").mapInArrow(_bands, "band int, bucket bigint, cls bigint")
     sizes = members.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = members.join(sizes, ["band", "bucket"])
+    members = hot_join(members, stored(spark, sizes, "join-buckets"), ["band", "bucket"], BANDS * classes.count())
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     members = members.join(classes.select("cls", "sig"), "cls")
@@ -330,7 +332,7 @@ def _grouped(spark: SparkSession, docs: DataFrame, threshold: float) -> tuple[Da
     members = members.select("band", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
                              "cls", "block", "sig")
     dealt = members.repartition(*_GROUP_COLUMNS).sortWithinPartitions(*_GROUP_COLUMNS)
-    kept = stored(spark, dealt.mapInArrow(_prune, f"{_GROUP}, cls bigint, partners array<bigint>"), "join-candidates")
+    kept = stored(spark, dealt.mapInArrow(_prune, f"{_GROUP}, cls bigint, block int"), "join-candidates")
 
     # exact verification: one text of each class that has a candidate
     need = kept.select("cls").distinct().join(classes.select("cls", "first_id", "copies"), "cls")
@@ -339,8 +341,8 @@ def _grouped(spark: SparkSession, docs: DataFrame, threshold: float) -> tuple[Da
     ids = F.broadcast(ids) if need.count() <= BROADCAST_KEYS else ids
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("needed_id")), "left_semi")
     sets = texts.select(picked_sets("text").alias("s")).select("s.cls", "s.shingles").join(need.select("cls", "copies"), "cls")
-    sets = stored(spark, sets.dropDuplicates(["cls"]), "join-sets")
-    pairs = kept.join(sets, "cls").select(*_GROUP_COLUMNS, "cls", "partners", "copies", "shingles")
+    sets = stored(spark, sets.dropDuplicates(["cls"]).join(classes.select("cls", "sig"), "cls"), "join-sets")
+    pairs = kept.join(sets, "cls").select(*_GROUP_COLUMNS, "cls", "block", "copies", "sig", "shingles")
     pairs = pairs.repartition(*_GROUP_COLUMNS).sortWithinPartitions(*_GROUP_COLUMNS)
     links = stored(spark, pairs.mapInArrow(_verify(threshold), "cls bigint, root bigint, links bigint"), "join-links")
 
@@ -356,12 +358,13 @@ def join_documents(spark: SparkSession, docs: DataFrame, threshold: float = THRE
     """doc_id, class_id (smallest doc_id of its group of linked documents), n_links (other
     documents of similarity ``threshold`` or more, copies included)."""
     s, per_class = _grouped(spark, docs, threshold)
-    named = per_class.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    per_class = per_class.join(named, "root").select(
-        "cls", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = s.select("doc_id", "cls").join(stored(spark, per_class, "join-result"), "cls", "left")
-    return out.select("doc_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-                      F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    named = per_class.groupBy("root").agg(F.min("first_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    per_class = hot_join(per_class, stored(spark, named, "join-named"), ["root"], per_class.count()).select(
+        "cls", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n"))
+    result = stored(spark, per_class, "join-result")
+    out = hot_join(s.select("doc_id", "cls").filter("cls is not null"), result, ["cls"], s.count())
+    alone = s.filter("cls is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+    return out.select("doc_id", "class_id", F.col("n_links").cast("bigint").alias("n_links")).unionByName(alone)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -370,19 +373,26 @@ def keep_one(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD)
     judged by its own text's class, so rows that share an id or have none are told apart."""
     s, per_class = _grouped(spark, docs, threshold)
     order = F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "cls")
-    heads = per_class.groupBy("root").agg(F.sum("copies").alias("size"), F.min(order).alias("head"))
-    marks = per_class.select("cls", "first_id", "root").join(heads.filter("size > 1"), "root")
-    marks = stored(spark, marks.select("cls", "first_id", (F.col("cls") == F.col("head.cls")).alias("stays")), "join-marks")
-    few = marks.count() <= BROADCAST_KEYS
+    heads = per_class.groupBy("root").agg(F.sum("copies").alias("size"), F.min(order).alias("head"), F.count(F.lit(1)).alias("n"))
+    heads = stored(spark, heads.filter("size > 1"), "join-heads")
+    marks = hot_join(per_class.select("cls", "first_id", "root", "copies"), heads, ["root"], per_class.count())
+    marks = stored(spark, marks.select("cls", "first_id", (F.col("cls") == F.col("head.cls")).alias("stays"),
+                                       F.col("copies").alias("n")), "join-marks")
+    few, total = marks.count() <= BROADCAST_KEYS, s.count()
     own = marks.filter("stays")
-    ids = s.select("doc_id", "cls").join(F.broadcast(own) if few else own, "cls").filter(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    ids = s.select("doc_id", "cls")
+    ids = ids.join(F.broadcast(own), "cls") if few else hot_join(ids, own, ["cls"], total)
+    ids = ids.filter(F.col("doc_id").eqNullSafe(F.col("first_id")))
     twice = stored(spark, ids.groupBy("cls", "first_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "join-twice")
 
-    cls, mark, first_id, stays = (unused(docs, x) for x in ("cls", "mark", "first_id", "stays"))
+    cls, key, n, mark, first_id, stays = (unused(docs, x) for x in ("cls", "key", "n", "mark", "first_id", "stays"))
     once = marks.join(twice.select("cls", F.lit(True).alias("more")), "cls", "left").select(
-        F.col("cls").alias(mark), F.col("first_id").alias(first_id), (F.col("stays") & F.col("more").isNull()).alias(stays))
-    left = docs.withColumn(cls, class_of("text")).join(F.broadcast(once) if few else once, F.col(cls) == F.col(mark), "left")
-    left = left.filter(F.col(mark).isNull() | (F.col(stays) & F.col("doc_id").eqNullSafe(F.col(first_id))))
+        F.col("cls").alias(key), F.col("first_id").alias(first_id),
+        (F.col("stays") & F.col("more").isNull()).alias(stays), F.col("n").alias(n))
+    # texts without words have no class: a number of its own spreads each of them, and whatever it meets they stay
+    left = docs.withColumn(cls, class_of("text")).withColumn(key, F.coalesce(cls, F.xxhash64(F.monotonically_increasing_id())))
+    left = left.join(F.broadcast(once), key, "left") if few else hot_join(left, once, [key], total, "left", n)
+    left = left.filter(F.col(cls).isNull() | F.col(stays).isNull() | (F.col(stays) & F.col("doc_id").eqNullSafe(F.col(first_id))))
     left = left.select(*map(quoted, docs.columns))
     if twice.isEmpty():
         return left
