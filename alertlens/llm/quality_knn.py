@@ -8,8 +8,8 @@ labelled sample. The sample's vectors are broadcast; every document is compared
 of them by exact cosines, block by block, and the NEIGHBOURS nearest vote for their
 labels with their similarity as weight.
 
-Defined results: null, empty or blank texts have no terms and score the sample's share
-of label 1; with no labels every score is 0.5; equal similarities go to the earlier
+Defined results: null, empty or blank texts have no terms and score label 1's share of
+the sample's texts of that kind, 0 if it has none: such a text holds nothing of quality; with no labels every score is 0.5; equal similarities go to the earlier
 sample row (ordered by its hash and id); repeated rows are scored each; other columns
 are ignored; no rows give no rows.
 
@@ -96,7 +96,7 @@ class Voters:
     projection: np.ndarray  # TERMS x LATENT
     vectors: np.ndarray     # sample x LATENT, of length 1
     labels: np.ndarray
-    share: float            # of label 1
+    blank: float            # score of a text without terms
 
     def latent(self, counts: np.ndarray) -> np.ndarray:
         x = np.log1p(counts) * self.weights
@@ -106,7 +106,7 @@ class Voters:
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
         """Vote of the nearest sample vectors for rows of term counts."""
-        out = np.full(len(counts), self.share)
+        out = np.full(len(counts), self.blank)
         if not len(self.labels):
             return out
         known = counts.any(axis=1)
@@ -139,10 +139,11 @@ def fit(texts: list[str | None], labels: list[int]) -> Voters:
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     _, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
     projection = np.ascontiguousarray(vectors[:, ::-1][:, :LATENT]).astype(np.float32)
-    own = Voters(weights, projection, np.zeros((0, 1), np.float32), np.zeros(0), float(y.mean()))
-    z = own.latent(counts)
     some = counts.any(axis=1)
-    return Voters(weights, projection, z[some], y[some], float(y.mean()))
+    blank = 0.0 if some.all() else float(y[~some].mean())
+    own = Voters(weights, projection, np.zeros((0, 1), np.float32), np.zeros(0), blank)
+    z = own.latent(counts)
+    return Voters(weights, projection, z[some], y[some], blank)
 
 
 def agreed(labels: DataFrame, label: str, training: Column) -> DataFrame:

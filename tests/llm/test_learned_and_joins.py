@@ -7,11 +7,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from alertlens.llm import ann_mih, jaccard_join, quality_knn, queries, toxicity_cnn
+from alertlens.llm import ann_mih, common, jaccard_join, quality_knn, queries, toxicity_cnn
 
 SF = "/root/testdata/sf0.01"
 VECTORS = "vec_id bigint, embedding array<float>, score double"
@@ -127,6 +128,41 @@ def test_join_equals_brute_force(sp, monkeypatch, block):
     assert got == brute_groups(rows)
 
 
+@pytest.mark.parametrize("hot", [1, 10**9])
+def test_join_with_keys_apart_equals_brute_force(sp, monkeypatch, hot):
+    # 1: no key is hot; 10**9: every key is, and each is broadcast
+    monkeypatch.setattr(common, "HOT", hot)
+    rows = near_copies(5)[::2]
+    docs = sp.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in jaccard_join.join_documents(sp, docs).collect()) == brute_groups(rows)
+
+
+def test_components_of_a_star_and_a_chain(sp):
+    star = [(5000 + k, 7) for k in range(400)] + [(9000, 5000 + k) for k in range(0, 400, 3)]
+    chain = [(k + 1, k) for k in range(100, 160)]
+    got = jaccard_join.components(sp, sp.createDataFrame(star + chain, "cls bigint, root bigint")).collect()
+    want = {a: 7 for e in star for a in e} | {a: 100 for e in chain for a in e}
+    assert {(r.cls, r.root) for r in got} == {(c, r) for c, r in want.items() if c != r}
+
+
+def candidates_of(g):
+    """Rows and bytes of what pruning hands on from a group of ``g`` near copies in one block."""
+    sig = np.tile(np.arange(jaccard_join.HASHES, dtype="<u2"), (g, 1))
+    sig[:, -1] = np.arange(g)
+    run = pa.RecordBatch.from_pydict({
+        "band": pa.array([0] * g, pa.int32()), "bucket": pa.array([9] * g), "i": pa.array([0] * g, pa.int32()),
+        "j": pa.array([0] * g, pa.int32()), "cls": pa.array(range(g), pa.int64()), "block": pa.array([0] * g, pa.int32()),
+        "sig": [s.tobytes() for s in sig]})
+    out = list(jaccard_join._prune(iter([run])))
+    return sum(b.num_rows for b in out), sum(b.nbytes for b in out)
+
+
+def test_candidates_grow_with_the_group_not_with_its_square():
+    small, large = candidates_of(64), candidates_of(512)
+    assert small[0] == 64 and large[0] == 512
+    assert large[1] <= 8.1 * small[1]
+
+
 def test_join_odd_rows(sp, odd_docs, no_docs):
     got = jaccard_join.join_documents(sp, odd_docs).collect()
     assert len(got) == odd_docs.count()
@@ -178,6 +214,7 @@ def test_keep_one_equals_brute_force_for_null_and_shared_ids(sp):
 
 def test_keep_one_without_broadcasts(sp, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BROADCAST_KEYS", -1)
+    monkeypatch.setattr(common, "HOT", 20)
     test_keep_one_equals_brute_force_for_null_and_shared_ids(sp)
 
 
@@ -283,6 +320,14 @@ def test_a_long_labelled_text_does_not_end_the_sample(sp, long_rows):
 
 # -- pipeline --------------------------------------------------------------------------
 
+def test_blank_texts_score_as_labelled_blank_texts():
+    texts, y = ["Good words here.", "more good words", None, " ", ""], [1, 1, 0, 1, 0]
+    none = quality_knn.Terms().counts(None)[None]
+    assert quality_knn.fit(texts[:2], y[:2]).scores(none).tolist() == [0.0]
+    assert quality_knn.fit(texts, y).scores(none).tolist() == [pytest.approx(1 / 3)]
+    assert quality_knn.fit([], []).scores(none).tolist() == [0.5]
+
+
 def test_whole_words_have_shapes():
     start = "ab" * 40
     assert quality_knn.word_code(start + "!" * 10_000) & 1023 != quality_knn.word_code(start + "9Z" * 5_000) & 1023
@@ -320,7 +365,7 @@ def plain_quality(rows, labels):
     kept = []
     for i, t in rows:
         counts = quality_knn.Terms().counts(t)
-        score = voters.share
+        score = voters.blank
         if counts.any():
             near = voters.vectors @ voters.latent(counts[None])[0]
             best = np.argsort(-near, kind="stable")[: quality_knn.NEIGHBOURS]
