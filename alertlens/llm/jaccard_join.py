@@ -290,17 +290,21 @@ class_of = text_class.asNondeterministic()  # so that no plan moves it below a j
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """cls, root (smallest class of the component) from edges (cls, root), by alternating
     large and small stars until nothing changes; each round is written to the shared folder.
-    A star's centre with many neighbours is joined apart from the others."""
+    Up to BROADCAST_KEYS nodes are broadcast with their least neighbours; beyond, a star's
+    centre with many neighbours is joined apart from the others."""
     edges = edges.select(F.greatest("cls", "root").alias("u"), F.least("cls", "root").alias("v")).filter("u != v").distinct()
     edges = stored(spark, edges, "cc-edges")
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = hot_join(both, stored(spark, least, "cc-least"), ["u"], 2 * edges.count()).filter("v > u")
-        large = stored(spark, large.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), "cc-large")
+        n = edges.count()
+        few = 2 * n <= BROADCAST_KEYS  # so many nodes at most
+        large = both.join(F.broadcast(least), "u") if few else hot_join(both, stored(spark, least, "cc-least"), ["u"], 2 * n)
+        large = large.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = large if few else stored(spark, large, "cc-large")
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = hot_join(large, stored(spark, low, "cc-low"), ["u"], large.count())
+        small = large.join(F.broadcast(low), "u") if few else hot_join(large, stored(spark, low, "cc-low"), ["u"], large.count())
         small = small.select("u", "m").union(small.filter("v != m").select("v", "m")).toDF("u", "v").filter("u != v").distinct()
         edges = stored(spark, small, "cc-edges")
         new = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

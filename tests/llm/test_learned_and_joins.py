@@ -137,7 +137,9 @@ def test_join_with_keys_apart_equals_brute_force(sp, monkeypatch, hot):
     assert sorted(tuple(r) for r in jaccard_join.join_documents(sp, docs).collect()) == brute_groups(rows)
 
 
-def test_components_of_a_star_and_a_chain(sp):
+@pytest.mark.parametrize("keys", [-1, 10**6])
+def test_components_of_a_star_and_a_chain(sp, monkeypatch, keys):
+    monkeypatch.setattr(jaccard_join, "BROADCAST_KEYS", keys)
     star = [(5000 + k, 7) for k in range(400)] + [(9000, 5000 + k) for k in range(0, 400, 3)]
     chain = [(k + 1, k) for k in range(100, 160)]
     got = jaccard_join.components(sp, sp.createDataFrame(star + chain, "cls bigint, root bigint")).collect()
