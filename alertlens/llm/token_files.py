@@ -164,23 +164,26 @@ def lane_counts(counts: np.ndarray) -> np.ndarray:
 def tokenised(docs: DataFrame, definition: str) -> DataFrame:
     """doc_id, row, n, crc, ids of each document, the end id included (ids of two bytes, if
     they fit). ``crc``: of the ids as little-endian unsigned 32-bit integers."""
-    shared = docs.sparkSession.sparkContext.broadcast(definition)
+    shared, kind = docs.sparkSession.sparkContext.broadcast(definition), _kind(definition)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(shared.value, False, _kind(shared.value))
-        end = np.array([END_ID], encoder.kind).tobytes()
+        encoder = encoder_of(shared.value, False, kind)
         for batch in batches:
-            texts = (t or "" for t in batch.column(2).to_pylist())
-            ids = [x + end for x in encoder.many(texts)]
-            n = [len(x) // len(end) for x in ids]
-            crcs, at = [], 0
-            wide = memoryview(np.frombuffer(b"".join(ids), encoder.kind).astype("<u4").tobytes())
-            for k in n:
-                crcs.append(zlib.crc32(wide[4 * at : 4 * (at + k)]))
-                at += k
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(crcs, pa.int64()), pa.array(ids, pa.binary())],
-                names=["doc_id", "row", "n", "crc", "ids"])
+            at = 0
+            for ids, counts in encoder.arrays(batch.column(2).fill_null("")):
+                n = counts + 1
+                ends = np.cumsum(n)
+                out = np.full(int(ends[-1]), END_ID, encoder.kind)
+                own = np.ones(len(out), bool)
+                own[ends - 1] = False
+                out[own] = ids
+                wide, ends = memoryview(out.astype("<u4").tobytes()), np.concatenate([[0], ends])
+                crcs = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+                buffers = [None, pa.py_buffer((ends * out.itemsize).astype(np.int32)), pa.py_buffer(out)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[at : at + len(n)], batch.column(1)[at : at + len(n)], pa.array(n), pa.array(crcs, pa.int64()),
+                     pa.Array.from_buffers(pa.binary(), len(n), buffers)], names=["doc_id", "row", "n", "crc", "ids"])
+                at += len(n)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
     return rows.mapInArrow(run, "doc_id bigint, row bigint, n bigint, crc bigint, ids binary")

@@ -11,6 +11,7 @@ from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -111,6 +112,23 @@ def test_ids_equal_the_library(plain):
     assert [np.frombuffer(encoder.ids(x), "<u4").tolist() for x in texts[-60:]] == want[-60:]
 
 
+def test_runs_of_signs_are_cut_as_the_library_does():
+    texts = ["Really?! yes", "a,. b", "w:, v", "price$$$ x", "dogs' it's", "é?!\nß.", "x×. y", "日. ж,", "a.", ".b", "", "?!"]
+    encoder = byte_level.ByteLevelIds(open(A, encoding="utf-8").read(), False)
+    want = [x.ids for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.many(texts)] == want
+
+
+def test_each_distinct_word_of_a_batch_is_looked_up_once(monkeypatch):
+    encoder = byte_level.ByteLevelIds(open(A, encoding="utf-8").read(), False)
+    seen, runs_of = [], encoder._runs_of
+    monkeypatch.setattr(encoder, "_runs_of", lambda ends, data: seen.append(len(ends) - 1) or runs_of(ends, data))
+    texts = pa.array(["same words over and over" + " same words over and over." * 50] * 20)
+    (ids, counts), = encoder.arrays(texts)
+    assert seen == [6]  # "same" with and without a blank, three more words, the dot
+    assert ids.tolist() == [i for t in texts.to_pylist() for i in encoder.whole(t)] and counts.sum() == len(ids)
+
+
 def test_pieces_of_a_long_text_change_no_id():
     text = " ".join(odd_texts(3000, 11))
     encoder = byte_level.ByteLevelIds(open(A, encoding="utf-8").read(), True)
