@@ -3,8 +3,9 @@
 Encoding: each task cuts its texts into the pattern's matches and keeps the distinct
 ones; a match new to the task goes, as the array of its bytes' ids, through a fold of
 Spark higher-order functions that merges the lowest-ranked pair, one merge a step, until
-none is left. The rank map is a literal of fixed size (built from the ranks: all pairs
-of tokens whose bytes together are a token). The ids of the distinct matches are then
+none is left. The rank map has a fixed size (built from the ranks: all pairs of tokens whose
+bytes together are a token) and is the value of a scalar subquery: as a literal, each plan's
+text would hold all of it on the driver. The ids of the distinct matches are then
 put together per document in the same task, without a shuffle. Decoding concatenates
 the tokens' bytes.
 
@@ -38,6 +39,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alertlens.llm.byte_level import utf8
+
 LONG_BYTES = 96
 WORDS = 900_000
 COMMON = 350_000       # matches folded once for all tasks, at most
@@ -83,10 +86,35 @@ class RankMap:
             self.flat[at + rights] = (a << 20) | merged
             self.shift[a] = at
 
-    def column(self) -> Column:
-        """struct(shift, flat) of array literals (constant-folded from one string each)."""
-        literal = lambda x: F.split(F.lit(",".join(map(str, x.tolist()))), ",").cast("array<bigint>")
-        return F.struct(literal(self.shift).alias("shift"), literal(self.flat).alias("flat"))
+    def column(self, spark: SparkSession) -> Column:
+        """struct(shift, flat) of arrays, as a scalar subquery."""
+        arrays = pa.StructArray.from_arrays([pa.array([x], pa.list_(pa.int64())) for x in (self.shift, self.flat)], ["shift", "flat"])
+        return spark.createDataFrame(pa.table({"ranks": arrays})).scalar()
+
+
+class Common:
+    """The common matches and their ids in buffers, which a worker cuts up once, when it asks
+    for one or the other: small on the driver, and small in a worker that uses one of them."""
+
+    def __init__(self, table: pa.Table):
+        matches, ids = (table.column(k).combine_chunks() for k in (0, 1))
+        ends, data = utf8(matches)
+        self.texts = data.tobytes(), ends
+        self.runs = ids.flatten().to_numpy().astype("<u4").tobytes(), 4 * np.r_[0, np.cumsum(ids.value_lengths().to_numpy())]
+        self.kept: dict[str, list] = {}
+
+    def _cut(self, name: str, made) -> list:
+        if name not in self.kept:
+            data, ends = getattr(self, name)
+            at = ends.tolist()
+            self.kept[name] = [made(data[a:b]) for a, b in zip(at, at[1:], strict=False)]
+        return self.kept[name]
+
+    def matches(self) -> list[str]:
+        return self._cut("texts", bytes.decode)
+
+    def ids(self) -> list[bytes]:
+        return self._cut("runs", bytes)
 
 
 def _let(value: Column, body) -> Column:
@@ -229,7 +257,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, ranks_path: str, patt
     (little-endian unsigned 32-bit bytes); by default the ids themselves."""
     ranks = read_ranks(ranks_path)
     pairs = merge_pairs(ranks)
-    rank_map = RankMap(pairs).column()
+    rank_map = RankMap(pairs).column(spark)
     byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
     long_pairs = spark.sparkContext.broadcast(pairs)
     finish = finish or (lambda ids: (ids,))
@@ -253,25 +281,22 @@ def encode_documents(spark: SparkSession, docs: DataFrame, ranks_path: str, patt
     often = (docs.filter(share).select("text").mapInArrow(count, "match string, n bigint, ids array<bigint>")
              .groupBy("match").agg(F.sum("n").alias("n"), F.first("ids").alias("ids"))
              .orderBy(F.desc("n"), "match").limit(COMMON).select("match", "ids").repartition(FOLD_TASKS))
-    often = often.select("match", _let(rank_map, lambda ranks: fold(F.col("ids"), ranks)).alias("ids")).toArrow()
-    ids = often.column(1).combine_chunks()
-    data, ends = ids.flatten().to_numpy().astype("<u4").tobytes(), np.r_[0, np.cumsum(ids.value_lengths().to_numpy())] * 4
-    common = spark.sparkContext.broadcast((often.column(0).to_pylist(),
-                                           [data[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]))
-    del often, ids, data, ends
+    often = (often.select("match", "ids", rank_map.alias("ranks"))
+             .select("match", _let(F.col("ranks"), lambda ranks: fold(F.col("ids"), ranks)).alias("ids")))
+    common = spark.sparkContext.broadcast(Common(often.toArrow()))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A document's matches become numbers in the task's list of distinct matches;
         the document that meets a match first brings its bytes' ids along."""
         find = finder(pattern)
         numbers = _Numbers()
-        numbers.reset(common.value[0])
+        numbers.reset(common.value.matches())
         for batch in batches:
             runs, fresh, firsts, forgets = [], [], [0], []
             for text in batch.column(1).to_pylist():
                 forget = len(numbers) > WORDS
                 if forget:
-                    numbers.reset(common.value[0])
+                    numbers.reset(common.value.matches())
                 own = []
                 for part in _slices(text or ""):
                     matches, known = find(part), len(numbers)
@@ -287,7 +312,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, ranks_path: str, patt
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Puts the ids of the numbered matches together, document by document."""
-        known = list(common.value[1])
+        known = list(common.value.ids())
         out = pa.schema([("doc_id", pa.int64()), *_arrow_fields(schema)])
         for batch in batches:
             rows = []
@@ -299,7 +324,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, ranks_path: str, patt
             for doc_id, runs, forget, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
                                                batch.column(3).to_pylist(), per_doc.tolist(), strict=True):
                 if forget:
-                    known = list(common.value[1])
+                    known = list(common.value.ids())
                 for k in range(at, at + n):
                     ids = flat_ids[ends[k] : ends[k + 1]]
                     if len(ids) > 4 * LONG_BYTES:  # left as bytes' ids by the fold, see below
@@ -312,8 +337,9 @@ def encode_documents(spark: SparkSession, docs: DataFrame, ranks_path: str, patt
                                              if rows else [pa.array([], t.type) for t in out], schema=out)
 
     numbered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(cut, _STEP1)
-    # bound once, so that the plan holds one copy of the literal
-    folded = numbered.select("doc_id", "runs", _let(rank_map, lambda ranks: F.transform("fresh", lambda w: fold(w, ranks))).alias("fresh"), "forget")
+    # used once, so that the two selections become one: the arrays are never part of a row
+    folded = (numbered.select("*", rank_map.alias("ranks"))
+              .select("doc_id", "runs", _let(F.col("ranks"), lambda ranks: F.transform("fresh", lambda w: fold(w, ranks))).alias("fresh"), "forget"))
     return folded.mapInArrow(assemble, f"doc_id bigint, {schema}")
 
 

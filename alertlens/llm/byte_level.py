@@ -263,13 +263,13 @@ class ByteLevelIds:
 
     def together(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts, one text after another, and each one's number of ids."""
-        ends, data = _utf8(texts)
+        ends, data = utf8(texts)
         n = len(data)
         starts = ends[:-1]
         cut = cuts(data, starts[starts < ends[1:]])
         chunk_ends = np.concatenate([cut, [n]]).astype(np.int32)
         words = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(chunk_ends), pa.py_buffer(data)]).dictionary_encode()
-        codes, found = words.indices.to_numpy(), self._runs_of(*_utf8(words.dictionary))
+        codes, found = words.indices.to_numpy(), self._runs_of(*utf8(words.dictionary))
         size = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(self.kind).itemsize
         runs, begin = np.frombuffer(b"".join(found), self.kind), np.cumsum(size) - size
         own = size[codes]
@@ -279,7 +279,7 @@ class ByteLevelIds:
 
     def arrays(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """``together`` for successive texts of about BATCH bytes, without nulls; a longer one is alone."""
-        ends, data = _utf8(texts)
+        ends, data = utf8(texts)
         odd = {int(k) for s in self.specials for k in _texts_with(s, data, ends)} if self.chunked else range(len(texts))
         start = 0
         while start < len(texts):
@@ -309,7 +309,7 @@ class ByteLevelIds:
         return b"".join(self.many([text]))
 
 
-def _utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Where each text ends (from 0 on), and the texts' bytes one after another."""
     if pa.types.is_large_string(texts.type):
         texts = texts.cast(pa.string())

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -38,6 +40,21 @@ def test_bpe_equals_tiktoken(sp, odd_docs):
     assert got == sorted(want, key=str)
 
 
+def test_bpe_plans_hold_no_rank_map(sp, odd_docs):
+    """The driver keeps each plan's text; the rank map in it took most of its memory."""
+    out = byte_bpe.digests(sp, odd_docs, RANKS, public_tokenizers.PATTERN)
+    assert len(out._jdf.queryExecution().toString()) < 100_000
+
+
+def test_common_matches_are_cut_up_again():
+    table = pa.table({"match": ["é", " a", "\U0001f600"], "ids": [[1, 2], [3], [70_000, 5, 6]]})
+    common = pickle.loads(pickle.dumps(byte_bpe.Common(table)))
+    assert common.matches() == ["é", " a", "\U0001f600"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in common.ids()] == [[1, 2], [3], [70_000, 5, 6]]
+    none = byte_bpe.Common(table.slice(0, 0))
+    assert none.matches() == [] and none.ids() == []
+
+
 def test_bpe_no_rows(sp, no_docs):
     assert byte_bpe.digests(sp, no_docs, RANKS, public_tokenizers.PATTERN).collect() == []
 
