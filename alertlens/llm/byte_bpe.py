@@ -9,6 +9,10 @@ text would hold all of it on the driver. The ids of the distinct matches are the
 put together per document in the same task, without a shuffle. Decoding concatenates
 the tokens' bytes.
 
+With CUT_PATTERN the texts of a batch are first cut together, in their bytes, where no match goes
+on (see ``byte_level``); only the distinct chunks are cut into matches one by one, and a chunk's
+numbers are kept. With another pattern each text is cut by itself.
+
 The COMMON most frequent matches of some COMMON_DOCS documents are folded once beforehand
 and broadcast, so that not every task folds them again; this changes no result.
 
@@ -19,8 +23,9 @@ tiktoken library gives.
 Defined results: null text counts as empty (no ids, the digests of nothing); repeated
 doc_ids give a row each; other columns are ignored; no rows give no rows.
 
-Memory: a task's distinct matches are forgotten beyond WORDS (they are then folded
-again), and an Arrow batch is bounded by the session's batch settings.
+Memory: a task's distinct matches and chunks are forgotten beyond WORDS (they are then folded
+again), an Arrow batch is bounded by the session's batch settings, and arrays are built for
+successive texts of about TOGETHER bytes, or for a slice of a longer one.
 """
 
 from __future__ import annotations
@@ -32,17 +37,21 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertlens.llm.byte_level import utf8
+from alertlens.llm.byte_level import cuts, utf8
 
 LONG_BYTES = 96
 WORDS = 900_000
+TOGETHER = 1 << 20     # bytes of texts cut together
+KEPT_MATCHES = 16      # chunks of more matches are not kept
+#: The pattern that byte_level.cuts holds for.
+CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 COMMON = 350_000       # matches folded once for all tasks, at most
 COMMON_DOCS = 16_000   # documents they are taken from, about
 FOLD_TASKS = 24        # tasks that fold them
@@ -111,7 +120,10 @@ class Common:
         return self.kept[name]
 
     def matches(self) -> list[str]:
-        return self._cut("texts", bytes.decode)
+        return [m.decode() for m in self.utf8()]
+
+    def utf8(self) -> list[bytes]:
+        return self._cut("texts", bytes)
 
     def ids(self) -> list[bytes]:
         return self._cut("runs", bytes)
@@ -226,29 +238,114 @@ def _bracketed(part: str) -> str:
     return {r"\p{L}": f"[{_L}]", r"\p{N}": f"[{_N}]", r"\s": f"[{_S}]", r"\S": f"[^{_S}]"}[part]
 
 
+def _groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of successive texts (or bytes) of about TOGETHER bytes; a longer one is alone."""
+    ends, _ = utf8(texts)
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + TOGETHER, "right")) - 1)
+        yield start, stop
+        start = stop
+
+
 class _Numbers(dict):
-    """match -> its number, in the order of first meeting."""
+    """match, or chunk of a few matches (UTF-8) -> the numbers of its matches (little-endian unsigned
+    32-bit bytes). Matches are numbered in the order of first meeting; ``fresh`` are the new ones."""
 
-    def reset(self, first: list[str]) -> None:
+    def __init__(self, pattern: str, first: list[bytes]):
+        self.find, self.chunked = finder(pattern), pattern == CUT_PATTERN
+        self.reset(first)
+
+    def reset(self, first: list[bytes]) -> None:
         self.clear()
-        self.update(zip(first, range(len(first)), strict=True))
+        self.fresh: list[bytes] = []
+        self.count = len(first)
+        runs = np.arange(self.count, dtype="<u4").tobytes()
+        self.update(zip(first, (runs[k : k + 4] for k in range(0, len(runs), 4)), strict=True))
+
+    def number(self, match: bytes) -> bytes:
+        run = self.get(match)
+        if run is None:
+            run = self[match] = self.count.to_bytes(4, "little")
+            self.count += 1
+            self.fresh.append(match)
+        return run
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        matches = self.find(chunk.decode())
+        if len(matches) == 1:
+            return self.number(chunk)
+        run = self._run(matches)
+        if len(matches) <= KEPT_MATCHES:
+            self[chunk] = run
+        return run
+
+    def _run(self, matches: list[str]) -> bytes:
+        return b"".join([self.number(m.encode()) for m in matches])
+
+    def runs(self, texts: pa.Array) -> list[list[bytes]]:
+        """The numbers of each text's matches, in one run or, of a long text, a run a slice."""
+        if len(texts) == 1:
+            return [[run for part in _slices(texts[0].as_py()) for run in self._together(pa.array([part]))]]
+        return [[run] for run in self._together(texts)]
+
+    def _together(self, texts: pa.Array) -> list[bytes]:
+        if not self.chunked:
+            return [self._run(self.find(t)) for t in texts.to_pylist()]
+        ends, data = utf8(texts)
+        starts = ends[:-1]
+        cut = cuts(data, starts[starts < ends[1:]])
+        chunks = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(np.r_[cut, len(data)].astype(np.int32)), pa.py_buffer(data)])
+        chunks = chunks.dictionary_encode()
+        chunk_ends, held = utf8(chunks.dictionary)
+        found = pa.array(list(map(self.__getitem__, _parts(held, chunk_ends))), pa.binary())
+        run_ends, numbers = utf8(found.take(chunks.indices))
+        return _parts(numbers, run_ends[np.searchsorted(cut, ends)])
+
+
+def _parts(data: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    held = data.tobytes()
+    return [held[a:b] for a, b in pairwise(ends.tolist())]
+
+
+class _Known:
+    """The ids of the numbered matches, one match after another."""
+
+    def __init__(self, runs: bytes, ends: np.ndarray):
+        self.ids, self.sizes, self.starts = np.frombuffer(runs, "<u4"), np.diff(ends) // 4, ends[:-1] // 4
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+
+    def runs(self, numbered: pa.Array) -> Iterator[bytes]:
+        """The ids (as bytes) of the matches that each run of numbers names."""
+        ends, data = utf8(numbered)
+        for start, stop in _groups(numbered):
+            numbers = np.frombuffer(data[ends[start] : ends[stop]].tobytes(), "<u4")
+            sizes = self.sizes[numbers]
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            ids = self.ids[np.repeat(self.starts[numbers] - at[:-1], sizes) + np.arange(at[-1])]
+            yield from _parts(ids, 4 * at[(ends[start : stop + 1] - ends[start]) // 4])
 
-    def __missing__(self, match: str) -> int:
-        number = self[match] = len(self)
-        return number
 
-    def last(self, n: int) -> list[str]:
-        return list(islice(reversed(self), n))[::-1]
+_STEP1 = "doc_id bigint, runs array<binary>, fresh array<array<bigint>>, forget boolean"
 
 
-_STEP1 = "doc_id bigint, runs array<binary>, fresh array<array<bigint>>, forget boolean"
+def _byte_lists(matches: list[bytes], byte_ids: np.ndarray) -> pa.Array:
+    """list<int64> array of the ids of each match's bytes."""
+    ends, data = utf8(pa.array(matches, pa.binary()))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(byte_ids[data], pa.int64()))
 
 
-def _nested(arrays: list[np.ndarray]) -> pa.Array:
-    """list<int64> array from int arrays."""
-    ends = np.cumsum([0] + [len(a) for a in arrays])
-    values = np.concatenate(arrays) if arrays else np.zeros(0)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
+def _merged(folded: pa.Array, long_pairs) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and lengths of the folded matches; those over LONG_BYTES, which the fold left as they
+    were, are merged here. ``long_pairs``: the broadcast of merge_pairs."""
+    ids, sizes = folded.flatten().to_numpy().astype("<u4"), folded.value_lengths().to_numpy().astype(np.int64)
+    if (sizes > LONG_BYTES).any():
+        lists = [merge_long(x.tolist(), long_pairs.value) if len(x) > LONG_BYTES else x for x in np.split(ids, np.cumsum(sizes)[:-1])]
+        ids, sizes = np.concatenate(lists).astype("<u4"), np.array([*map(len, lists)], np.int64)
+    return ids, sizes
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str,
@@ -274,7 +371,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, ranks_path: str, patt
         matches = [m for m in seen if len(m) <= LONG_BYTES // 4]
         yield pa.RecordBatch.from_arrays(
             [pa.array(matches, pa.string()), pa.array([seen[m] for m in matches], pa.int64()),
-             _nested([byte_ids[np.frombuffer(m.encode(), np.uint8)] for m in matches])], names=["match", "n", "ids"])
+             _byte_lists([m.encode() for m in matches], byte_ids)], names=["match", "n", "ids"])
 
     total = docs.count()
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * COMMON_DOCS // max(1, total)
@@ -286,53 +383,41 @@ def encode_documents(spark: SparkSession, docs: DataFrame, ranks_path: str, patt
     common = spark.sparkContext.broadcast(Common(often.toArrow()))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A document's matches become numbers in the task's list of distinct matches;
-        the document that meets a match first brings its bytes' ids along."""
-        find = finder(pattern)
-        numbers = _Numbers()
-        numbers.reset(common.value.matches())
+        """A document's matches become numbers in the task's list of distinct matches; the first
+        document of those cut together brings the bytes' ids of their new matches along."""
+        numbers = _Numbers(pattern, common.value.utf8())
         for batch in batches:
+            texts = batch.column(1).fill_null("")
             runs, fresh, firsts, forgets = [], [], [0], []
-            for text in batch.column(1).to_pylist():
+            for start, stop in _groups(texts):
                 forget = len(numbers) > WORDS
                 if forget:
-                    numbers.reset(common.value.matches())
-                own = []
-                for part in _slices(text or ""):
-                    matches, known = find(part), len(numbers)
-                    own.append(np.fromiter(map(numbers.__getitem__, matches), "<u4", len(matches)).tobytes())
-                    fresh += [byte_ids[np.frombuffer(m.encode(), np.uint8)] for m in numbers.last(len(numbers) - known)]
-                runs.append(own)
-                firsts.append(len(fresh))
-                forgets.append(forget)
+                    numbers.reset(common.value.utf8())
+                runs += numbers.runs(texts[start:stop])
+                fresh += numbers.fresh
+                numbers.fresh = []
+                firsts += [len(fresh)] * (stop - start)
+                forgets += [forget] + [False] * (stop - start - 1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(runs, pa.list_(pa.binary())),
-                 pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), _nested(fresh)), pa.array(forgets)],
+                 pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), _byte_lists(fresh, byte_ids)), pa.array(forgets, pa.bool_())],
                 names=["doc_id", "runs", "fresh", "forget"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Puts the ids of the numbered matches together, document by document."""
-        known = list(common.value.ids())
+        known = _Known(*common.value.runs)
         out = pa.schema([("doc_id", pa.int64()), *_arrow_fields(schema)])
         for batch in batches:
             rows = []
-            folded = batch.column(2)
-            values = folded.flatten()
-            flat_ids = values.flatten().to_numpy().astype("<u4").tobytes()
-            ends = np.r_[0, np.cumsum(values.value_lengths().to_numpy())] * 4
-            at, per_doc = 0, folded.value_lengths().to_numpy()
-            for doc_id, runs, forget, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
-                                               batch.column(3).to_pylist(), per_doc.tolist(), strict=True):
-                if forget:
-                    known = list(common.value.ids())
-                for k in range(at, at + n):
-                    ids = flat_ids[ends[k] : ends[k + 1]]
-                    if len(ids) > 4 * LONG_BYTES:  # left as bytes' ids by the fold, see below
-                        ids = np.array(merge_long(np.frombuffer(ids, "<u4").tolist(), long_pairs.value), "<u4").tobytes()
-                    known.append(ids)
-                at += n
-                ids = b"".join([x for run in runs for x in map(known.__getitem__, np.frombuffer(run, "<u4").tolist())])
-                rows.append((doc_id, *finish(ids)))
+            forgets = np.flatnonzero(batch.column(3).to_numpy(zero_copy_only=False)).tolist()
+            for start, stop in pairwise(sorted({0, *forgets, batch.num_rows})):
+                doc_ids, runs, fresh = batch.slice(start, stop - start).columns[:3]
+                if start in forgets:
+                    known = _Known(*common.value.runs)
+                known.add(*_merged(fresh.flatten(), long_pairs))
+                ids = known.runs(runs.flatten())
+                for doc_id, n in zip(doc_ids.to_pylist(), runs.value_lengths().to_pylist(), strict=True):
+                    rows.append((doc_id, *finish(b"".join(islice(ids, n)))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), out, strict=True)]
                                              if rows else [pa.array([], t.type) for t in out], schema=out)
 
@@ -352,12 +437,13 @@ class Decoder:
     """ids (little-endian unsigned 32-bit bytes) -> the text's bytes."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.pieces = [b""] * (max(ranks.values()) + 1)
+        pieces = [b""] * (max(ranks.values()) + 1)
         for token, r in ranks.items():
-            self.pieces[r] = token
+            pieces[r] = token
+        self.pieces = pa.array(pieces, pa.binary())
 
     def __call__(self, ids: bytes) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return utf8(self.pieces.take(pa.array(np.frombuffer(ids, "<u4"))))[1].tobytes()
 
 
 def digests(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -77,6 +77,60 @@ def test_finder_equals_pattern():
         assert byte_bpe.finder(public_tokenizers.PATTERN)(t) == regex.findall(public_tokenizers.PATTERN, t)
 
 
+ODD_CUTS = ["it's the dogs' 's  a1b2, (x)y -- end. ", "\n\nline\n two\n", "", "tab\t\x1cfs \x85nel\xa0nbsp \u3000wide  ",
+            "\u65e5\u672c\u8a9e\u3002 \u0301x e\u0301a, \U0001f600!", "\xc9t\xe9, stra\xdfe\xd7 \u0433\u043e\u0434. a.'s ...", " ", "x" * 300 + " y"]
+
+
+def matches_of(numbers, texts):
+    """The texts' matches, read back from their numbers."""
+    runs = numbers.runs(pa.array(texts))
+    return [[numbers.fresh[k].decode() for run in own for k in np.frombuffer(run, "<u4")] for own in runs]
+
+
+@pytest.mark.parametrize("pattern", [public_tokenizers.PATTERN, r"\s?\S+[\r\n]*|\s+"])
+def test_numbered_matches_equal_pattern(pattern):
+    import regex
+
+    numbers = byte_bpe._Numbers(pattern, [])
+    assert numbers.chunked == (pattern == public_tokenizers.PATTERN)
+    rng = np.random.default_rng(0)
+    signs = [*"ab1, .'s-\n\t", "  ", "\u00e9", "\u0301", "\u4e2d", "\xa0", "\x1c", "'ll", "\u200b"]
+    texts = ODD_CUTS + ["".join(rng.choice(signs, rng.integers(1, 40))) for _ in range(3000)]
+    assert matches_of(numbers, texts) == [regex.findall(pattern, t) for t in texts]
+    assert len(numbers.fresh) == len(set(numbers.fresh)) == numbers.count
+
+
+def test_words_of_many_texts_are_cut_into_matches_once():
+    """Each occurrence went through the pattern before."""
+    numbers, cut = byte_bpe._Numbers(public_tokenizers.PATTERN, [b" known"]), []
+    find = numbers.find
+    numbers.find = lambda text: cut.append(text) or find(text)
+    for _ in range(2):
+        numbers.runs(pa.array(["it's known, known it's not"] * 500 + [""]))
+    assert sorted(cut) == [" it's", " not", ",", "it's"]
+    assert numbers.fresh == [b"it", b"'s", b",", b" it", b" not"] and numbers.count == 6
+
+
+def test_numbers_of_long_texts_and_many_groups(monkeypatch):
+    import regex
+
+    monkeypatch.setattr(byte_bpe, "TOGETHER", 64)
+    numbers = byte_bpe._Numbers(public_tokenizers.PATTERN, [])
+    long = "ab c, " * 400_000
+    texts = pa.array([*ODD_CUTS, long])
+    runs = [run for a, b in byte_bpe._groups(texts) for run in numbers.runs(texts[a:b])]
+    assert [len(own) for own in runs] == [1] * len(ODD_CUTS) + [3]
+    known = byte_bpe._Known(b"", np.zeros(1, np.int64))
+    sizes = np.array([len(m) for m in numbers.fresh], np.int64)
+    for a in (0, 5):  # bytes stand for ids, in two parts
+        part = slice(a, 5 if a == 0 else None)
+        known.add(np.frombuffer(b"".join(numbers.fresh[part]), np.uint8).astype("<u4"), sizes[part])
+    got = list(known.runs(pa.array([run for own in runs for run in own], pa.binary())))
+    decoded = [np.frombuffer(x, "<u4").astype(np.uint8).tobytes().decode() for x in got]
+    assert decoded == [*ODD_CUTS, *byte_bpe._slices(long)]
+    assert [numbers.fresh[k].decode() for run in runs[-1] for k in np.frombuffer(run, "<u4")] == regex.findall(public_tokenizers.PATTERN, long)
+
+
 # -- packing ---------------------------------------------------------------------------
 
 def test_pieces_equal_tokenizer_and_packing_is_gapless(sp, odd_docs):
